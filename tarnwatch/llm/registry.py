@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, toxicity
+from . import exact_dedup, langid, mixing, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_mixing": mixing.op3_mixing,
+        "op7_sharding": sharding.op7_sharding,
         "op10_langid": langid.op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL}
