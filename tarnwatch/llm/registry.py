@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, sharding, toxicity
+from . import exact_dedup, langid, line_dedup, mixing, packing, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_mixing": mixing.op3_mixing,
+        "op4_packing": packing.op4_packing,
         "op7_sharding": sharding.op7_sharding,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_langid": langid.op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
