@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, unit
+from .common import crc_mod, drop_table, table, unit, write_table
 
 HELD_OUT_FOLDS = 5
 WORDS = re.compile(r"[^\W\d_]+")
@@ -119,25 +119,32 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000,
     ids_u = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(order, "doc_id").limit(max_unlabelled)
     wanted = ids_p.select("doc_id", F.lit(1).alias("p")).unionByName(ids_u.select("doc_id", F.lit(0).alias("p")))
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("p", feature_column(F.col("text")).alias("words"))  # wanted has max_positive + max_unlabelled rows at most
-    got = rows.distinct().toPandas()  # copies count once
-    pos, unl = (got.loc[got["p"] == k, "words"].tolist() for k in (1, 0))
-    if not pos or not unl:
+    rows = write_table(rows.distinct(), "op1-features")  # copies count once
+    size = {r["p"]: r["n"] for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    n_pos, n_unl = size.get(1, 0), size.get(0, 0)
+    if not n_pos or not n_unl:
         return PuModel(prior=prior, bias=float(np.log(prior / (1 - prior))))
-    held = [pd.Series(np.concatenate([np.asarray(w, dtype=object) for w in s] or [np.array([], dtype=object)])).value_counts() for s in (pos, unl)]
-    both = pd.concat(held, axis=1, keys=["p", "u"]).fillna(0)
-    share = (both["p"] + both["u"]) / (len(pos) + len(unl))
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / len(pos) + 1 / len(unl)))
-    both["z"] = (both["p"] / len(pos) - both["u"] / len(unl)) / error
-    both = both[(both["p"] >= min_rows) & (both["z"].abs() >= min_z)]
-    names = sorted(both.index, key=lambda w: (-abs(both.at[w, "z"]), w))[:max_features]
+    held = rows.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where(F.col("a") >= min_rows)
+    share = (F.col("a") + F.col("b")) / float(n_pos + n_unl)
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n_pos + 1 / n_unl))
+    strongest = held.withColumn("z", F.abs(F.col("a") / float(n_pos) - F.col("b") / float(n_unl)) / error).where(F.col("z") >= min_z)
+    names = [r["word"] for r in strongest.orderBy(F.desc("z"), "word").limit(max_features).select("word").collect()]
     at = {w: i for i, w in enumerate(names)}
 
+    @F.pandas_udf("array<int>")
+    def places(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda words: [at[w] for w in words if w in at])
+
+    got = rows.select("p", places("words").alias("places")).toPandas().sort_values("p", kind="stable")
+    drop_table(rows)
+
     def matrix(lists: list) -> np.ndarray:
         x = np.zeros((len(lists), len(at)), dtype=np.float32)
-        for i, words in enumerate(lists):
-            x[i, [at[w] for w in words if w in at]] = 1
+        for i, found in enumerate(lists):
+            x[i, np.asarray(found, dtype=int)] = 1
         return x
 
+    pos, unl = (sorted(map(tuple, got.loc[got["p"] == k, "places"])) for k in (1, 0))
     weights, bias = nn_pu_fit(matrix(pos), matrix(unl), prior)
     return PuModel(prior, bias, {w: float(weights[i]) for w, i in at.items() if abs(weights[i]) > 1e-6})
 
