@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, mixing, packing, sharding, toxicity
+from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op4_packing": packing.op4_packing,
+        "op5_minhash": minhash.op5_minhash,
         "op7_sharding": sharding.op7_sharding,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_langid": langid.op10_langid,
