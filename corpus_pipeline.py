@@ -1,8 +1,54 @@
-"""Corpus pipeline: the stages that turn raw documents into packed training sequences."""
+"""Corpus pipeline: toxicity, line dedup, near-duplicates, mixing and packing, each over all that the stage before kept.
 
-STAGES = []
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents, the last one the packed pieces.
+``run`` writes each stage to the shared folder and reads it back, so a lost executor costs a re-read of one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tarnwatch.llm import line_dedup, minhash, mixing, packing, toxicity
+from tarnwatch.llm.common import table, write_table
+
+
+def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fits on every label and drops the documents that the model calls toxic."""
+    return toxicity.drop_toxic(docs, toxicity.train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def repeated_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def near_duplicates_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 0.8 of their five-word shingles, the one with the smallest doc_id stays."""
+    return minhash.keep_first(docs, width=5, percent=80)
+
+
+def sources_get_their_shares(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def documents_fill_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_documents_go),
+    ("line_dedup", repeated_lines_go),
+    ("near_duplicates", near_duplicates_go),
+    ("mixing", sources_get_their_shares),
+    ("packing", documents_fill_sequences),
+]
+#: The trained stages and the shuffles have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = write_table(docs, f"pipeline-{name}")
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, sharding, toxicity
+from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, pii, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": packing.op4_packing,
         "op5_minhash": minhash.op5_minhash,
         "op7_sharding": sharding.op7_sharding,
+        "op8_pii": pii.op8_pii,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_langid": langid.op10_langid,
     }
