@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, pii, sharding, toxicity
+from . import cover_tree, exact_dedup, langid, line_dedup, minhash, mixing, packing, pii, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3_mixing,
         "op4_packing": packing.op4_packing,
         "op5_minhash": minhash.op5_minhash,
+        "op6_cover_tree": cover_tree.op6_cover_tree,
         "op7_sharding": sharding.op7_sharding,
         "op8_pii": pii.op8_pii,
         "op9_line_dedup": line_dedup.op9_line_dedup,
