@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, scans
+from . import graphs, parsers, relational, scans
 
-MODULES = (scans, relational)
+MODULES = (scans, relational, graphs, parsers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
