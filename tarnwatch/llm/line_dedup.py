@@ -46,8 +46,9 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
                         keys.append(digest(line.encode("utf-8", "replace").lower()))  # bytes.lower() changes A-Z only
                         at.append(i), pos.append(k)
             h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), taken.column("no_doc"), taken.column("doc"), taken.column("text_hash"), pa.array(pos, pa.int32())], names=["h1", "h2", "no_doc", "doc", "text_hash", "pos"])
+            at = pa.array(at, pa.int64())
+            document = [batch.column(c).take(at) for c in ("no_doc", "doc", "text_hash")]  # not the text: it would be copied for every line
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *document, pa.array(pos, pa.int32())], names=["h1", "h2", "no_doc", "doc", "text_hash", "pos"])
 
     columns = docs.select(F.col("doc_id").isNull().alias("no_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
     return columns.mapInArrow(rows, "h1 long, h2 long, no_doc boolean, doc long, text_hash long, pos int")
