@@ -116,7 +116,7 @@ def train_langid(docs: DataFrame, per_lang: int = 1000, bits: int = 15, seed: in
     # the expected sample is twice per_lang rows of each language at most; the exact cut follows on the driver
     picked = rows.join(share, "lang").where(F.col("u") * F.col("n") < 1.2 * per_lang + 50).select("doc_id", "u").distinct()
     got = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").join(picked, "doc_id").select("doc_id", "u", "lang", "text").toPandas()
-    got = got[[bool(LETTER.search(t)) for t in got["text"]]].sort_values(["lang", "u", "doc_id"]).groupby("lang").head(per_lang)
+    got = got[np.array([bool(LETTER.search(t)) for t in got["text"]], dtype=bool)].sort_values(["lang", "u", "doc_id"]).groupby("lang").head(per_lang)
     return fit_ecoc(got["text"].tolist(), got["lang"].tolist(), bits)
 
 
