@@ -181,7 +181,8 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with __tw_bitmap, null where all lines stay."""
     b = bitmaps.select(*[F.col(c).alias(f"__tw_{c}") for c in ("no_doc", "doc", "text_hash")], F.col("keep_bitmap").alias("__tw_bitmap"))
     same = (F.col("__tw_no_doc") == F.col("doc_id").isNull()) & (F.col("__tw_doc") == F.coalesce(F.col("doc_id").cast("long"), F.lit(0))) & (F.col("__tw_text_hash") == F.xxhash64("text"))
-    return docs.join(b, same, "left").drop("__tw_no_doc", "__tw_doc", "__tw_text_hash")
+    # the bitmaps grow with the corpus: always a sort-merge join, never a broadcast that only small inputs allow
+    return docs.join(b.hint("merge"), same, "left").drop("__tw_no_doc", "__tw_doc", "__tw_text_hash")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -267,7 +267,7 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     key = {"__tw_id": F.col("doc_id").cast("long"), "__tw_hash": F.xxhash64("text")}
     found = near_duplicates(docs.select("doc_id", "text"), width, percent)
     stay = found.where("first").groupBy(F.col("doc_id").alias("__p_id"), F.col("text_hash").alias("__p_hash")).agg(F.count("*").alias("__p_n"))
-    both = docs.withColumns(key).join(stay, F.col("__tw_id").eqNullSafe(F.col("__p_id")) & (F.col("__tw_hash") == F.col("__p_hash")))
+    both = docs.withColumns(key).join(stay.hint("merge"), F.col("__tw_id").eqNullSafe(F.col("__p_id")) & (F.col("__tw_hash") == F.col("__p_hash")))
     # rows equal in id and text can't be told apart, so any of them may stay
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
     return both.withColumn("__tw_nth", nth).where("__tw_nth <= __p_n").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -276,3 +276,19 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS sh FROM d
+), u AS (SELECT r, unnest(sh) AS x FROM s
+), p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2
+), l AS (SELECT a, b FROM p JOIN s sa ON sa.r = a JOIN s sb ON sb.r = b WHERE 100 * c >= 80 * (len(sa.sh) + len(sb.sh) - c)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), t AS (SELECT r AS a, r AS b FROM s UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b
+), c AS (SELECT a AS r, min(doc_id) AS component_id FROM t JOIN s ON s.r = t.b GROUP BY a)
+SELECT doc_id, len(sh) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.r = s.r
+"""

@@ -82,7 +82,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     copies = copies.select(F.col("doc_id").alias("__p_id"), F.col("__tw_hash").alias("__p_hash"), F.col("__tw_len").alias("__p_len"), "copies").groupBy("__p_id", "__p_hash", "__p_len").agg(F.sum("copies").alias("__p_copies"), F.count("*").alias("__p_rows"))
     keyed = docs.withColumns(dict(zip(names, (F.col("doc_id"), *key), strict=True)))
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(names, ("__p_id", "__p_hash", "__p_len"), strict=True)]
-    both = keyed.join(copies.where("__p_copies > 0"), same)
+    both = keyed.join(copies.where("__p_copies > 0").hint("merge"), same)  # the plan grows with the corpus: no broadcast
     nth = F.when(F.col("__p_rows") == 1, 1).otherwise(F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))))
     own = F.floor(F.col("__p_copies") / F.col("__p_rows")) + F.when(nth <= F.col("__p_copies") % F.col("__p_rows"), 1).otherwise(0)
     return both.withColumn("__tw_own", own.cast("int")).where("__tw_own > 0").withColumn("__tw_copy", F.explode(F.array_repeat(F.lit(1), F.col("__tw_own")))).select(*[F.col(f"`{c}`") for c in docs.columns])
