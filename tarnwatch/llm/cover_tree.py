@@ -26,6 +26,7 @@ from .components import connected_components
 
 RADII = (1.0, 0.5, 0.25, 0.125)
 SLACK = 1e-7
+STRIP, LEAF = 512, 65536  # nodes compared at a time; point pairs below which a node pair is compared directly
 
 
 def net(x: np.ndarray, radius: float) -> np.ndarray:
@@ -59,6 +60,17 @@ def cover_tree(x: np.ndarray, radii: tuple[float, ...] = RADII) -> np.ndarray:
     return levels
 
 
+class Ranges:
+    """Lists of positions, kept in one array: item i is a slice of it."""
+
+    def __init__(self, owner: np.ndarray, n: int) -> None:
+        self.order = np.argsort(owner, kind="stable")
+        self.ends = np.searchsorted(owner[self.order], np.arange(n + 1))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.order[self.ends[i] : self.ends[i + 1]]
+
+
 class Nodes:
     """The nodes of each level: centre, members, radius, and the nodes of the next level below."""
 
@@ -66,34 +78,42 @@ class Nodes:
         self.x, self.centres, self.members, self.radius, self.below = x, [], [], [], []
         for k in range(levels.shape[1]):
             c, own = np.unique(levels[:, k], return_inverse=True)
-            order = np.argsort(own, kind="stable")
-            members = np.split(order, np.flatnonzero(np.diff(own[order])) + 1)
             gap = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[levels[:, k]])))
             radius = np.zeros(len(c))
             np.maximum.at(radius, own, gap)
-            self.centres.append(c), self.members.append(members), self.radius.append(radius + SLACK)
+            self.centres.append(c), self.members.append(Ranges(own, len(c))), self.radius.append(radius + SLACK)
             if k:
-                parent = np.searchsorted(self.centres[k - 1], levels[c, k - 1])
-                by = np.argsort(parent, kind="stable")
-                self.below.append(np.split(by, np.searchsorted(parent[by], np.arange(1, len(self.centres[k - 1])))))
+                self.below.append(Ranges(np.searchsorted(self.centres[k - 1], levels[c, k - 1]), len(self.centres[k - 1])))
 
 
 def dual_pairs(a: Nodes, b: Nodes, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """(points of a, points of b, matrix of links) of the node pairs with links; None stands for all of them."""
     tau, last = float(np.sqrt(max(0.0, 2 - 2 * threshold))), len(a.centres) - 1
-    todo = []
-    for s in range(0, len(a.centres[0]), 1024):  # the top level is compared in strips
-        rows = np.arange(s, min(s + 1024, len(a.centres[0])))
-        d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centres[0][rows]] @ b.x[b.centres[0]].T)))
-        i, j = np.nonzero(d <= a.radius[0][rows][:, None] + b.radius[0][None, :] + tau)
-        todo += list(zip(rows[i].tolist(), j.tolist(), d[i, j].tolist(), [0] * len(i), strict=True))
+    top = 0
+    # unrelated points of many dimensions are about sqrt(2) apart: a level too wide to tell them and with nearly as many nodes as the next prunes nothing
+    while top < last and 2 * RADII[top] + tau >= np.sqrt(2) and 2 * (len(a.centres[top]) + len(b.centres[top])) > len(a.centres[top + 1]) + len(b.centres[top + 1]):
+        top += 1
+    todo: list = []
+    # the top level is compared in strips of nodes of like radius; single precision, with room for its error, decides what is looked at closely
+    by_a, by_b = np.argsort(a.radius[top], kind="stable"), np.argsort(b.radius[top], kind="stable")
+    xa, xb = (n.x[n.centres[top][by]].astype(np.float32) for n, by in ((a, by_a), (b, by_b)))
+    for s in range(0, len(by_a), STRIP):
+        rows = by_a[s : s + STRIP]
+        for t in range(0, len(by_b), STRIP):
+            cols = by_b[t : t + STRIP]
+            reach = float(a.radius[top][rows].max() + b.radius[top][cols].max() + tau)
+            i, j = np.nonzero(xa[s : s + STRIP] @ xb[t : t + STRIP].T >= 1 - reach * reach / 2 - 1e-4)
+            i, j = rows[i], cols[j]
+            d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.x[a.centres[top][i]], b.x[b.centres[top][j]])))
+            near = d <= a.radius[top][i] + b.radius[top][j] + tau
+            todo += list(zip(i[near].tolist(), j[near].tolist(), d[near].tolist(), [top] * int(near.sum()), strict=True))
     while todo:
         i, j, d, k = todo.pop()
         ri, rj = a.radius[k][i], b.radius[k][j]
         left, right = a.members[k][i], b.members[k][j]
         if d + ri + rj <= tau - SLACK and len(left) * len(right) > 1:
             yield left, right, None
-        elif k == last or len(left) * len(right) <= 4096:
+        elif k == last or len(left) * len(right) <= LEAF:
             links = a.x[left] @ b.x[right].T >= threshold
             if links.any():
                 yield left, right, links
@@ -245,3 +265,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int =
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+l AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND list_cosine_similarity(a.x, b.x) >= 0.95),
+t AS (SELECT r AS a, r AS b FROM v UNION SELECT t.a, l.b FROM t JOIN l ON l.a = t.b),
+c AS (SELECT a AS r, min(vec_id) AS component_id FROM t JOIN v ON v.r = t.b GROUP BY a),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.r = v.r LEFT JOIN n ON n.r = v.r
+"""
