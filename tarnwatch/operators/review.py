@@ -125,6 +125,22 @@ def review_prompt(sections: DataFrame, most: int = 120_000) -> DataFrame:
     return sections.select("repo", F.struct("place", part.alias("part")).alias("s")).groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["part"]), "\n").alias("prompt"))
 
 
+def prompt_size(parts: DataFrame, most: int = 120_000) -> DataFrame:
+    """parts (repo, place, text) -> (repo, chars): the size of a prompt of all report sections; the parts of a section are joined by line ends and cut above ``most``.
+
+    Only lengths are added up, so no section is ever gathered in one row.
+    """
+    text = F.coalesce("text", F.lit(""))
+    total = F.lit(catalog.PROMPT_OVERHEAD)
+    for i, title in enumerate(catalog.REPORT_SECTIONS):
+        here = F.col("place") == i
+        chars = F.sum(F.when(here, F.length(text) + 1)) - 1
+        written = F.coalesce(F.bool_or(here & text.rlike(r"\S")), F.lit(False))
+        body = F.when(~written, len(catalog.NO_REPORT)).when(chars <= most, chars).otherwise(most + len(catalog.CUT_MARK))
+        total = total + F.lit(len(f"## {title}\n\n\n")) + body
+    return parts.groupBy("repo").agg(total.cast("long").alias("chars"))
+
+
 def validation_prompt(prompts: DataFrame, canary: Column | None = None) -> DataFrame:
     """prompts (repo, prompt) inside a boundary that the text can't guess, with a canary to be returned."""
     boundary, token = F.uuid(), canary if canary is not None else F.uuid()

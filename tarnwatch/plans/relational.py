@@ -7,8 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..functions import catalog
+from ..operators import review
 from ..sources import corpus
+from .duck import q
 
 
 @dataclass(frozen=True)
@@ -157,3 +162,22 @@ def sql(name: str, d: Dialect) -> str:
 
 DUCK = Dialect(spark=False)
 QUERIES = {name: ((lambda spark, sf_dir, name=name: spark.sql(sql(name, Dialect(True, sf_dir)))), sql(name, DUCK)) for name in bodies(DUCK)}
+
+
+def _prompt_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is in one of the six sections of its repository."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    place = F.coalesce(F.pmod("doc_id", F.lit(len(catalog.REPORT_SECTIONS))), F.lit(0))
+    return review.prompt_size(docs.select(F.col("source").alias("repo"), place.alias("place"), "text"))
+
+
+_titles = ", ".join(f"({q(t)}, {i})" for i, t in enumerate(catalog.REPORT_SECTIONS))
+_mark = "chr(10) || chr(10) || '...[TRUNCATED]...' || chr(10) || chr(10)"
+PROMPT_SIZE = f"""WITH d AS (SELECT source AS repo, coalesce((doc_id % 6 + 6) % 6, 0) AS k, coalesce(text, '') AS text FROM documents),
+b AS (SELECT repo, k, string_agg(text, chr(10)) AS body FROM d GROUP BY repo, k),
+s AS (SELECT title, k, repo FROM (VALUES {_titles}) t(title, k) CROSS JOIN (SELECT DISTINCT repo FROM d))
+SELECT s.repo, CAST(800 + sum(length('## ' || title || chr(10) || chr(10) || CASE WHEN body IS NULL OR NOT regexp_matches(body, '\\S') THEN '(No findings or report unavailable.)'
+  WHEN length(body) > 120000 THEN left(body, 84000) || {_mark} || right(body, 36000) ELSE body END || chr(10))) AS BIGINT) AS chars
+FROM s LEFT JOIN b ON b.repo IS NOT DISTINCT FROM s.repo AND b.k = s.k GROUP BY s.repo"""
+#: Beside ``prompt_size``, whose SQL has three sections of a third of the documents.
+QUERIES["prompt_size_all"] = (_prompt_size, PROMPT_SIZE)
