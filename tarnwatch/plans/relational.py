@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog
+from ..functions.text import head_and_tail
 from ..operators import review
 from ..sources import corpus
 from .duck import q
@@ -181,3 +182,12 @@ SELECT s.repo, CAST(800 + sum(length('## ' || title || chr(10) || chr(10) || CAS
 FROM s LEFT JOIN b ON b.repo IS NOT DISTINCT FROM s.repo AND b.k = s.k GROUP BY s.repo"""
 #: Beside ``prompt_size``, whose SQL has three sections of a third of the documents.
 QUERIES["prompt_size_all"] = (_prompt_size, PROMPT_SIZE)
+
+
+def _report_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as a report shows them: whole up to 60,000 characters."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", head_and_tail(F.col("text"), 60_000, catalog.CUT_MARK).alias("excerpt"))
+
+
+#: Beside ``truncate_70_30``, whose SQL cuts at 2,000 characters.
+QUERIES["report_excerpts"] = (_report_excerpts, f"SELECT doc_id, CASE WHEN length(text) <= 60000 THEN text ELSE left(text, 42000) || {_mark} || right(text, 18000) END AS excerpt FROM documents")
