@@ -34,8 +34,8 @@ def repair_json(text: str) -> tuple[str | None, bool]:
     try:
         json.loads(text)
         return text, False
-    except ValueError:
-        pass
+    except ValueError as e:
+        most = _longest(e, len(text))
     opened: list[str] = []
     safe: list[tuple[int, str]] = []  # places where the text may end, with what closes it
     quoted = escaped = False
@@ -55,15 +55,22 @@ def repair_json(text: str) -> tuple[str | None, bool]:
             safe.append((i + 1, "".join(reversed(opened))))
         elif c.isalnum():
             safe.append((i + 1, "".join(reversed(opened))))
-    for end, close in reversed(safe[-400:]):
+    for end, close in reversed(safe):
+        if end > most:
+            continue
         try:
             json.loads(text[:end] + close)
             return text[:end] + close, True
-        except ValueError:
-            continue
+        except ValueError as e:
+            most = min(most, _longest(e, len(text)))
     return None, True
 
 
+def _longest(error: ValueError, most: int) -> int:
+    """No longer beginning of the text parses: it would hold the same error.  16 is more than a literal that is still incomplete at the error's place."""
+    return error.pos + 16 if isinstance(error, json.JSONDecodeError) else most
+
+
 def _odd_backslashes(text: str, at: int) -> bool:
     n = 0
     while at - n > 0 and text[at - n - 1] == "\\":

@@ -1,6 +1,9 @@
 """Cases in which an operator or query once did less than its whole job."""
 
+import pytest
+
 from tarnwatch.functions import catalog
+from tarnwatch.operators import review
 from tarnwatch.plans import registry
 
 
@@ -21,3 +24,10 @@ def test_report_excerpts_are_whole_up_to_60_000(spark, tmp_path):
     rows = [(1, "a" * 2001, "s"), (2, "b" * 60_000, "s"), (3, long, "s"), (4, None, "s"), (5, "", "s")]
     got = {r["doc_id"]: r["excerpt"] for r in registry.queries()["report_excerpts"](spark, documents(spark, tmp_path, rows)).collect()}
     assert got == {1: rows[0][1], 2: rows[1][1], 3: "h" * 42_000 + "\n\n...[TRUNCATED]...\n\n" + "t" * 18_000, 4: None, 5: ""}
+
+
+@pytest.mark.parametrize("tail", [50, 500, 50_000])
+def test_verdicts_survive_any_tail(spark, tail):
+    reply = '{"canary": "c", "validated_findings": [{"id": 1, "verdict": "confirmed"}' + " " + "x" * tail
+    r = review.check_replies(spark.createDataFrame([(1, reply, "c", 1)], "id long, reply string, canary string, expected int")).first()
+    assert [(v["id"], v["verdict"]) for v in r["verdicts"]["validated_findings"]] == [(1, "confirmed")] and r["problems"] == ["truncated"]
