@@ -81,15 +81,14 @@ def match_sinks(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
     return both.where(fits).select("id", "dotted", "sink_type", "severity").distinct()
 
 
-def taint_closure(assignments: DataFrame, start: DataFrame, rounds: int = 16) -> DataFrame:
+def taint_closure(assignments: DataFrame, start: DataFrame) -> DataFrame:
     """(func, name) that derive from start (func, name) over assignments (func, target, source); stops when nothing is new."""
     from .. import shared
 
     known, fresh = start.distinct(), start.distinct()
-    for _ in range(rounds):
+    while True:  # the names are finitely many
         fresh = fresh.join(assignments.withColumnRenamed("source", "name"), ["func", "name"]).select("func", F.col("target").alias("name")).distinct().join(known, ["func", "name"], "left_anti")
         fresh = shared.cut(fresh)
         if fresh.isEmpty():
-            break
+            return known
         known = shared.cut(known.unionByName(fresh))
-    return known

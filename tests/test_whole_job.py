@@ -3,7 +3,7 @@
 import pytest
 
 from tarnwatch.functions import catalog
-from tarnwatch.operators import review
+from tarnwatch.operators import review, trace
 from tarnwatch.plans import registry
 
 
@@ -31,3 +31,9 @@ def test_verdicts_survive_any_tail(spark, tail):
     reply = '{"canary": "c", "validated_findings": [{"id": 1, "verdict": "confirmed"}' + " " + "x" * tail
     r = review.check_replies(spark.createDataFrame([(1, reply, "c", 1)], "id long, reply string, canary string, expected int")).first()
     assert [(v["id"], v["verdict"]) for v in r["verdicts"]["validated_findings"]] == [(1, "confirmed")] and r["problems"] == ["truncated"]
+
+
+def test_taint_closure_follows_long_chains(spark):
+    steps = spark.createDataFrame([("f", f"v{i + 1}", f"v{i}") for i in range(19)] + [("f", "v3", "v19"), ("g", "w", "v0")], "func string, target string, source string")
+    known = trace.taint_closure(steps, spark.createDataFrame([("f", "v0")], "func string, name string"))
+    assert {(r["func"], r["name"]) for r in known.collect()} == {("f", f"v{i}") for i in range(20)}
