@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog
+from ..operators import structure
 from ..operators import trace as T
 from ..sources.corpus import pick
 from .duck import listed, q
@@ -73,8 +74,15 @@ def sink_catalogue(spark: SparkSession, sinks: dict = catalog.SINKS_PY) -> DataF
 
 
 def _sql_calls(s: SparkSession, d: str) -> DataFrame:
-    last = F.substring_index("dotted", ".", -1)
-    return _calls(s, d).where(last.isin(catalog.SQL_METHODS_PY) & (F.col("id") % 3 != 0)).select("id", "dotted", F.lit("SQL").alias("sink_type"), F.when(F.col("id") % 3 == 1, "dynamic SQL construction").otherwise("").alias("note"))
+    """SQL sinks among all calls: of three calls one has neither a tainted nor a built argument, one a built and one a tainted argument."""
+    kind = F.col("id") % 3
+    tainted = F.when(kind == 2, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    calls = _calls(s, d).select(
+        F.lit("r").alias("repo"), F.lit("src/calls.py").alias("file"), F.col("id").cast("string").alias("func"), F.lit(1).alias("func_line"), F.lit(2).alias("line"),
+        F.substring_index("dotted", ".", -1).alias("callee"), "dotted", tainted.alias("influenced"), F.lit(False).alias("shell"), (kind == 1).alias("dynamic"),
+    )
+    found = structure.sinks_of(calls, sink_catalogue(s), sink_catalogue(s, catalog.SINKS_JS)).where("sink_type = 'SQL'")
+    return found.select(F.col("func").cast("long").alias("id"), F.col("sink_expr").alias("dotted"), "sink_type", "note")
 
 
 def _assignments(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,8 @@
 import pytest
 
 from tarnwatch.functions import catalog
-from tarnwatch.operators import review, trace
-from tarnwatch.plans import registry
+from tarnwatch.operators import review, structure, trace
+from tarnwatch.plans import graphs, registry
 
 
 def documents(spark, path, rows):
@@ -37,3 +37,13 @@ def test_taint_closure_follows_long_chains(spark):
     steps = spark.createDataFrame([("f", f"v{i + 1}", f"v{i}") for i in range(19)] + [("f", "v3", "v19"), ("g", "w", "v0")], "func string, target string, source string")
     known = trace.taint_closure(steps, spark.createDataFrame([("f", "v0")], "func string, name string"))
     assert {(r["func"], r["name"]) for r in known.collect()} == {("f", f"v{i}") for i in range(20)}
+
+
+def test_sql_sinks_are_decided_by_the_operator(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i,) for i in range(60)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    seen, real = [], structure.sinks_of
+    monkeypatch.setattr(structure, "sinks_of", lambda calls, *sinks: seen.append(calls) or real(calls, *sinks))
+    got = {(r["id"], r["note"]) for r in graphs.QUERIES["sql_sinks"][0](spark, str(tmp_path)).collect()}
+    assert seen[0].count() == 60 and {(r["dynamic"], len(r["influenced"])) for r in seen[0].collect()} == {(False, 0), (True, 0), (False, 1)}
+    methods = [i for i in range(60) if graphs.DOTTED[i % 10].rsplit(".", 1)[-1] in catalog.SQL_METHODS_PY]
+    assert methods and got == {(i, "dynamic SQL construction" if i % 3 == 1 else "") for i in methods if i % 3}
