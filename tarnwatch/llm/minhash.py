@@ -2,7 +2,7 @@
 
 A document's set of word shingles becomes a signature of ``symbols`` minhash values of b = 32 bits.  Two sets of similarity s differ in a share 1 - s of the
 values, so pairs over the similarity threshold lie within a distance ``radius`` of differing values (64 values and radius 26 miss a pair at exactly 0.8
-with a probability of about 3e-5, and less above).  By pigeonhole, if the values are split into chunks such that chunks * (errors + 1) > radius, two signatures
+with a probability of about 4.35e-5, and less above).  By pigeonhole, if the values are split into chunks such that chunks * (errors + 1) > radius, two signatures
 within the radius differ in ``errors`` values at most in some chunk; every choice of such values is masked in turn, and what is left of the chunk is a key.
 So two signatures within the radius share a key, always.
 
