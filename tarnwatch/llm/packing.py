@@ -6,16 +6,19 @@ the residual gap (or a new bin) after which the sum over all gaps of (open bins
 and don't count.  The state is the number of open bins per gap, so its size is bounded by the sequence length.  Within a group the pieces of at least
 a tenth of a sequence come first, large ones before small ones, then the rest in the order of a hash; a group only wastes its own last few bins.
 
-The token ids equal those of the ``tokenizers`` library for the same vocabulary; they are computed with ``tiktoken`` on the rank file of that
-vocabulary, which is several times faster (tests compare the two).
+The token ids are those of ``Tokenizer.from_file(...).encode(text, add_special_tokens=False)`` of the ``tokenizers`` library, added tokens in a text included.
+They are computed with ``tiktoken`` on the rank file of the same vocabulary, which is several times faster (tests compare the two): a text is cut at the added
+tokens of the vocabulary, and at white space of ``LONG_SPACE`` characters and more, which the pattern's look-ahead can't take; such a run is merged as the one piece that it is.
 
-Defined results: null or empty text is one piece with the closing id alone; null doc_id and repeated rows are packed as documents of their own; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null or empty text is one piece with the closing id alone; a text of any length is tokenised whole and cut into pieces; null doc_id and repeated
+rows are packed as documents of their own; of equally good places the one that leaves the smallest gap is taken, and equally long pieces stand in the order of a
+hash; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,26 +34,60 @@ from .common import table, write_table
 
 CAPACITY = 2048
 CLOSING_ID = 0
-VOCABULARY = "byte_bpe_50k.tiktoken"
-SPACE_RUN = re.compile(r"\s\s")
+VOCABULARY = "byte_bpe_50k"
+LONG_SPACE = 10_000
+#: What \s of the tokenizer's pattern stands for.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_RUN = re.compile(f"[{SPACE}]{{2}}")
+LONG_RUN = re.compile(f"[{SPACE}]{{{LONG_SPACE},}}")
+
+
+class Encoder:
+    """Token ids of the vocabulary ``<name>.json``, by the ranks in ``<name>.tiktoken``."""
+
+    def __init__(self, name: str) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+            self.added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
+        pattern = public_tokenizers.PATTERN
+        # without two white spaces in a row the look-ahead decides nothing, and a pattern without it is faster
+        plain = pattern.replace(r"\s+(?!\S)|", "")
+        self.full, self.plain = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("full", pattern), ("plain", plain)))
+
+    def part(self, text: str) -> list[int]:
+        """Ids of a text without added tokens."""
+        if not SPACE_RUN.search(text):
+            return self.plain.encode_ordinary(text)
+        ids, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            # all of the run but its last character is one piece if something follows
+            end = run.end() - (run.end() < len(text))
+            ids += self.full.encode_ordinary(text[at : run.start()])
+            ids += self.full._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.full.encode_ordinary(text[at:])
+
+    def ids(self, text: str) -> list[int]:
+        if not any(t in text for t in self.added):
+            return self.part(text)
+        out: list[int] = []
+        for piece in self.at_added.split(text):
+            out += [self.added[piece]] if piece in self.added else self.part(piece)
+        return out
 
 
 @lru_cache(maxsize=2)
-def encoders(vocabulary: str):
-    """The encoder, and a faster one for texts without two white spaces in a row: there the look-ahead of the pattern decides nothing."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(public_tokenizers.path(vocabulary), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    pattern = public_tokenizers.PATTERN
-    plain = pattern.replace(r"\s+(?!\S)|", "")
-    return [tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for name, p in (("full", pattern), ("plain", plain))]
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def token_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
-    full, plain = encoders(vocabulary)
-    ids = (full if SPACE_RUN.search(text) else plain)(text) if text else []
+    ids = encoder(vocabulary).ids(text) if text else []
     ids.append(CLOSING_ID)
     return np.array(ids, dtype="<u4")
 

@@ -67,16 +67,41 @@ def test_bitmaps(positions):
     assert n == 70 and kept == [str(i) for i in range(70) if i not in positions]
 
 
-def test_token_ids_are_those_of_the_tokenizers_library():
+def reference_ids():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["", "a", "Hello,  world\n\n x", " \t ", "don't stop", "é ñ 漢字  x", "tabs\t\tand \n lines \n", "x" * 3000, "<|endoftext|>", "1 2 33 444 !!! $$$the", "trailing "]
+    return lambda text: [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_token_ids_are_those_of_the_tokenizers_library():
+    ids = reference_ids()
+    texts = ["", "a", "Hello,  world\n\n x", " \t ", "don't stop", "é ñ 漢字  x", "tabs\t\tand \n lines \n", "x" * 3000, "1 2 33 444 !!! $$$the", "trailing ", "a\x1c\x1c b\x85\u2003 \u3000c"]
+    texts += ["<|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>  b", "<|endoftext", " <|endoftext|>\n\n"]
     texts += [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice(["a", "B", "1", ".", " ", "\n", "\t", "'s", "é", "\xa0", "<|endoftext|>", "漢"]) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     for text in texts:
-        assert packing.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+        assert packing.token_ids(text).tolist() == ids(text), repr(text)
+    assert ids("<|endoftext|>") == [50256, 0]
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \t", "\u2003", "x", "ab", "7", "!", "漢"])
+def test_long_runs_are_tokenised(run):
+    ids = reference_ids()
+    for n in (packing.LONG_SPACE - 1, packing.LONG_SPACE):
+        for text in (run * n, f"a{run * n}b", f"{run * n}\nb  c{run * n} ", f"é {run * n}<|endoftext|>{run * n}"):
+            assert packing.token_ids(text).tolist() == ids(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "x"])
+def test_a_million_of_one_character(run):
+    assert packing.token_ids(run * 1_000_000 + "z").tolist() == reference_ids()(run * 1_000_000 + "z")
+
+
+def test_five_million_spaces():
+    assert len(packing.token_ids("a" + " " * 5_000_000 + "b")) == 5_000_002
 
 
 @pytest.mark.parametrize(("n", "capacity"), [(0, 8), (1, 8), (8, 8), (9, 8), (16, 8), (23, 8)])
