@@ -5,18 +5,19 @@ logistic model over hashed byte n-grams, predicts that bit.  Decoding adds, over
 loss between the predicted margin and each codeword, weighted by how reliable the bit was in training,
 and takes the nearest codeword; a small lead over the second marks the text ambiguous.
 
-The models are fitted on at most ``per_lang`` rows of each language (in order of a hash of doc_id);
-prediction covers every row and the whole text.
+The models are fitted on at most ``per_lang`` rows of each language and ``max_rows`` in all (at least one a language), taken in order of a hash of doc_id
+by a filter in the scan: no text is shuffled, and what reaches the driver is a compressed n-gram count of bounded size per sampled row.  Prediction covers every row and the whole text.
 
 Defined results: null, empty or letterless text gives ``und`` with score 0 (not ambiguous); rows with null
-lang or doc_id are predicted and never learned from; equal texts get equal results; ties between codewords
-go to the language that sorts first; if nothing could be learned all rows are ``und``; columns named
-like an output are replaced.
+lang or doc_id are predicted and never learned from; rows equal in doc_id, lang and n-grams are learned from once; equal texts get equal results; a text of
+any length is read whole; ties between codewords go to the language that sorts first; if nothing could be learned all rows are ``und``; an empty table gives
+an empty result; columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,16 +33,20 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 DIMS = 4096
 
 
-def ngram_profile(text: str, dims: int = DIMS) -> np.ndarray:
-    """L2-normalised square roots of the counts of hashed byte 1-, 2- and 3-grams of the lower-cased letters and the gaps between them."""
+def ngram_counts(text: str, dims: int = DIMS) -> np.ndarray:
+    """Counts of hashed byte 1-, 2- and 3-grams of the lower-cased letters and the gaps between them."""
     b = np.frombuffer(b" " + NOT_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace") + b" ", dtype=np.uint8).astype(np.uint32)
     two = b[:-1] * np.uint32(257) + b[1:]
     three = two[:-1] * np.uint32(263) + b[2:]
     counts = np.bincount(b % dims, minlength=dims)
     for g, salt in ((two, 0x9E3779B1), (three, 0x85EBCA6B)):
         counts = counts + np.bincount(((g * np.uint32(salt)) >> np.uint32(11)) % np.uint32(dims), minlength=dims)
-    root = np.sqrt(counts).astype(np.float32)
-    return root / max(float(np.sqrt(counts.sum())), 1.0)
+    return counts
+
+
+def profile(counts: np.ndarray) -> np.ndarray:
+    """L2-normalised square roots of the counts."""
+    return np.sqrt(counts).astype(np.float32) / max(float(np.sqrt(counts.sum())), 1.0)
 
 
 def codewords(n: int, bits: int, seed: int = 5) -> np.ndarray:
@@ -79,7 +84,7 @@ class EcocModel:
         for i, t in enumerate(texts):
             if not self.langs or not t or not LETTER.search(t):
                 continue
-            loss = self.losses(ngram_profile(t)[None, :])[0]
+            loss = self.losses(profile(ngram_counts(t))[None, :])[0]
             p = np.exp(-len(self.reliability) * (loss - loss.min()))
             p /= p.sum()
             best = int(loss.argmin())
@@ -89,11 +94,11 @@ class EcocModel:
         return lang, score, unsure
 
 
-def fit_ecoc(texts: list[str], langs: list[str], bits: int = 15, steps: int = 250, l2: float = 1e-4) -> EcocModel:
+def fit_ecoc(counts: list[np.ndarray], langs: list[str], bits: int = 15, steps: int = 250, l2: float = 1e-4) -> EcocModel:
     names = sorted(set(langs))
     if not names:
         return EcocModel()
-    x = np.stack([ngram_profile(t) for t in texts])
+    x = np.stack([profile(c) for c in counts])
     code = codewords(len(names), bits)
     y = code[[names.index(v) for v in langs]].astype(np.float32)
     share = pd.Series(langs).value_counts()
@@ -109,15 +114,24 @@ def fit_ecoc(texts: list[str], langs: list[str], bits: int = 15, steps: int = 25
     return EcocModel(names, code, w, b, reliability.astype(np.float32))
 
 
-def train_langid(docs: DataFrame, per_lang: int = 1000, bits: int = 15, seed: int = 23) -> EcocModel:
+def train_langid(docs: DataFrame, per_lang: int = 1000, max_rows: int = 8000, bits: int = 15, seed: int = 23) -> EcocModel:
     """Fits on docs (doc_id, text, lang), the training side only; null lang, text or doc_id is left out."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", unit(F.col("doc_id"), F.lit(seed)).alias("u"))
-    share = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    # the expected sample is twice per_lang rows of each language at most; the exact cut follows on the driver
-    picked = rows.join(share, "lang").where(F.col("u") * F.col("n") < 1.2 * per_lang + 50).select("doc_id", "u").distinct()
-    got = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").join(picked, "doc_id").select("doc_id", "u", "lang", "text").toPandas()
-    got = got[np.array([bool(LETTER.search(t)) for t in got["text"]], dtype=bool)].sort_values(["lang", "u", "doc_id"]).groupby("lang").head(per_lang)
-    return fit_ecoc(got["text"].tolist(), got["lang"].tolist(), bits)
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    share = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language, as in the model itself
+    if not share:
+        return EcocModel()
+    per_lang = max(1, min(per_lang, max_rows // len(share)))
+    # the sample expected is a fifth and 50 rows more than wanted; the exact cut follows on the driver
+    most = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.2 * per_lang + 50) / r["n"])) for r in share], "lang string, __tw_most double")
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: zlib.compress(ngram_counts(t).astype("<u4").tobytes(), 1) if LETTER.search(t) else None)
+
+    u = unit(F.col("doc_id"), F.lit(seed))
+    sample = known.join(F.broadcast(most), "lang").where(u < F.col("__tw_most")).select("lang", "doc_id", u.alias("u"), packed("text").alias("counts"))
+    got = sample.where("counts IS NOT NULL").distinct().toPandas().sort_values(["lang", "u", "doc_id", "counts"]).groupby("lang").head(per_lang)
+    return fit_ecoc([np.frombuffer(zlib.decompress(c), dtype="<u4") for c in got["counts"]], got["lang"].tolist(), bits)
 
 
 def identify_language(docs: DataFrame, model: EcocModel, text_col: str = "text") -> DataFrame:

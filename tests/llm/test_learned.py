@@ -53,12 +53,32 @@ def test_language(spark):
 
 def test_language_odd_rows(spark):
     docs = odd(spark)
-    model = langid.fit_ecoc(["the of and", "der die das und", "les des une"], ["en", "de", "fr"])
+    model = langid.fit_ecoc([langid.ngram_counts(t) for t in ("the of and", "der die das und", "les des une")], ["en", "de", "fr"])
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify_language(docs, model).collect()}
     assert {(1, "und"), (2, "und"), (3, "und")} <= got and len(langid.identify_language(docs, model).columns) == 6
     assert langid.train_langid(docs.limit(0)).langs == [] and {r["lang_pred"] for r in langid.identify_language(docs, langid.EcocModel()).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_and_decoding_is_brute_force(spark):
+    words = {"en": "the of and to", "de": "der die das und", "fr": "les des une et"}
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(t.split()).tolist() * 3), lang) for i in range(200) for lang, t in words.items()] + [(1, words["en"], "en")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    real = langid.fit_ecoc
+    try:
+        langid.fit_ecoc = lambda counts, langs, bits: (seen.append((len(counts), {x: langs.count(x) for x in langs})), real(counts, langs, bits))[1]
+        model = langid.train_langid(docs, per_lang=50, max_rows=90)
+    finally:
+        langid.fit_ecoc = real
+    assert seen == [(90, {"de": 30, "en": 30, "fr": 30})]
+    got = langid.identify_language(docs.dropDuplicates(), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.98
+    for r in got[:60]:
+        margins = langid.profile(langid.ngram_counts(r["text"])) @ model.weights + model.bias
+        loss = [sum(w * np.log1p(np.exp(-m * c)) for m, c, w in zip(margins, word, model.reliability, strict=True)) for word in model.code.tolist()]
+        assert model.langs[int(np.argmin(loss))] == r["lang_pred"]
+
+
 def test_codewords_differ():
     for n in (2, 4, 9):
         c = langid.codewords(n, 15)
