@@ -6,13 +6,15 @@ target = least(max_repeat * words, level * weight) with the one level at which t
 
 Sampling: the documents of a source stand in a fixed order, small ones first, so that the words taken follow the copies
 taken; every document is worth target / words of its source copies.  With the prefix sum of those and one random offset of the
-source, a document is emitted once per integer that its stretch of the sum crosses.  Of ``offsets`` random offsets a source uses the one
-whose words come nearest to its target (1: the plain method).  The place in the order is the
-count of all earlier (size class, hash slice) cells plus the place in the cell, so a source with a third of all rows is spread over many tasks.
-
-Defined results: null or empty text has size 0 and takes 0 words; null source is a source of its own; a source without words gets target 0;
-repeated rows take part each for itself; an empty table gives an empty result; reruns agree, as the order and the offsets depend on seed, doc_id
-and size alone.
+source, a document is emitted once per integer that its stretch of the sum crosses: the expected copies of every document are exactly its worth, and
+the words taken differ from the target by less than the longest document of the source.  The place in the order is the
+count of all earlier (size class, slice) cells of the source plus the place in the cell.  A cell holds about ``slice_rows`` rows, and the counts are added up first within
+a size class and then over the classes, so neither a source with a third of all rows nor its counts are one task.
+
+Defined results: null or empty text has size 0 and takes 0 words; null source is a source of its own; a source without words gets target 0; a very long text counts
+with all its words and is taken whole or not at all, 3 times at most; documents of one size stand in the order of a hash, then doc_id;
+repeated rows take part each for itself; an empty table gives an empty result; reruns agree, as the order and the offsets depend on seed, doc_id,
+source and size alone; other columns are ignored by ``plan_mix`` and kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, table, unit, write_table
+from .common import WORD_PATTERN, table, write_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
@@ -42,33 +44,43 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max
     return s.withColumn("free", free).withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("free"), F.lit(0.0)) * F.col("weight"))).select("no_source", "source_name", "source_size", "target")
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 29, slices: int = 64, offsets: int = 16, keep: list[str] | None = None) -> DataFrame:
+def size_class(size: Column) -> Column:
+    """A number that rises with size, eight to each doubling, by whole numbers only."""
+    bits = F.length(F.bin(size))
+    return (bits * 8 + F.when(bits > 4, F.floor(size / F.pow(F.lit(2.0), bits - 4)) % 8).otherwise(size % 8)).cast("int")
+
+
+def uniform(*parts: Column) -> Column:
+    """A whole number in [0, 2**32) that only depends on parts."""
+    return F.conv(F.left(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]).cast("binary")), F.lit(8)), 16, 10).cast("long")
+
+
+def copies_of(place: Column, each: Column, offset: Column, max_repeat: int = MAX_REPEAT) -> Column:
+    """How many integers lie in (place * each + offset, (place + 1) * each + offset]."""
+    return F.least(F.floor((place + 1) * each + offset) - F.floor(place * each + offset), F.lit(max_repeat)).cast("long")
+
+
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 29, slice_rows: int = 50_000, keep: list[str] | None = None) -> DataFrame:
     """Copies of every row of docs (doc_id, text, source): the columns of keep and doc_id, size, source_size, target, copies."""
     keep = keep or []
     source = [F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_name")]
     sized = docs.select("doc_id", *keep, *source, word_count(F.col("text")).alias("size"))
-    sized = sized.withColumn("class", F.floor(8 * F.log2(F.col("size") + F.lit(1.0))).cast("int")).withColumn("u", F.xxhash64("doc_id", "size", F.lit(seed)))
-    sized = write_table(sized.withColumn("slice", F.pmod("u", F.lit(slices)).cast("int")), "op3-sized")
+    sized = write_table(sized.withColumn("class", size_class(F.col("size"))).withColumn("u", uniform(F.lit(seed), F.col("doc_id"), F.col("size"))), "op3-sized")
+    slices = max(1, sized.count() // slice_rows)
+    sized = sized.withColumn("slice", (F.col("u") % slices).cast("int"))
     name = ["no_source", "source_name"]
     cells = write_table(sized.groupBy(*name, "class", "slice").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "op3-cells")
-    targets = source_targets(cells.groupBy(*name).agg(F.sum("words").alias("source_size")), weights, max_repeat)
-    before = F.sum("n").over(Window.partitionBy(*name).orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1))
-    starts = cells.select(*name, "class", "slice", F.coalesce(before, F.lit(0)).alias("start")).join(targets, name)
+    classes = write_table(cells.groupBy(*name, "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "op3-classes")
+    targets = source_targets(classes.groupBy(*name).agg(F.sum("words").alias("source_size")), weights, max_repeat)
+    earlier = lambda within, by: F.coalesce(F.sum("n").over(Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = classes.select(*name, "class", earlier(name, "class").alias("base")).join(targets, name)
+    starts = cells.select(*name, "class", "slice", earlier([*name, "class"], "slice").alias("start")).join(bases, [*name, "class"])
+    starts = starts.select(*name, "class", "slice", (F.col("base") + F.col("start")).alias("start"), "source_size", "target")
     place = F.col("start") + F.row_number().over(Window.partitionBy(*name, "class", "slice").orderBy("size", "u", "doc_id")) - 1
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    ranked = sized.join(starts, [*name, "class", "slice"]).withColumn("place", place).withColumn("each", each)
-    ranked = write_table(ranked.select("doc_id", *keep, *name, "size", "source_size", "target", "place", "each"), "op3-ranked")
-
-    def copies(offset: Column) -> Column:
-        crossed = F.floor((F.col("place") + 1) * F.col("each") + offset) - F.floor(F.col("place") * F.col("each") + offset)
-        return F.least(crossed, F.lit(max_repeat)).cast("long")
-
-    draws = [F.floor(unit(F.col("source_name"), F.col("no_source"), F.lit(seed + i)) * F.lit(float(1 << 20))) / F.lit(float(1 << 20)) for i in range(offsets)]
-    off_target = [F.abs(F.sum(copies(u) * F.col("size")) - F.max("target")) for u in draws]
-    best = F.array_min(F.array(*[F.struct(e.alias("error"), F.first(u).alias("offset")) for e, u in zip(off_target, draws, strict=True)]))["offset"]
-    chosen = ranked.groupBy(*name).agg(best.alias("offset"))
-    ranked = ranked.join(chosen, name).withColumn("copies", copies(F.col("offset")))
-    return ranked.select("doc_id", *keep, "size", "source_size", "target", "copies")
+    offset = uniform(F.lit(seed + 1), F.col("no_source").cast("int"), F.col("source_name")) / F.lit(float(1 << 32))
+    ranked = sized.join(starts, [*name, "class", "slice"])
+    return ranked.select("doc_id", *keep, "size", "source_size", "target", copies_of(place, each, offset, max_repeat).alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -91,3 +103,34 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source_name,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents
+), u AS (
+  SELECT *, ('0x' || md5(concat_ws('|', '29', coalesce(doc_id::VARCHAR, 'null'), size::VARCHAR))[1:8])::BIGINT AS u, length(bin(size)) AS bits FROM d
+), c AS (
+  SELECT *, bits * 8 + CASE WHEN bits > 4 THEN (size >> (bits - 4)) & 7 ELSE size & 7 END AS class, u % greatest(1, (SELECT count(*) FROM d) // 50000) AS slice FROM u
+), s AS (
+  SELECT no_source, source_name, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY no_source, source_name) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 3.0::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM w WINDOW before AS (ORDER BY cap / weight, no_source, source_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT *, first_value(CASE WHEN cap >= level * weight THEN level END IGNORE NULLS) OVER (ORDER BY cap / weight, no_source, source_name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS free FROM l
+), t AS (
+  SELECT no_source, source_name, source_size, least(cap, coalesce(free, 0) * weight) AS target,
+         ('0x' || md5(concat_ws('|', '30', no_source::INT::VARCHAR, source_name))[1:8])::BIGINT / 4294967296.0::DOUBLE AS off FROM f
+), p AS (
+  SELECT c.doc_id, c.size, t.source_size, t.target, t.off, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each,
+         row_number() OVER (PARTITION BY no_source, source_name ORDER BY class, slice, size, u, doc_id NULLS FIRST) - 1 AS place
+  FROM c JOIN t USING (no_source, source_name)
+), e AS (
+  SELECT *, least(floor((place + 1) * each + off) - floor(place * each + off), 3)::BIGINT AS copies FROM p
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM e
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op5_minhash": minhash.OP5_SQL, "op6_cover_tree": cover_tree.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op5_minhash": minhash.OP5_SQL, "op6_cover_tree": cover_tree.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}

@@ -1,6 +1,7 @@
 """Exact dedup, mixing and sharding: against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -77,26 +78,65 @@ def test_targets(spark, sizes):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
-def test_mix(spark):
-    rng = random.Random(4)
-    more = [(100 + i, " ".join("w" for _ in range(rng.randint(1, 60)))) for i in range(1500)]
-    docs = odd_documents(spark, more).where("doc_id IS NULL OR doc_id NOT IN (6, 7, 8)")
-    plan = mixing.plan_mix(docs, keep=["source"]).collect()
-    assert sorted(map(str, plan)) == sorted(map(str, mixing.plan_mix(docs.repartition(7), keep=["source"]).collect()))
-    by = {}
-    for r in plan:
-        assert 0 <= r["copies"] <= 3
-        t = by.setdefault(r["source"], [0, r["target"]])
-        t[0] += r["copies"] * r["size"]
-    assert all(abs(taken - target) <= 60 for taken, target in by.values())
-    mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in plan)
+def brute_mix(rows, sizes, targets, seed, slices, hashed):
+    """rows (doc_id, source, size): sorted (doc_id, source, size, copies) of a plain systematic sampler."""
+    out = []
+    for source in sizes:
+        mine = [(size, i) for i, s, size in rows if s == source]
+        bits = lambda n: len(f"{n:b}")
+        of_class = lambda n: bits(n) * 8 + ((n >> bits(n) - 4) & 7 if bits(n) > 4 else n & 7)
+        mine.sort(key=lambda r: (of_class(r[0]), hashed(seed, r[1], r[0]) % slices, r[0], hashed(seed, r[1], r[0]), r[1] is not None, r[1] or 0))
+        each = targets[source] / sizes[source] if sizes[source] else 0.0
+        offset = hashed(seed + 1, int(source is None), source or "") / 2**32
+        for place, (size, i) in enumerate(mine):
+            out.append((i, source, size, min(3, math.floor((place + 1) * each + offset) - math.floor(place * each + offset))))
+    return sorted(out, key=repr)
 
 
-def test_mix_is_unbiased_in_count(spark):
-    docs = spark.createDataFrame([(i, "one two", f"s{i % 2}") for i in range(400)], "doc_id long, text string, source string")
-    n = {r["source_size"]: 0 for r in mixing.plan_mix(docs, offsets=1).collect()}
-    assert list(n) == [400]
+@pytest.mark.parametrize(("seed", "slice_rows"), [(29, 50_000), (7, 100)])
+def test_mix(spark, seed, slice_rows):
+    rng = random.Random(4)
+    more = [(100 + i, " ".join("w" for _ in range(rng.randint(1, 60)))) for i in range(1500)]
+    docs = odd_documents(spark, more)
+    plan = mixing.plan_mix(docs, keep=["source"], seed=seed, slice_rows=slice_rows).collect()
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.plan_mix(docs.repartition(7), keep=["source"], seed=seed, slice_rows=slice_rows).collect()))
+    rows = [(r["doc_id"], r["source"], len((r["text"] or "").split())) for r in docs.collect()]
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    targets = brute_targets(sizes)
+    hashed = lambda *parts: int(hashlib.md5("|".join("null" if p is None else str(p) for p in parts).encode()).hexdigest()[:8], 16)
+    got = sorted(((r["doc_id"], r["source"], r["size"], r["copies"]) for r in plan), key=repr)
+    assert got == brute_mix(rows, sizes, targets, seed, max(1, len(rows) // slice_rows), hashed)
+    assert all(abs(r["target"] - targets[r["source"]]) < 1e-6 for r in plan)
+    for s in sizes:
+        taken = sum(n * c for _, x, n, c in got if x == s)
+        assert abs(taken - targets[s]) <= max(n for _, x, n in rows if x == s)
+    mixed = mixing.mix(docs, seed=seed)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in mixing.plan_mix(docs, seed=seed).collect())
+
+
+def test_sampling_is_unbiased(spark):
+    """Over 1,000 even offsets every place of every worth is taken worth times on average, and only floor or ceiling times."""
+    grid = spark.range(1000).select((F.col("id") / 1000.0).alias("offset")).crossJoin(spark.range(40).withColumnRenamed("id", "place")).crossJoin(spark.createDataFrame([(0.0,), (0.3,), (1.0,), (1.75,), (2.9,), (3.0,)], "each double"))
+    rows = grid.groupBy("place", "each").agg(F.avg(mixing.copies_of(F.col("place"), F.col("each"), F.col("offset"))).alias("mean"), F.min(mixing.copies_of(F.col("place"), F.col("each"), F.col("offset"))).alias("low"), F.max(mixing.copies_of(F.col("place"), F.col("each"), F.col("offset"))).alias("high")).collect()
+    assert len(rows) == 240 and all(abs(r["mean"] - r["each"]) < 0.0021 and r["low"] >= math.floor(r["each"]) and r["high"] <= math.ceil(r["each"]) for r in rows)
+
+
+def test_mix_takes_every_document_sometimes(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
+    n = {i: 0 for i in range(60)}
+    for seed in range(12):
+        for r in mixing.plan_mix(docs, seed=seed).collect():
+            n[r["doc_id"]] += r["copies"]
+    by = [sum(n[i] for i in range(60) if i % 3 == k) / 12 / 20 for k in range(3)]
+    assert min(n.values()) > 0 and by[0] > by[1] > by[2]
+
+
+def test_mix_sql(spark):
+    docs = "/root/testdata/sf0.001/documents.parquet"
+    want = duckdb.sql(mixing.OP3_SQL.replace("FROM documents", f"FROM '{docs}'")).fetchall()
+    assert sorted(map(tuple, mixing.op3_mixing(spark, "/root/testdata/sf0.001").collect())) == sorted(want)
 
 
 @pytest.mark.parametrize(("population", "good", "draws"), [(30, 12, 9), (10, 10, 4), (8, 3, 8), (200, 100, 50)])
@@ -130,6 +170,29 @@ def test_shards(spark):
     assert len(got) == docs.count() and sizes[-1] - sizes[0] <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
     want = sorted((str(r["doc_id"]), len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
-    known = docs.where("doc_id IS NOT NULL")  # rows without an id are told apart by their place in the input
-    one, two = (sorted(map(tuple, sharding.shuffle_shards(d).collect())) for d in (known, known.repartition(5)))
-    assert one == two
+    again = sharding.shuffle_shards(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def chi_square(counts, cells):
+    want = sum(counts.values()) / cells
+    return sum((counts.get(c, 0) - want) ** 2 / want for c in range(cells))
+
+
+@pytest.mark.parametrize("range_rows", [16384, 64])
+def test_equal_rows_are_spread(spark, range_rows):
+    """400 equal rows and 6,000 others: both fall evenly on (shard, quarter of its slots), and one in four or so of the equal rows' neighbours is equal by chance only."""
+    docs = spark.range(6400).selectExpr("IF(id < 400, 1, id) AS doc_id", "IF(id < 400, 'same', concat('t', id)) AS text")
+    got = sharding.shuffle_shards(docs, range_rows=range_rows).toPandas()
+    per = len(got) // 8
+    for rows in (got[got.doc_id == 1], got[got.doc_id != 1]):
+        cells = (rows.shard * 4 + rows.slot * 4 // per).value_counts().to_dict()
+        assert chi_square(cells, 32) < 62  # 31 degrees of freedom: beyond in 1 of 1,000 cases
+    place = sorted((got[got.doc_id == 1].shard * per + got[got.doc_id == 1].slot).tolist())
+    assert sum(b - a == 1 for a, b in zip(place, place[1:])) < 60  # 25 by chance
+
+
+def test_places_are_uniform(spark):
+    got = sharding.shuffle_shards(spark.range(16_000).selectExpr("id AS doc_id", "'x' AS text")).toPandas()
+    cells = (got.doc_id // 1000 * 32 + got.shard * 4 + got.slot * 4 // 2000).value_counts().to_dict()
+    assert chi_square(cells, 512) < 620  # 511 degrees of freedom
