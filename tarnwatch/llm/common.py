@@ -3,7 +3,7 @@
 Intermediate tables are written below the folder that the session names in
 ``spark.checkpoint.dir`` (every executor sees it), so a lost executor costs a
 re-read and never the lineage.  ``/tmp/checkpoints`` is only taken where the
-setting is absent, as in local tests.
+setting is absent and the master is local, as in tests; on a cluster without the setting an error says so.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a local one if unset."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a local one if unset on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that every executor sees")
         spark.sparkContext.setCheckpointDir(FALLBACK_DIR)
         base = FALLBACK_DIR
     return f"{base.rstrip('/')}/tarnwatch/{spark.sparkContext.applicationId}"
@@ -57,6 +59,19 @@ def release(spark: SparkSession) -> None:
     place.getFileSystem(conf).delete(place, True)
 
 
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left with the row of right for its keys.  right's keys are distinct, and weight says how many rows of left have them.
+
+    The keys that hold more than 1/1024 of left's total rows, 1,023 at most, are looked up in place through a broadcast; all others meet in
+    a merge join, where no key is large.  Both tables are read twice, so they should be written ones.
+    """
+    heavy = right.where(F.col(weight) * 1024 > total)
+    light = right.where(F.col(weight) * 1024 <= total)
+    hot = left.join(F.broadcast(heavy), keys)
+    cold = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys, how)
+    return hot.unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,14 +3,15 @@
 A text without its white space is cut into blocks of ``block_chars`` code points.  The distinct blocks of the
 corpus, in the order of (64-bit hash, block), are numbered 0, 1, 2 ...: the name of a block.  Then adjacent names
 are paired, the distinct pairs are sorted and numbered in the same way, and so on until one name is left for each document.
-Two documents have the same number of blocks and the same last name exactly if their normalised texts are equal:
-blocks that share a hash are told apart by their text, so no identity rests on a hash.
+Two documents have the same number of blocks and the same last name exactly if their normalised texts are equal: the hash only shortens what is sorted.
+Different blocks that share a hash are told apart and named by their text; there, the blocks of a text are found again by its SHA-256 and place.
 
 Rows move as (row, position, name); only the distinct blocks are shuffled as text, combined on the map side first.
-A level halves the names of a document, so the levels are log2 of the longest document's blocks.
+Numbers come from a range-partitioned sort and the sizes of its partitions, so no key or bucket is one task.  Names that over 1/1024 of all rows share, 1,023 at
+most, are looked up through a broadcast, all others by a merge join.  A level halves the names of a document, so the levels are log2 of the longest document's blocks.
 
 Defined results: null text counts as empty and all empty texts are one group; a null doc_id sorts last among equally long
-texts; repeated rows are separate members of a group (of fully tied rows one stays); an empty table gives an empty
+texts; repeated rows are separate members of a group (of fully tied rows one stays); very long texts are named whole, block by block; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -19,9 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, drop_table, table, write_table
-
-BUCKET_BITS = 12  # names are counted in 4096 ranges of the sort order
+from .common import SPACE_CLASS, drop_table, lookup, table, write_table
 
 
 def normalised(text: Column) -> Column:
@@ -33,16 +32,15 @@ def blocks_of(norm: Column, block_chars: int) -> Column:
     return F.regexp_extract_all(norm, F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
 
 
-def numbered(keys: DataFrame, order: list[str], bucket: Column, weight: str | None = None) -> DataFrame:
-    """keys, which are distinct in order, with ``name``: how many (sum of weight) come before in that order.
-    bucket must not fall as order rises; it has at most 2**BUCKET_BITS values, so their totals are a small table."""
-    n = F.col(weight) if weight else F.lit(1)
-    keys = keys.withColumn("bucket", bucket)
-    totals = keys.groupBy("bucket").agg(F.sum(n).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(totals.select("bucket", before.alias("start")))  # 4096 rows at most
-    inside = F.coalesce(F.sum(n).over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keys.withColumn("inside", inside).join(starts, "bucket").withColumn("name", F.col("start") + F.col("inside")).drop("bucket", "start", "inside")
+def numbered(keys: DataFrame, order: list[str]) -> DataFrame:
+    """keys, which are distinct in order, as a written table with ``name``: how many come before in that order."""
+    at = F.monotonically_increasing_id()  # partition and place in it
+    sorted_keys = write_table(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), "op2-sorted")
+    part = F.shiftright("__at", 33).alias("__part")
+    sizes = sorted_keys.groupBy(part).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__part", before.alias("__start")))  # one row a partition of the sort
+    return sorted_keys.withColumn("__part", F.shiftright("__at", 33)).join(starts, "__part").withColumn("name", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__start")
 
 
 def name_documents(docs: DataFrame, block_chars: int = 4096, hasher=F.xxhash64) -> tuple[DataFrame, DataFrame]:
@@ -61,19 +59,19 @@ def name_documents(docs: DataFrame, block_chars: int = 4096, hasher=F.xxhash64)
         "op2-rows",
     )
     one = parts.select(F.explode("blocks").alias("block")).select(hasher(F.col("block")).alias("h"), "block")
-    distinct = one.groupBy("h", "block").agg(F.lit(1).alias("one"))
-    hashes = write_table(distinct.groupBy("h").agg(F.count("*").alias("n")), "op2-hashes")
-    top = F.shiftright(F.col("h"), 64 - BUCKET_BITS)
-    names = numbered(hashes, ["h"], top, "n")
-    shared = hashes.where("n > 1").select("h")
-    placed = rows.select("rid", "n_blocks", F.posexplode("hashes").alias("pos", "h")).join(names, "h")
-    if shared.limit(1).count():
-        # blocks with one hash but different text: rank them by their text
+    distinct = one.groupBy("h", "block").agg(F.count("*").alias("rows"))
+    hashes = write_table(distinct.groupBy("h").agg(F.count("*").alias("texts"), F.sum("rows").alias("rows")), "op2-hashes")
+    n_texts, n_rows = hashes.agg(F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    n_hashes = hashes.count()
+    placed = lookup(rows.select("rid", "n_blocks", F.posexplode("hashes").alias("pos", "h")), numbered(hashes, ["h"]), ["h"], "rows", n_rows)
+    if n_texts > n_hashes:
+        # blocks with one hash but different text are named by their text, after all others
+        shared = hashes.where("texts > 1").select("h")
         texts = one.join(shared, "h", "left_semi").distinct()
-        ranks = texts.select("h", "block", (F.row_number().over(Window.partitionBy("h").orderBy("block")) - 1).alias("rank"))
-        again = parts.select(F.monotonically_increasing_id().alias("scan"), "doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.posexplode("blocks").alias("pos", "block")).select("text_sha256", "pos", "block", hasher(F.col("block")).alias("h"))
-        found = again.join(shared, "h", "left_semi").distinct().join(ranks, ["h", "block"]).select("text_sha256", "pos", "rank").distinct()
-        placed = placed.join(rows.select("rid", "text_sha256"), "rid").join(found, ["text_sha256", "pos"], "left").withColumn("name", F.col("name") + F.coalesce("rank", F.lit(0)))
+        names = numbered(texts, ["h", "block"]).select("h", "block", (F.col("name") + n_hashes).alias("own"))
+        again = parts.select(F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.posexplode("blocks").alias("pos", "block")).select("text_sha256", "pos", "block", hasher(F.col("block")).alias("h"))
+        found = again.join(shared, "h", "left_semi").distinct().join(names, ["h", "block"]).select("text_sha256", "pos", "own")
+        placed = placed.join(rows.select("rid", "text_sha256"), "rid").join(found, ["text_sha256", "pos"], "left").withColumn("name", F.coalesce("own", "name"))
     level = write_table(placed.select("rid", "n_blocks", F.col("pos").cast("long").alias("pos"), F.col("name").cast("long").alias("name")), "op2-level0")
     done = [rows.where("n_blocks = 0").select("rid", "n_blocks", F.lit(-1).cast("long").alias("name")), level.where("n_blocks = 1").select("rid", "n_blocks", "name")]
     longest = rows.agg(F.max("n_blocks")).first()[0] or 0
@@ -81,12 +79,9 @@ def name_documents(docs: DataFrame, block_chars: int = 4096, hasher=F.xxhash64)
     while step < longest:
         pairs = width.groupBy("rid", "n_blocks", F.shiftright("pos", 1).alias("pos")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r"))
         pairs = write_table(pairs, "op2-pairs")
-        kinds = write_table(pairs.select("l", "r").distinct(), "op2-kinds")
-        high = (kinds.agg(F.max("l")).first()[0] or 0) + 1
-        spread = F.floor(F.col("l") * F.lit(float(1 << BUCKET_BITS) / high)).cast("long")
-        level = write_table(pairs.join(numbered(kinds, ["l", "r"], spread), ["l", "r"]).select("rid", "n_blocks", "pos", F.col("name").cast("long").alias("name")), "op2-level")
+        kinds = numbered(pairs.groupBy("l", "r").agg(F.count("*").alias("rows")), ["l", "r"])
+        level = write_table(lookup(pairs, kinds, ["l", "r"], "rows", pairs.count()).select("rid", "n_blocks", "pos", F.col("name").cast("long").alias("name")), "op2-level")
         drop_table(pairs)
-        drop_table(kinds)
         step *= 2
         done.append(level.where(F.col("n_blocks") <= step).select("rid", "n_blocks", "name"))
         width = level.where(F.col("n_blocks") > step)
@@ -99,10 +94,11 @@ def name_documents(docs: DataFrame, block_chars: int = 4096, hasher=F.xxhash64)
 def exact_groups(docs: DataFrame, block_chars: int = 4096, hasher=F.xxhash64) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     rows, identities = name_documents(docs, block_chars, hasher)
-    all_rows = rows.drop("n_blocks").join(identities, "rid")
+    all_rows = write_table(rows.drop("n_blocks").join(identities, "rid"), "op2-named")
     best = F.min(F.struct((-F.col("n_code_points")).alias("c"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid")))
-    groups = all_rows.groupBy("n_blocks", "name").agg(best.alias("keep"), F.count("*").alias("group_size"))
-    return all_rows.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")
+    groups = write_table(all_rows.groupBy("n_blocks", "name").agg(best.alias("keep"), F.count("*").alias("group_size")), "op2-groups")
+    both = lookup(all_rows, groups, ["n_blocks", "name"], "group_size", all_rows.count())
+    return both.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
