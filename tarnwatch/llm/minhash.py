@@ -7,13 +7,17 @@ within the radius differ in ``errors`` values at most in some chunk; every choic
 So two signatures within the radius share a key, always.
 
 Documents with equal sets are one representative.  Keys of one representative are dropped; in each other bucket signatures are compared (8 bits of each value, which can only
-shrink the distance), and a spanning forest of the pairs within the radius is kept.  Its components hold all links; within each, full sets built from the whole
-texts confirm the links that join different parts.  Large buckets and components are cut into blocks, and every pair of blocks is a group of
-its own, so no group is gathered in one task and none is capped.
+shrink the distance), and a spanning forest of the pairs within the radius is kept.  Its components, the families, hold all links; within each, full sets built from the whole
+texts confirm the links that join different parts.
 
-Defined results: documents without words have an empty set, link with nothing and are kept; equal sets are linked; a null doc_id comes last when the smallest id
+Large groups, buckets as well as families, take two steps.  First their members are dealt into blocks by a hash and each block is compared within itself, so every
+row is sent once; components of all that was found follow.  Then only members of groups that still hold several components are sent again: those of the largest component in its
+blocks, all others to every one of them, so that every pair of different components is compared and none within one.  So no group is gathered in one task, none is capped, and a
+group of copies of one template is read once, whatever its size.  What stays quadratic is a group in which many members are close by signature and yet apart by their sets.
+
+Defined results: documents without words have an empty set, link with nothing and are kept; equal sets are linked; very long texts are read whole; a null doc_id comes last when the smallest id
 of a component is chosen (a component without ids has a null component_id and none kept); repeated rows get equal results; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored by ``near_duplicates`` and kept by ``keep_first``.  Shingles are known by 64-bit hashes: ``n_shingles`` counts distinct hashes.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, table, write_table
+from .common import drop_table, lookup, table, write_table
 from .components import UnionFind, connected_components
 
 SYMBOLS, RADIUS, CHUNKS, ERRORS = 64, 26, 14, 1
@@ -143,11 +147,28 @@ def forest(close: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def blocks(df: DataFrame, group: str, n_blocks, member: str) -> DataFrame:
-    """df with (i, j): each row once for every pair of blocks that its own block is in; a group with one block is (0, 0)."""
-    own = F.pmod(F.xxhash64(member), n_blocks)
-    others = F.when(n_blocks <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda k: k != own))
-    return df.withColumn("_own", own).withColumn("_other", F.explode(others)).withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_own", "_other")
+def dealt(df: DataFrame, group: str, n_blocks: Column, member: str) -> DataFrame:
+    """df with (i, j), a block of its group, and ``part``, the member itself: nothing is joined yet."""
+    own = F.pmod(F.xxhash64(member, group), F.greatest(n_blocks, F.lit(1)))
+    return df.withColumn("i", own).withColumn("j", own).withColumn("part", F.col(member))
+
+
+def apart(df: DataFrame, components: DataFrame, group: str, member: str, block_rows: Column) -> DataFrame:
+    """The rows of df (group, member, ...), whose groups are large, that must meet others of a different component: (i, j) is a pair of blocks and ``part`` the component.
+
+    The first blocks are those of the group's largest component, the others those of all other members; pairs of two first blocks are left out.
+    """
+    rows = df.join(components.select(F.col("id").alias(member), "component"), member, "left").withColumn("part", F.coalesce("component", F.col(member))).drop("component")
+    parts = rows.groupBy(group, "part").agg(F.count("*").alias("n"))
+    groups = parts.groupBy(group).agg(F.max(F.struct("n", F.col("part").alias("most"))).alias("top"), F.sum("n").alias("g")).select(group, "top.most", "top.n", "g").where("g > n")
+    rows = rows.join(groups, group)
+    n_first, n_other = F.ceil(F.col("n") / block_rows), F.ceil((F.col("g") - F.col("n")) / block_rows)
+    hashed = F.xxhash64(member, group, F.lit(1))
+    own = F.when(F.col("part") == F.col("most"), F.pmod(hashed, n_first)).otherwise(n_first + F.pmod(hashed, n_other))
+    rows = rows.withColumn("_own", own).withColumn("_first", n_first).withColumn("_all", n_first + n_other)
+    others = F.when(F.col("_own") < F.col("_first"), F.sequence(F.col("_first"), F.col("_all") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_all") - 1))
+    rows = rows.withColumn("_other", F.explode(others)).withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other"))
+    return rows.drop("_own", "_other", "_first", "_all", "most", "n", "g")
 
 
 def by_group(df: DataFrame, group: str, work: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
@@ -182,50 +203,65 @@ def by_group(df: DataFrame, group: str, work: Callable[[pd.DataFrame], list[tupl
 
 
 def close_signatures(frame: pd.DataFrame, cuts: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forests of the signatures within the radius, group by group."""
+    """Spanning forests of the signatures within the radius, group by group; members of one part count as joined."""
     sigs = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint8).reshape(-1, SYMBOLS)
-    reps, sizes, edges = frame["rep"].to_numpy(), np.diff(cuts), []
+    reps, part, sizes, edges = frame["rep"].to_numpy(), frame["part"].to_numpy(), np.diff(cuts), []
     for k in np.unique(sizes):
         starts = cuts[:-1][sizes == k]
         if k == 1:
             continue
         if k <= 6:  # many small groups at once
             for a, b in combinations(range(int(k)), 2):
-                near = (sigs[starts + a] != sigs[starts + b]).sum(axis=1) <= RADIUS
+                near = ((sigs[starts + a] != sigs[starts + b]).sum(axis=1) <= RADIUS) & (part[starts + a] != part[starts + b])
                 edges.append(np.stack([reps[starts[near] + a], reps[starts[near] + b]], axis=1))
             continue
         for s in starts:
-            part = sigs[s : s + k]
+            rows = sigs[s : s + k]
+            kinds, at = np.unique(part[s : s + k], return_inverse=True)
+            if len(kinds) == 1:
+                continue
+            whole = len(kinds) == k  # nothing is joined yet
             close = np.zeros((k, k), dtype=bool)
             for x in range(0, k, 64):
-                close[x : x + 64] = (part[x : x + 64, None, :] != part[None, :, :]).sum(axis=2) <= RADIUS
-            edges.append(np.array([(reps[s + a], reps[s + b]) for a, b in forest(close)], dtype=np.int64).reshape(-1, 2))
+                close[x : x + 64] = (rows[x : x + 64, None, :] != rows[None, :, :]).sum(axis=2) <= RADIUS
+            if whole:
+                found = forest(close)
+            else:
+                joined, found = UnionFind(), []
+                for x, y in zip(*np.nonzero(np.triu(close & (at[:, None] != at[None, :]))), strict=True):
+                    if joined.union(int(at[x]), int(at[y])):
+                        found.append((x, y))
+            edges.append(np.array([(reps[s + a], reps[s + b]) for a, b in found], dtype=np.int64).reshape(-1, 2))
     return np.unique(np.concatenate(edges), axis=0).tolist() if edges else []
 
 
 def confirm(width: int, percent: int) -> Callable[[pd.DataFrame, np.ndarray], list[tuple[int, int]]]:
+    """Links between members of different parts, confirmed on full sets, as a spanning forest; the closest signatures are tried first."""
+
     def work(frame: pd.DataFrame, cuts: np.ndarray) -> list[tuple[int, int]]:
         words, edges = Words(), []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            part = frame.iloc[s:e].drop_duplicates("rep")
-            reps = part["rep"].tolist()
-            if len(reps) < 2:
+            rows = frame.iloc[s:e].drop_duplicates("rep")
+            reps, part = rows["rep"].tolist(), rows["part"].to_numpy()
+            if len(np.unique(part)) < 2:
                 continue
-            sets = [shingle_set(t, width, words) for t in part["text"]]
-            sigs = np.frombuffer(b"".join(part["sig"]), dtype=np.uint8).reshape(-1, SYMBOLS)
+            sets = [shingle_set(t, width, words) for t in rows["text"]]
+            sigs = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint8).reshape(-1, SYMBOLS)
             size = np.array([len(x) for x in sets])
             order = []
             for x in range(len(reps) - 1):
                 far = (sigs[x + 1 :] != sigs[x]).sum(axis=1)
                 fits = np.minimum(size[x + 1 :], size[x]) * 100 >= percent * np.maximum(size[x + 1 :], size[x])
-                order += [(int(far[y]), x, x + 1 + int(y)) for y in np.flatnonzero((far <= RADIUS) & fits)]
+                at = np.flatnonzero((far <= RADIUS) & fits & (part[x + 1 :] != part[x]))
+                order.append(np.stack([far[at], np.full(len(at), x), x + 1 + at], axis=1))
+            order = np.concatenate(order)
             joined = UnionFind()
-            for _, x, y in sorted(order):
-                if joined.find(x) == joined.find(y):
+            for _, x, y in order[np.argsort(order[:, 0], kind="stable")].tolist():
+                if joined.find(int(part[x])) == joined.find(int(part[y])):
                     continue
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if 100 * both >= percent * (size[x] + size[y] - both):
-                    joined.union(x, y)
+                    joined.union(int(part[x]), int(part[y]))
                     edges.append((reps[x], reps[y]))
         return edges
 
@@ -235,31 +271,53 @@ def confirm(width: int, percent: int) -> Callable[[pd.DataFrame, np.ndarray], li
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bucket_rows: int = 512, block_rows: int = 512, block_shingles: int = 1_000_000) -> DataFrame:
     """One row per row of docs (doc_id, text): rid, doc_id, text_hash, n_shingles, component_id, first (of its component, by doc_id and rid)."""
     rows = write_table(sketch(docs, width), "op5-rows")
-    sets = write_table(rows.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("rep")), "op5-sets")
+    sets = write_table(rows.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")), "op5-sets")
     reps = write_table(rows.join(sets.select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), "doc_id", "text_hash", "n_shingles", "minhash", "sig"), "op5-reps")
-    keys = bucket_keys(reps)
-    shared = keys.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
-    buckets = keys.join(shared, "key").join(reps.select("rep", "sig"), "rep")
-    buckets = blocks(buckets, "key", F.ceil(F.col("g") / bucket_rows), "rep")
-    close = write_table(by_group(buckets.select("key", "i", "j", "rep", "sig"), "key", close_signatures).distinct(), "op5-close")
+    close = close_pairs(reps, bucket_rows)
     families = write_table(connected_components(close).select(F.col("id").alias("rep"), F.col("component").alias("family")), "op5-families")
     members = families.join(reps.drop("minhash"), "rep")
     total = members.groupBy("family").agg(F.count("*").alias("g"), F.sum("n_shingles").alias("all_shingles"))
     n_blocks = F.greatest(F.ceil(F.col("g") / block_rows), F.ceil(F.col("all_shingles") / block_shingles))
-    members = write_table(members.join(total, "family").select("family", "rep", "sig", F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), n_blocks.alias("n_blocks")), "op5-members")
+    members = write_table(members.join(total, "family").select("family", "rep", "sig", F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), n_blocks.alias("n_blocks"), F.ceil(F.col("g") / n_blocks).alias("in_block")), "op5-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = members.join(texts, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")))
-    pairs = blocks(found, "family", F.col("n_blocks"), "rep").select("family", "i", "j", "rep", "sig", "text")
-    links = write_table(by_group(pairs, "family", confirm(width, percent)), "op5-links")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")))
+        return write_table(by_group(found.select("family", "i", "j", "rep", "part", "sig", "text"), "family", confirm(width, percent)), "op5-links")
+
+    links = confirmed(dealt(members, "family", F.col("n_blocks"), "rep"))
+    large = members.where("n_blocks > 1")
+    if not large.isEmpty():
+        # what the blocks of large families left apart
+        again = confirmed(apart(large, write_table(connected_components(links), "op5-parts"), "family", "rep", F.greatest(F.col("in_block"), F.lit(1))))
+        links = links.unionByName(again)
     roots = connected_components(links).select(F.col("id").alias("rep"), "component")
-    placed = rows.drop("minhash", "sig").join(sets, ["s1", "s2", "n_shingles"], "left").join(roots, "rep", "left")
     # a document without a set is a component by itself; roots are row numbers, so the two don't meet
-    placed = write_table(placed.select("rid", "doc_id", "text_hash", "n_shingles", F.coalesce("component", "rep", "rid").alias("root")), "op5-placed")
-    firsts = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("least"))
-    for done in (close, families, members, links):
+    by_set = write_table(sets.join(roots, "rep", "left").select("s1", "s2", "n_shingles", "copies", F.coalesce("component", "rep").alias("root")), "op5-by-set")
+    bare = rows.drop("minhash", "sig")
+    placed = lookup(bare.where("n_shingles > 0"), by_set, ["s1", "s2", "n_shingles"], "copies", rows.count()).select("rid", "doc_id", "text_hash", "n_shingles", "root")
+    placed = write_table(placed.unionByName(bare.where("n_shingles = 0").select("rid", "doc_id", "text_hash", "n_shingles", F.col("rid").alias("root"))), "op5-placed")
+    firsts = write_table(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("least"), F.count("*").alias("size")), "op5-firsts")
+    for done in (close, families, members):
         drop_table(done)
-    out = placed.join(firsts, "root").select("rid", "doc_id", "text_hash", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("first"))
-    return out
+    out = lookup(placed, firsts, ["root"], "size", placed.count())
+    return out.select("rid", "doc_id", "text_hash", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("first"))
+
+
+def close_pairs(reps: DataFrame, bucket_rows: int) -> DataFrame:
+    """Edges (u, v) of reps (rep, minhash, sig) whose components join all pairs of signatures within the radius."""
+    keys = bucket_keys(reps)
+    shared = keys.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
+    met = keys.join(shared, "key").join(reps.select("rep", "sig"), "rep")
+    blocks = dealt(met, "key", F.ceil(F.col("g") / bucket_rows), "rep")
+    close = write_table(by_group(blocks.select("key", "i", "j", "rep", "part", "sig"), "key", close_signatures).distinct(), "op5-close")
+    large = shared.where(F.col("g") > bucket_rows).select("key")
+    if large.isEmpty():
+        return close
+    rows = write_table(keys.join(large, "key").join(reps.select("rep", "sig"), "rep"), "op5-large")
+    parts = write_table(connected_components(close), "op5-close-parts")
+    more = by_group(apart(rows, parts, "key", "rep", F.lit(bucket_rows)).select("key", "i", "j", "rep", "part", "sig"), "key", close_signatures).distinct()
+    return write_table(close.unionByName(more), "op5-close")
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
