@@ -1,11 +1,16 @@
 """Embedding near-duplicates: exact threshold pairs by dual traversal of cover trees.
 
-Vectors are scaled to length 1 in double precision; cosine >= t is distance <= sqrt(2 - 2 t).  Equal vectors are one point with a multiplicity.
-Points go to the nearest of a few sampled centres, large cells are split by a hash, and so the points lie in blocks of about ``block_rows``.  A cover tree is built
-in every block: nested levels of centres, the covering radius halving from level to level, every point below a centre within its radius.  Every pair of blocks
-is then one group: from the top levels down, a pair of nodes is pruned if its centres are farther apart than both radii and the threshold, is linked as a whole
-if even its farthest points are within the threshold, and is opened one level down otherwise; points left at the end are compared directly.
-So no pair is missed and none is compared below a pruned pair of nodes.  What leaves a group is a count of links per point and a spanning forest, never all pairs.
+Vectors are scaled to length 1 in double precision; cosine >= t is distance <= sqrt(2 - 2 t) = tau.  Equal vectors are one point with a multiplicity.
+Points go to the nearest of a bounded sample of centres, large cells are split by a hash, and so the points lie in blocks of about ``block_rows``.  A cover tree is built
+in every block: nested levels of centres, the covering radius halving from level to level, from the diameter of the sphere down, every point below a centre within its radius.
+A traversal of the tree with itself finds the links inside the block.  Each block is a ball, too: its centre and covering radius.  A pair of blocks whose balls are farther apart than both
+radii and tau is pruned before any row of it is sent; the balls are compared in chunks, so their number is not bounded either.  Every pair of blocks that is left is one group, in
+which both trees are traversed together: from the top levels down, a pair of nodes is pruned if its centres are farther apart than both radii and tau, is linked as a whole
+if even its farthest points are within tau, and is opened one level down otherwise; points left at the end are compared directly.
+So no pair is missed and none is compared below a pruned pair of nodes.  What leaves a group is a count of links per point and a spanning forest of the blocks' own components, never all pairs.
+
+Bounds only prune what lies in clusters.  Unrelated vectors of many dimensions all lie about sqrt(2) apart, within the reach of every ball, and then each pair of blocks is met and nearly each pair of
+points compared: exact search grows with the square of the number of such vectors.  ``dual_pairs`` can count what it compares.
 
 Defined results: a null vector, a zero vector and one with null or non-finite components link with nothing (n_links 0, kept); vectors of different lengths are not
 compared; repeated rows and equal vectors are linked; a null vec_id comes last when the smallest id of a component is chosen; an empty table gives an empty
@@ -21,12 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, table, write_table
-from .components import connected_components
+from .common import drop_table, lookup, table, write_table
+from .components import UnionFind, connected_components
 
-RADII = (1.0, 0.5, 0.25, 0.125)
+RADII = (2.0, 1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-7
-STRIP, LEAF = 512, 65536  # nodes compared at a time; point pairs below which a node pair is compared directly
+SPREAD = 2048  # centres that are chosen far from each other
+STRIP, LEAF = 512, 4096  # nodes compared at a time; point pairs below which a node pair is compared directly
 
 
 def net(x: np.ndarray, radius: float) -> np.ndarray:
@@ -86,8 +92,11 @@ class Nodes:
                 self.below.append(Ranges(np.searchsorted(self.centres[k - 1], levels[c, k - 1]), len(self.centres[k - 1])))
 
 
-def dual_pairs(a: Nodes, b: Nodes, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(points of a, points of b, matrix of links) of the node pairs with links; None stands for all of them."""
+def dual_pairs(a: Nodes, b: Nodes, threshold: float, tally: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(points of a, points of b, matrix of links) of the node pairs with links; None stands for all of them.
+    tally, if given, counts the distances taken: between ``centres`` and between ``points``."""
+    tally = {} if tally is None else tally
+    tally.update(centres=0, points=0)
     tau, last = float(np.sqrt(max(0.0, 2 - 2 * threshold))), len(a.centres) - 1
     top = 0
     # unrelated points of many dimensions are about sqrt(2) apart: a level too wide to tell them and with nearly as many nodes as the next prunes nothing
@@ -102,6 +111,7 @@ def dual_pairs(a: Nodes, b: Nodes, threshold: float) -> Iterator[tuple[np.ndarra
         for t in range(0, len(by_b), STRIP):
             cols = by_b[t : t + STRIP]
             reach = float(a.radius[top][rows].max() + b.radius[top][cols].max() + tau)
+            tally["centres"] += len(rows) * len(cols)
             i, j = np.nonzero(xa[s : s + STRIP] @ xb[t : t + STRIP].T >= 1 - reach * reach / 2 - 1e-4)
             i, j = rows[i], cols[j]
             d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.x[a.centres[top][i]], b.x[b.centres[top][j]])))
@@ -114,11 +124,13 @@ def dual_pairs(a: Nodes, b: Nodes, threshold: float) -> Iterator[tuple[np.ndarra
         if d + ri + rj <= tau - SLACK and len(left) * len(right) > 1:
             yield left, right, None
         elif k == last or len(left) * len(right) <= LEAF:
+            tally["points"] += len(left) * len(right)
             links = a.x[left] @ b.x[right].T >= threshold
             if links.any():
                 yield left, right, links
         else:
             u, v = a.below[k][i], b.below[k][j]
+            tally["centres"] += len(u) * len(v)
             near = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centres[k + 1][u]] @ b.x[b.centres[k + 1][v]].T)))
             p, q = np.nonzero(near <= a.radius[k + 1][u][:, None] + b.radius[k + 1][v][None, :] + tau)
             todo += list(zip(u[p].tolist(), v[q].tolist(), near[p, q].tolist(), [k + 1] * len(p), strict=True))
@@ -141,43 +153,95 @@ def bipartite_forest(links: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def block_pair(a: pd.DataFrame, b: pd.DataFrame, same: bool, dim: int, threshold: float) -> pd.DataFrame:
-    """Of two blocks (of one with itself if same): rows (rep, other, n); other null: rep has n links more; n null: an edge of the forest."""
+def nodes_of(frame: pd.DataFrame, dim: int) -> Nodes:
+    levels = np.frombuffer(b"".join(frame["path"]), dtype=np.int32).reshape(len(frame), -1).astype(np.int64)
+    return Nodes(np.frombuffer(b"".join(frame["unit"]), dtype=np.float64).reshape(len(frame), dim), levels)
 
-    def nodes(f: pd.DataFrame) -> Nodes:
-        f = f.reset_index(drop=True)
-        levels = np.frombuffer(b"".join(f["path"]), dtype=np.int32).reshape(len(f), -1).astype(np.int64)
-        return Nodes(np.frombuffer(b"".join(f["unit"]), dtype=np.float64).reshape(len(f), dim), levels)
 
-    na = nodes(a)
-    nb = na if same else nodes(b)
-    ra, rb, ma, mb = a["rep"].to_numpy(), b["rep"].to_numpy(), a["copies"].to_numpy(), b["copies"].to_numpy()
-    ca, cb, edges = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64), []
-    for left, right, links in dual_pairs(na, nb, threshold):
+def links_between(a: Nodes, b: Nodes, part_a: np.ndarray, part_b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, UnionFind]:
+    """Links per point of a and of b, with their copies, and the parts (component of a point within its block) that they join."""
+    ca, cb, joined = np.zeros(len(part_a), dtype=np.int64), np.zeros(len(part_b), dtype=np.int64), UnionFind()
+    for left, right, links in dual_pairs(a, b, threshold):
         if links is None:
-            ca[left] += mb[right].sum()
-            cb[right] += ma[left].sum()
-            found = [(left[0], y) for y in right] + [(x, right[0]) for x in left[1:]]
+            ca[left] += copies_b[right].sum()
+            cb[right] += copies_a[left].sum()
+            for x in np.unique(np.r_[part_a[left], part_b[right]]).tolist():
+                joined.union(int(part_a[left[0]]), x)
         else:
-            ca[left] += links @ mb[right]
-            cb[right] += ma[left] @ links
-            found = [(left[x], right[y]) for x, y in bipartite_forest(links)]
-        edges += [(ra[x], rb[y]) for x, y in found if ra[x] != rb[y]]
-    if same:
-        ca = ca - ma  # every ordered pair came once, with the point itself
-        counts = [(ra, ca)]
-    else:
-        counts = [(ra, ca), (rb, cb)]
-    rep, n = np.concatenate([r for r, _ in counts]), np.concatenate([c for _, c in counts])
-    e = np.unique(np.array(edges, dtype=np.int64).reshape(-1, 2), axis=0)
-    out = pd.DataFrame({"rep": np.r_[rep[n > 0], e[:, 0]]})
-    out["other"] = pd.array(np.r_[np.zeros((n > 0).sum(), dtype=np.int64), e[:, 1]], dtype="Int64")
-    out["n"] = pd.array(np.r_[n[n > 0], np.zeros(len(e), dtype=np.int64)], dtype="Int64")
-    out.loc[: (n > 0).sum() - 1, "other"] = pd.NA
-    out.loc[(n > 0).sum() :, "n"] = pd.NA
+            ca[left] += links @ copies_b[right]
+            cb[right] += copies_a[left] @ links
+            for x, y in bipartite_forest(links):
+                joined.union(int(part_a[left[x]]), int(part_b[right[y]]))
+    return ca, cb, joined
+
+
+def plant(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """frame (dim, block, rep, copies, unit) of one block with its tree (place, path), links inside the block (own) and component in it (part), and the block's ball."""
+    frame = frame.sort_values("rep").reset_index(drop=True)
+    x = np.frombuffer(b"".join(frame["unit"]), dtype=np.float64).reshape(len(frame), -1)
+    levels = cover_tree(x)
+    tree, rep, copies = Nodes(x, levels), frame["rep"].to_numpy(), frame["copies"].to_numpy()
+    own, _, joined = links_between(tree, tree, rep, rep, copies, copies, threshold)
+    mean = x.mean(axis=0)
+    size = float(np.sqrt((mean * mean).sum()))
+    centre = mean / size if size > 0.01 else x[0]
+    ball = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max())) + SLACK
+    # every ordered pair came once, with the point itself
+    return frame.assign(place=np.arange(len(frame), dtype=np.int32), path=[p.tobytes() for p in levels.astype(np.int32)], own=own - copies, part=[joined.find(int(r)) for r in rep], centre=[centre.tobytes()] + [None] * (len(frame) - 1), ball=ball)
+
+
+def block_pair(a: pd.DataFrame, b: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:
+    """Of two blocks: rows (rep, other, n); other null: rep has n links more; n null: two parts that are linked."""
+    ca, cb, joined = links_between(nodes_of(a, dim), nodes_of(b, dim), a["part"].to_numpy(), b["part"].to_numpy(), a["copies"].to_numpy(), b["copies"].to_numpy(), threshold)
+    rep, n = np.r_[a["rep"].to_numpy(), b["rep"].to_numpy()], np.r_[ca, cb]
+    edges = np.array([(x, joined.find(x)) for x in joined.parent], dtype=np.int64).reshape(-1, 2)
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    rep, n = rep[n > 0], n[n > 0]
+    out = pd.DataFrame({"rep": np.r_[rep, edges[:, 0]]})
+    out["other"] = pd.array(np.r_[np.zeros(len(rep), dtype=np.int64), edges[:, 1]], dtype="Int64")
+    out["n"] = pd.array(np.r_[n, np.zeros(len(edges), dtype=np.int64)], dtype="Int64")
+    out.loc[: len(rep) - 1, "other"] = pd.NA
+    out.loc[len(rep) :, "n"] = pd.NA
     return out
 
 
+def meeting_blocks(balls: DataFrame, threshold: float, chunk: int = 1024) -> DataFrame:
+    """balls (dim, block, centre, ball) as the pairs (dim, i, j), i < j, that may hold links: centres no farther apart than both radii and tau.
+
+    Pairs of chunks of balls are compared as matrices; a chunk is ``chunk`` blocks, so what is sent is a few thousandths of the points.
+    """
+    tau = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    own = F.floor(F.col("block") / chunk).cast("int")
+    last = balls.groupBy("dim").agg(F.floor(F.max("block") / chunk).cast("int").alias("last"))
+    spread = balls.join(last, "dim").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last")))).select("dim", F.least(own, "k").alias("p"), F.greatest(own, "k").alias("q"), own.alias("own"), "block", "centre", "ball")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        p, q = int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
+        a, b = frame[frame["own"] == p], frame[frame["own"] == q]
+        found = []
+        if len(a) and len(b):
+            xa, xb = (np.frombuffer(b"".join(f["centre"]), dtype=np.float64).reshape(len(f), -1) for f in (a, b))
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (xa @ xb.T)))
+            i, j = np.nonzero(apart <= a["ball"].to_numpy()[:, None] + b["ball"].to_numpy()[None, :] + tau + SLACK)
+            i, j = a["block"].to_numpy()[i], b["block"].to_numpy()[j]
+            keep = i < j if p == q else np.ones(len(i), dtype=bool)
+            found = np.stack([np.minimum(i, j)[keep], np.maximum(i, j)[keep]], axis=1)
+        out = pd.DataFrame(np.array(found, dtype=np.int32).reshape(-1, 2), columns=["i", "j"])
+        return out.assign(dim=np.int32(frame["dim"].iloc[0]))[["dim", "i", "j"]]
+
+    return spread.groupBy("dim", "p", "q").applyInPandas(compare, "dim int, i int, j int")
+
+
+def spread_out(x: np.ndarray, n: int) -> np.ndarray:
+    """n rows of x: the farthest from those chosen before, so that every cluster of the sample gets one, up to ``SPREAD`` of them, then the next ones in order."""
+    chosen, nearest = [0], x @ x[0]
+    while len(chosen) < min(n, SPREAD, len(x)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+    left = np.setdiff1d(np.arange(len(x)), chosen)[: max(0, n - len(chosen))]
+    return x[np.unique(np.r_[chosen, left])]
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """vectors (vec_id, embedding) as (rid, vec_id, dim, unit); unit is null for vectors that link with nothing."""
 
@@ -199,15 +263,17 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"), scale(whole.cast("array<double>")).alias("unit"))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int = 4096, max_cells: int = 1024, seed: int = 67) -> DataFrame:
-    """One row per row of vectors (vec_id, embedding): rid, vec_id, n_links, component_id, first (of its component)."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int = 4096, max_cells: int = 16384, centre_bytes: int = 8 << 20, seed: int = 67) -> DataFrame:
+    """One row per row of vectors (vec_id, embedding): rid, vec_id, n_links, component_id, first (of its component).
+    At most ``max_cells`` centres, and ``centre_bytes`` of them, are sampled for vectors of one length."""
     rows = write_table(unit_vectors(vectors), "op6-rows")
     points = write_table(rows.where("unit IS NOT NULL").groupBy("dim", "unit").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")), "op6-points")
     dims = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     centres = {}
     for dim, n in dims.items():
-        few = points.where(F.col("dim") == dim).orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(min(max_cells, -(-n // block_rows))).select("unit").collect()
-        centres[dim] = np.stack([np.frombuffer(r["unit"], dtype=np.float64) for r in few])
+        most = max(1, min(max_cells, centre_bytes // (8 * dim), -(-n // block_rows)))
+        few = points.where(F.col("dim") == dim).orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(most + 3 * min(most, SPREAD)).select("unit").collect()
+        centres[dim] = spread_out(np.stack([np.frombuffer(r["unit"], dtype=np.float64) for r in few]), most)
 
     @F.pandas_udf("int")
     def cell(dim: pd.Series, unit: pd.Series) -> pd.Series:
@@ -228,38 +294,33 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int =
         used[r["dim"]] = used.get(r["dim"], 0) + parts
     spark = vectors.sparkSession
     plan = spark.createDataFrame(plan, "dim int, cell int, base int, parts int")
-    total = spark.createDataFrame(list(used.items()), "dim int, blocks int")
     placed = celled.join(F.broadcast(plan), ["dim", "cell"]).withColumn("block", (F.col("base") + F.pmod(F.xxhash64("rep", F.lit(seed + 1)), F.col("parts"))).cast("int"))
-
-    def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep").reset_index(drop=True)
-        x = np.frombuffer(b"".join(frame["unit"]), dtype=np.float64).reshape(len(frame), -1)
-        paths = cover_tree(x).astype(np.int32)
-        return frame[["dim", "block", "rep", "copies", "unit"]].assign(place=np.arange(len(frame), dtype=np.int32), path=[p.tobytes() for p in paths])
-
-    trees = write_table(placed.select("dim", "block", "rep", "copies", "unit").groupBy("dim", "block").applyInPandas(grow, "dim int, block int, rep long, copies long, unit binary, place int, path binary"), "op6-trees")
-    spread = trees.join(F.broadcast(total), "dim").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("dim", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "place", "rep", "copies", "unit", "path")
+    tree = "dim int, block int, rep long, copies long, unit binary, place int, path binary, own long, part long, centre binary, ball double"
+    trees = write_table(placed.select("dim", "block", "rep", "copies", "unit").groupBy("dim", "block").applyInPandas(lambda frame: plant(frame, threshold), tree), "op6-trees")
+    balls = trees.where("centre IS NOT NULL").select("dim", "block", "centre", "ball")
+    pairs = write_table(meeting_blocks(balls, threshold), "op6-pairs")
+    meets = pairs.select("dim", "i", "j", F.explode(F.array("i", "j")).alias("block"))
+    sent = trees.select("dim", "block", "place", "rep", "copies", "part", "unit", "path").join(meets, ["dim", "block"])
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["block", "place"])
-        dim, i, j = (int(frame[c].iloc[0]) for c in ("dim", "i", "j"))
-        a = frame[frame["block"] == i].reset_index(drop=True)
-        b = a if i == j else frame[frame["block"] == j].reset_index(drop=True)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"rep": pd.array([], dtype="Int64"), "other": pd.array([], dtype="Int64"), "n": pd.array([], dtype="Int64")})
-        return block_pair(a, b, i == j, dim, threshold)
-
-    found = write_table(spread.groupBy("dim", "i", "j").applyInPandas(meet, "rep long, other long, n long"), "op6-found")
-    links = found.where("other IS NULL").groupBy("rep").agg(F.sum("n").alias("others"))
-    roots = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("u"), F.col("other").alias("v"))).select(F.col("id").alias("rep"), "component")
-    each = points.join(links, "rep", "left").join(roots, "rep", "left").select("dim", "unit", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("root"))
-    out = rows.join(each, ["dim", "unit"], "left").select("rid", "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "rid").alias("root"))
-    out = write_table(out, "op6-out")
-    for done in (celled, trees, found):
+        dim, i = int(frame["dim"].iloc[0]), int(frame["i"].iloc[0])
+        mine = frame["block"] == i
+        return block_pair(frame[mine].reset_index(drop=True), frame[~mine].reset_index(drop=True), dim, threshold)
+
+    found = write_table(sent.groupBy("dim", "i", "j").applyInPandas(meet, "rep long, other long, n long"), "op6-found")
+    links = found.where("other IS NULL").select("rep", "n").unionByName(trees.select("rep", F.col("own").alias("n"))).groupBy("rep").agg(F.sum("n").alias("others"))
+    edges = found.where("other IS NOT NULL").select(F.col("rep").alias("u"), F.col("other").alias("v")).unionByName(trees.where("part <> rep").select(F.col("rep").alias("u"), F.col("part").alias("v")))
+    roots = connected_components(edges).select(F.col("id").alias("rep"), "component")
+    each = points.join(links, "rep", "left").join(roots, "rep", "left").select("dim", "unit", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("root"))
+    each = write_table(each, "op6-each")
+    total = rows.count()
+    linked = lookup(rows.where("unit IS NOT NULL"), each, ["dim", "unit"], "copies", total).select("rid", "vec_id", "n_links", "root")
+    out = write_table(linked.unionByName(rows.where("unit IS NULL").select("rid", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("rid").alias("root"))), "op6-out")
+    firsts = write_table(out.groupBy("root").agg(F.min(F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id", "rid")).alias("least"), F.count("*").alias("size")), "op6-firsts")
+    for done in (celled, trees, found, pairs, each):
         drop_table(done)
-    firsts = out.groupBy("root").agg(F.min(F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id", "rid")).alias("least"))
-    return out.join(firsts, "root").select("rid", "vec_id", "n_links", F.col("least.vec_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("first"))
+    return lookup(out, firsts, ["root"], "size", total).select("rid", "vec_id", "n_links", F.col("least.vec_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("first"))
 
 
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,40 @@ def test_near_vectors(spark, block_rows):
     assert cover_tree.near_vectors(df.limit(0)).count() == 0
 
 
+def clustered(n, centres, spread, dim=64, seed=3):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(centres, dim))
+    x = base[np.arange(n) % centres] + rng.normal(size=(n, dim)) * spread
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("centres", "spread", "most"), [(40, 0.15, 0.06), (40, 0.05, 0.03), (2000, 0.0, 1.01)])
+def test_share_of_pairs_that_the_bounds_leave(centres, spread, most):
+    """Of 2,000 points in 40 clusters a few per cent of the pairs are compared; of 2,000 unrelated ones all are, and both ways find the same links."""
+    x = clustered(2000, centres, spread)
+    tree, tally = cover_tree.Nodes(x, cover_tree.cover_tree(x)), {}
+    links = sum(len(a) * len(b) if m is None else int(m.sum()) for a, b, m in cover_tree.dual_pairs(tree, tree, 0.95, tally))
+    assert links == int((x @ x.T >= 0.95).sum())
+    assert (tally["centres"] + tally["points"]) / len(x) ** 2 <= most
+
+
+def test_block_pairs_are_pruned(spark):
+    """64 well separated clusters in as many blocks: nearly all pairs of blocks are left out, at 1x and 4x the vectors, and all links are found."""
+    for n in (640, 2560):
+        x = clustered(n, 64, 0.03, seed=n)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        kept = []
+        real = cover_tree.meeting_blocks
+        try:
+            cover_tree.meeting_blocks = lambda balls, threshold, chunk=16: (lambda found: (kept.append((found.count(), balls.count())), found)[1])(real(balls, threshold, chunk))
+            got = {r["vec_id"]: r["n_links"] for r in cover_tree.near_vectors(df, block_rows=n // 64).collect()}
+        finally:
+            cover_tree.meeting_blocks = real
+        assert got == dict(enumerate(((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()))
+        pairs, blocks = kept[0]
+        assert blocks >= 32 and pairs < 0.25 * blocks * (blocks - 1) / 2
+
+
 def test_cover_tree_covers():
     x = vectors(5).astype(np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
