@@ -1,7 +1,9 @@
 """Toxicity, personal data and language: held-out accuracy, rules against brute force, odd rows."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -114,6 +116,91 @@ def test_long_runs_are_fast():
         assert time.time() - at < 5
 
 
+def planted(seed, n):
+    """Documents with personal data and look-alikes of every added kind: (text, spans that are personal data)."""
+    rng = random.Random(seed)
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    key = lambda k: "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    given, family = sorted(pii.GIVEN), ["Marlow", "Hartley", "Okafor", "Lindqvist", "Berger", "Moreau", "Castell", "Whitby"]
+    strange = ["Torvik", "Maelle", "Zuberi", "Ansgar", "Ilse", "Yusra"]
+
+    def account():
+        body = "GB" + digits(0) + "00" + "ABCD" + digits(14)
+        check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
+        return f"GB{check:02d}{body[4:]}"
+
+    right = [
+        lambda: ("secret", 'token = "', hexes(40), '"'), lambda: ("secret", "api_key: ", key(32), "\n"), lambda: ("secret", "the password is ", key(20), " now"), lambda: ("secret", "Authorization: Bearer ", "sk-" + key(28), "\n"),
+        lambda: ("number", "her SSN: ", f"{digits(3)}-{digits(2)}-{digits(4)}", "."), lambda: ("number", "account ", account(), " please"), lambda: ("number", "passport no. ", digits(9), ","), lambda: ("number", "IBAN: ", account(), "\n"),
+        lambda: ("name", "we met Dr. ", f"{rng.choice(given)} {rng.choice(family)}", " said so"), lambda: ("name", "please write, ", f"{rng.choice(given)} {rng.choice(family)}", " lives there"),
+        lambda: ("name", "her name is ", f"{rng.choice(strange)} {rng.choice(family)}", "."), lambda: ("name", "yours, signed ", f"{rng.choice(given)} {rng.choice(family)}", "\n"),
+    ]
+    wrong = [
+        lambda: ("commit ", hexes(40), " fixed it"), lambda: ("sha256: ", hexes(64), "\n"), lambda: ("the uuid ", f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", " again"), lambda: ("see the file a1/usr/share/", "some/long-path/part2", " there"),
+        lambda: ("order ", digits(12), " is late"), lambda: ("about ", digits(9), " people"), lambda: ("build ", digits(10), " of it"), lambda: ("isbn ", digits(13), " here"),
+        lambda: ("we walked along ", "Castle Street", " today"), lambda: ("it is in ", "New Haven", " now"), lambda: ("\n", "The Chapter Heading", "\n"), lambda: ("ends here. ", "This Section", " is over"),
+    ]
+    out = []
+    for _ in range(n):
+        text, spans = "", []
+        for _ in range(rng.randint(2, 6)):
+            text += " ".join(rng.choice(["one", "word", "after", "more", "still"]) for _ in range(rng.randint(4, 12))) + " "
+            if rng.random() < 0.5:
+                kind, before, value, after = rng.choice(right)()
+                spans.append((kind, len(text + before), len(text + before + value)))
+                text += before + value + after + " "
+            else:
+                text += "".join(rng.choice(wrong)()) + " "
+        out.append((text, spans))
+    return out
+
+
+def test_planted_spans_are_found_and_look_alikes_are_not():
+    """Fitted on the votes of one corpus, read on another: precision and recall per kind, and both decisions within every kind."""
+
+    def proposed(text):
+        base = pii.base_spans(text)
+        return [(k, s, e, pii.features(text, k, s, e, base)) for k, s, e in pii.candidates(text, base)]
+
+    counts = Counter((k, b) for text, _ in planted(1, 1500) for k, _, _, b in proposed(text))
+    model = pii.fit_spans([(k, b, n) for (k, b), n in counts.items()])
+    found, wanted, decisions = Counter(), Counter(), {}
+    hits = Counter()
+    for text, spans in planted(2, 1500):
+        want = set(spans)
+        wanted.update(k for k, _, _ in spans)
+        for k, s, e, b in proposed(text):
+            yes = model.accepts(k, b)
+            decisions.setdefault(k, set()).add(yes)
+            if yes:
+                found[pii.KINDS[k]] += 1
+                hits[pii.KINDS[k]] += (pii.KINDS[k], s, e) in want
+    assert all(d == {True, False} for d in decisions.values())
+    for kind in pii.ADDED_KINDS:
+        assert hits[kind] / wanted[kind] >= 0.9 and hits[kind] / found[kind] >= 0.9, (kind, hits[kind], found[kind], wanted[kind])
+
+
+def test_estimation_finds_the_reliable_labelers():
+    rng = np.random.default_rng(4)
+    truth = rng.random(20_000) < 0.3
+    rates = [(0.9, 0.05), (0.7, 0.1), (0.6, 0.5)]  # says yes if right, if wrong
+    v = np.stack([np.where(rng.random(len(truth)) < np.where(truth, a, b), 1, -1) for a, b in rates] + [np.zeros(len(truth), dtype=int)], axis=1)
+    kinds, n = np.unique(v, axis=0, return_counts=True)
+    p, rate = pii.posterior(kinds, n.astype(float), rounds=400)
+    for j, (a, b) in enumerate(rates):
+        assert abs(rate[1, j, 2] - a) < 0.08 and abs(rate[0, j, 2] - b) < 0.08
+    assert abs((p * n).sum() / n.sum() - 0.3) < 0.05
+
+
+def test_secrets_of_the_corpus_are_found(spark):
+    """Every quoted token of the test data, and no number that is no card."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = pii.op8_pii(spark, SF).select("doc_id", "n_secret", "n_number", "n_name").join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    want = got.text.fillna("").map(lambda t: len(re.findall(r'(?i)token = "[0-9a-f]{40}"', t)))
+    assert (got.n_secret == want).all() and want.sum() > 100 and got.n_number.sum() == 0 and (got.n_name > 0).mean() < 0.001
+
+
 def test_personal_data(spark):
     rows = [(1, None), (2, ""), (3, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" x@y.org'), (3, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" x@y.org'), (None, "+1 (487) 555-7209 at 10.0.0.1"), (5, "plain words only")] * 3
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, spans string")
