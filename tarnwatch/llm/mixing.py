@@ -60,7 +60,7 @@ def copies_of(place: Column, each: Column, offset: Column, max_repeat: int = MAX
     return F.least(F.floor((place + 1) * each + offset) - F.floor(place * each + offset), F.lit(max_repeat)).cast("long")
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 29, slice_rows: int = 50_000, keep: list[str] | None = None) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 29, slice_rows: int = 8192, keep: list[str] | None = None) -> DataFrame:
     """Copies of every row of docs (doc_id, text, source): the columns of keep and doc_id, size, source_size, target, copies."""
     keep = keep or []
     source = [F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_name")]
@@ -112,7 +112,7 @@ WITH d AS (
 ), u AS (
   SELECT *, ('0x' || md5(concat_ws('|', '29', coalesce(doc_id::VARCHAR, 'null'), size::VARCHAR))[1:8])::BIGINT AS u, length(bin(size)) AS bits FROM d
 ), c AS (
-  SELECT *, bits * 8 + CASE WHEN bits > 4 THEN (size >> (bits - 4)) & 7 ELSE size & 7 END AS class, u % greatest(1, (SELECT count(*) FROM d) // 50000) AS slice FROM u
+  SELECT *, bits * 8 + CASE WHEN bits > 4 THEN (size >> (bits - 4)) & 7 ELSE size & 7 END AS class, u % greatest(1, (SELECT count(*) FROM d) // 8192) AS slice FROM u
 ), s AS (
   SELECT no_source, source_name, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL
 ), w AS (
