@@ -6,6 +6,7 @@ import re
 
 IDENT = r"[A-Za-z_$][A-Za-z0-9_$]*"
 TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?|`(?:\\.|[^`\\])*`?", re.DOTALL)
+HOLE_MARK = "\x02"  # stands before the expressions of a template
 HOLE = re.compile(r"\$\{([^{}]*)\}")
 CALL = re.compile(rf"({IDENT}(?:\s*\??\.\s*{IDENT})*)\s*\(")
 ASSIGN = re.compile(rf"(?:\b(?:const|let|var)\s+)?(\{{[^{{}}]*\}}|\[[^\[\]]*\]|{IDENT})\s*(?::[^=;\n]+)?=(?![=>])\s*([^;\n]+)")
@@ -19,7 +20,7 @@ def blank(text: str) -> str:
 
 
 def prepare(source: str) -> str:
-    """source with comments, strings and template text blanked, the expressions in templates kept; offsets and lines stay."""
+    """source with comments, strings and template text blanked, the expressions in templates kept after a mark; offsets and lines stay."""
 
     def hide(m: re.Match) -> str:
         s = m[0]
@@ -27,7 +28,7 @@ def prepare(source: str) -> str:
             return blank(s)
         out, at = [], 0
         for h in HOLE.finditer(s):
-            out += [blank(s[at : h.start() + 2]), h[1], " "]
+            out += [blank(s[at : h.start()]), f"{HOLE_MARK} ", h[1], " "]
             at = h.end()
         return "".join(out) + blank(s[at:])
 
@@ -74,8 +75,8 @@ def identifiers(text: str) -> set[str]:
     return {m[0] for m in re.finditer(rf"(?<![.\w$]){IDENT}", text)} - KEYWORDS
 
 
-def callback(code: str, start: int, end: int) -> tuple[list[str], int, int] | None:
-    """Parameters and body range of the last function in code[start:end]."""
+def callback(code: str, start: int, end: int, first: bool = False) -> tuple[list[str], int, int] | None:
+    """Parameters and body range of the last function in code[start:end], or of the first one."""
     best = None
     for m in re.finditer(rf"\bfunction\b[^(]*\(|\(|\b({IDENT})\s*=>", code[start:end]):
         at = start + m.start()
@@ -92,6 +93,8 @@ def callback(code: str, start: int, end: int) -> tuple[list[str], int, int] | No
         span = (body.end() - 1, closing(code, body.end() - 1)) if body else (after, end)
         if best is None or span[0] > best[2]:
             best = (names, *span)
+        if first:
+            break
     return best
 
 
@@ -107,10 +110,12 @@ def record(code: str, name: str, params: list[str], start: int, end: int, line:
         full = re.sub(r"\s|\?", "", m[1])
         if full.split(".")[0] in KEYWORDS:
             continue
+        if full == "Function" and re.search(r"\bnew\s+$", body[max(0, m.start() - 16) : m.start()]):
+            full = "new Function"
         at = start + m.end() - 1
         args = code[at + 1 : closing(code, at)]
         used, row_line = sorted(identifiers(args)), code.count("\n", 0, start + m.start()) + 1
-        calls.setdefault((full, row_line), {"callee": full.rsplit(".", 1)[-1], "dotted": full, "line": row_line, "pos": [used], "kw": {}, "star": any(identifiers(s) & known for s in re.findall(rf"\.\.\.\s*({IDENT})", args)), "influenced": sorted(set(used) & known), "shell": False, "dynamic": "+" in args or "${" in args})
+        calls.setdefault((full, row_line), {"callee": full.rsplit(".", 1)[-1], "dotted": full, "line": row_line, "pos": [used], "kw": {}, "star": any(identifiers(s) & known for s in re.findall(rf"\.\.\.\s*({IDENT})", args)), "influenced": sorted(set(used) & known), "shell": False, "dynamic": bool(set(re.findall(rf"{HOLE_MARK}\s*({IDENT})", args)) & known)})
     return {"name": name, "line_start": line, "line_end": code.count("\n", 0, end) + 1, "params": [{"name": p, "annotation": ""} for p in params], "decorators": [], "is_tool": False, "is_call_tool": False, "is_http": False, "calls": list(calls.values())} | roles
 
 
@@ -120,7 +125,8 @@ def index_js(source: str) -> list[dict]:
     for m in TOOL.finditer(code):
         opened = code.index("(", m.start())
         end = closing(code, opened)
-        found = callback(code, opened + 1, end)
+        named = re.compile(r"\bexecute\s*:").search(code, opened, end)
+        found = callback(code, named.end(), end, first=True) if named else callback(code, opened + 1, end)
         if not found or line(m.start()) in seen:
             continue
         seen.add(line(m.start()))
@@ -130,7 +136,7 @@ def index_js(source: str) -> list[dict]:
     names = set()
     for m in NAMED.finditer(code):
         name = m[1] or m[2] or m[3]
-        found = callback(code, m.start() if m[1] else m.start() + m[0].index("="), min(len(code), closing(code, m.end() - 1) + 64 if m[0][-1] == "(" else m.end() + 1)) if name not in names else None
+        found = callback(code, m.start() if m[1] else m.start() + m[0].index("="), min(len(code), closing(code, m.end() - 1) + 64 if m[0][-1] == "(" else m.end() + 1), first=True) if name not in names else None
         if found:
             names.add(name)
             out.append(record(code, name, found[0], found[1], found[2], line(m.start())))

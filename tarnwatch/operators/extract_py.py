@@ -26,23 +26,24 @@ def own_nodes(function: ast.AST) -> Iterator[ast.AST]:
 
 
 def dotted(node: ast.AST) -> str:
-    """``a.b.c`` of an attribute chain; calls and subscripts inside it are passed through."""
+    """``a.b.c`` of an attribute chain on a name; a chain on a call or a subscript counts from there on: ``f().b.c`` is ``b.c``."""
     names: list[str] = []
-    while True:
-        if isinstance(node, ast.Attribute):
-            names.append(node.attr)
-            node = node.value
-        elif isinstance(node, ast.Call):
-            node = node.func
-        elif isinstance(node, ast.Subscript):
-            node = node.value
-        else:
-            break
+    while isinstance(node, ast.Attribute):
+        names.append(node.attr)
+        node = node.value
     if isinstance(node, ast.Name):
         names.append(node.id)
     return ".".join(reversed(names))
 
 
+def named(node: ast.AST) -> str:
+    """dotted of a chain that begins with a name; empty for others."""
+    start = node
+    while isinstance(start, ast.Attribute):
+        start = start.value
+    return dotted(node) if isinstance(start, ast.Name) else ""
+
+
 def names(node: ast.AST) -> list[str]:
     return [n.id for n in ast.walk(node) if isinstance(n, ast.Name)]
 
@@ -95,7 +96,7 @@ def index_python(source: str) -> list[dict]:
     out = []
     for f in (n for n in ast.walk(tree) if isinstance(n, DEFS)):
         params = [{"name": a.arg, "annotation": ast.unparse(a.annotation) if a.annotation else ""} for a in f.args.args if a.arg not in ("self", "cls")]
-        marks = [dotted(d) for d in f.decorator_list]
+        marks = [dotted(d.func if isinstance(d, ast.Call) else d) for d in f.decorator_list]
         kinds = {m.rsplit(".", 1)[-1] for m in marks if "." in m}
         known = tainted(f, {p["name"] for p in params})
         calls = {}
@@ -125,7 +126,7 @@ def call_graph_v1(source: str) -> tuple[list[tuple[str, str]], list[tuple[str, i
         if isinstance(node, ast.Call):
             if inside and isinstance(node.func, ast.Name):
                 edges.append((inside, node.func.id))
-            if (full := dotted(node.func)) in bad:
+            if (full := named(node.func)) in bad:
                 risky.append((full, node.lineno))
         for child in ast.iter_child_nodes(node):
             visit(child, inside)
@@ -135,7 +136,7 @@ def call_graph_v1(source: str) -> tuple[list[tuple[str, str]], list[tuple[str, i
 
 
 def sink_v2(node: ast.Call) -> str | None:
-    parts = dotted(node.func).split(".")
+    parts = named(node.func).split(".")
     if len(parts) == 1:
         return parts[0] if parts[0] in catalog.SINKS_V2["builtins"] + catalog.SINKS_V2["open"] else None
     module, last = parts[0], parts[-1]

@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog
-from ..functions.text import MARK, any_marker, extension, file_name, lits, match_structs, severity_rank
+from ..functions.text import MARK, any_marker, extension, file_name, lits, match_structs
 
 COMMENT = r"^\s*(#|//)"
 COMMENT_JS = r"^\s*(//|\*)"
 
 
-def all_matches(files: DataFrame, patterns: list[tuple], severity: str = "HIGH") -> DataFrame:
-    """(repo, file, ordinal, idx, match, line, text, detail, severity) of every match; a pattern is (regex, detail[, severity])."""
+def all_matches(files: DataFrame, patterns: list[tuple], severity: str = "HIGH", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(repo, file, ordinal, idx, match, line, text, detail, severity) of every match, and the columns of keep; a pattern is (regex, detail[, severity])."""
     content = F.translate("content", MARK, "")
     found = [match_structs(F.col("content"), p[0], i, p[1], p[2] if len(p) > 2 else severity) for i, p in enumerate(patterns)]
-    return files.select("repo", "file", content.alias("content")).select("repo", "file", F.inline(F.flatten(F.array(*found))))
+    return files.select("repo", "file", *keep, content.alias("content")).select("repo", "file", *keep, F.inline(F.flatten(F.array(*found))))
 
 
 def first_wins(findings: DataFrame, key: list[str]) -> DataFrame:
@@ -30,13 +30,46 @@ def finding(df: DataFrame, kind: Column, cut: int | None = 120) -> DataFrame:
     return df.select("repo", "file", F.col("line").cast("long").alias("line"), kind.alias("type"), "severity", (F.left(match, F.lit(cut)) if cut else match).alias("match"), "detail")
 
 
+#: Modules of ``fused``: name -> (patterns, type, characters of a match that are shown, severity).  The last two look at stream files only and at comments, too.
+FUSED = {
+    "credentials": (catalog.CREDENTIALS, "HARDCODED_CREDENTIAL", 120, "HIGH"),
+    "jwt": (catalog.JWT_MISUSE, "JWT_MISUSE", 120, "HIGH"),
+    "authz": (catalog.AUTHZ_BYPASS, "AUTHZ_BYPASS", 120, "HIGH"),
+    "session": (catalog.INSECURE_SESSION, "INSECURE_SESSION", 120, "HIGH"),
+    "ssrf": ([(p, "") for p in catalog.STREAM_SSRF], "SSRF_STREAM", 120, "MEDIUM"),
+    "redirect": ([(p, "") for p in catalog.REDIRECTS], "OPEN_REDIRECT", None, "HIGH"),
+}
+
+
+def fused(files: DataFrame, modules: list[str]) -> DataFrame:
+    """Findings of several modules of FUSED in one scan and one window: repo, module, type, severity, file, line, match, detail."""
+    patterns, of = [], []
+    for m in modules:
+        found, _, _, severity = FUSED[m]
+        patterns += [(p[0], p[1], p[2] if len(p) > 2 else severity) for p in found]
+        of += [m] * len(found)
+    gate = F.col("content").rlike("(?d)" + catalog.STREAM_MARKER).alias("streamed")
+    rows = all_matches(files.select("repo", "file", "content", gate), patterns, keep=("streamed",)).withColumn("module", F.element_at(lits(of), F.col("ordinal") + 1))
+    stream = F.col("module").isin("ssrf", "redirect")
+    rows = rows.where(F.when(stream, F.col("streamed")).otherwise(~F.col("text").rlike(COMMENT)))
+    rows = rows.where((F.col("module") != "credentials") | ~fake_credential())
+    pick = lambda k: F.element_at(lits([FUSED[m][k] or 1 << 30 for m in of]), F.col("ordinal") + 1)
+    match = F.substring(F.trim("match"), F.lit(1), pick(2))
+    detail = F.when(~stream, F.col("detail"))
+    return first_wins(rows, ["repo", "file", "module", "line"]).select("repo", "module", pick(1).alias("type"), "severity", "file", F.col("line").cast("long").alias("line"), match.alias("match"), detail.alias("detail"))
+
+
+def fake_credential() -> Column:
+    """A match that holds a placeholder, or lies in a file of validators."""
+    upper = F.upper("match")
+    return F.exists(lits([p.upper() for p in catalog.PLACEHOLDERS]), lambda p: F.contains(upper, p)) | file_name(F.col("file")).rlike(catalog.VALIDATION_FILE)
+
+
 def check_patterns(files: DataFrame, patterns: list[tuple], kind: str, comment: str = COMMENT, cut: int = 120) -> DataFrame:
     """Findings outside comment lines, the first of each line."""
     found = all_matches(files, patterns).where(~F.col("text").rlike(comment))
     if kind == "HARDCODED_CREDENTIAL":
-        upper = F.upper("match")
-        fake = F.exists(lits([p.upper() for p in catalog.PLACEHOLDERS]), lambda p: F.contains(upper, p))
-        found = found.where(~fake & ~file_name(F.col("file")).rlike(catalog.VALIDATION_FILE))
+        found = found.where(~fake_credential())
     return finding(first_wins(found, ["repo", "file", "line"]), F.lit(kind), cut)
 
 
@@ -78,18 +111,17 @@ def origin_missing(files: DataFrame) -> DataFrame:
 
 
 def streams(files: DataFrame) -> DataFrame:
-    """Files that pass the gate of the stream checks: a stream, CORS or messages-route signal."""
-    any_signal = "|".join(f"(?:{p.removeprefix('(?i)')})" for p in (catalog.STREAM_MARKER, catalog.CORS_WILDCARD, catalog.CORS_REFLECTION, catalog.MESSAGES_ROUTE_PY, catalog.MESSAGES_ROUTE_JS))
-    return files.where(F.col("content").rlike("(?di)" + any_signal))
+    """Files with an event stream: the only ones in which requests and redirects of streams are looked for."""
+    return files.where(F.col("content").rlike("(?d)" + catalog.STREAM_MARKER))
 
 
 def stream_ssrf(files: DataFrame) -> DataFrame:
-    found = all_matches(files, [(p, "SSRF_STREAM", "MEDIUM") for p in catalog.STREAM_SSRF])
+    found = all_matches(streams(files), [(p, "SSRF_STREAM", "MEDIUM") for p in catalog.STREAM_SSRF])
     return finding(first_wins(found, ["repo", "file", "line"]), F.lit("SSRF_STREAM")).drop("detail")
 
 
 def redirects(files: DataFrame) -> DataFrame:
-    found = all_matches(files, [(p, "OPEN_REDIRECT", "HIGH") for p in catalog.REDIRECTS])
+    found = all_matches(streams(files), [(p, "OPEN_REDIRECT", "HIGH") for p in catalog.REDIRECTS])
     return finding(first_wins(found, ["repo", "file", "line"]), F.lit("OPEN_REDIRECT"), None).drop("detail")
 
 
@@ -98,8 +130,8 @@ def js_tokens(files: DataFrame) -> DataFrame:
     return finding(found, F.lit("JS_DANGEROUS_CALL"), 100)
 
 
-def network_bindings(files: DataFrame) -> DataFrame:
-    """Addresses that servers bind to; of several patterns on a line the first in catalogue order counts."""
+def network_bindings(files: DataFrame, snippet: bool = False) -> DataFrame:
+    """Addresses that servers bind to; of several patterns on a line the first in catalogue order counts.  With snippet, ``code`` shows the line from the match to 60 characters after it."""
     first = first_wins(all_matches(files, [(p, "", "") for p, _, _ in catalog.BINDINGS]), ["repo", "file", "line"])
 
     def group(which: int) -> Column:
@@ -116,7 +148,10 @@ def network_bindings(files: DataFrame) -> DataFrame:
         .when(F.col("h").isNotNull(), F.concat(F.lit("Explicit host binding to "), "h"))
         .otherwise("Network binding detected — verify host/interface scope")
     )
-    return f.select("repo", "file", F.col("line").cast("long").alias("line"), F.when(F.col("h") == "0.0.0.0", "HIGH").otherwise("MEDIUM").alias("severity"), F.coalesce("h", F.lit("(unresolved)")).alias("host"), F.col("p").alias("port"), note.alias("note"))
+    start = F.substring_index("match", "\n", 1)
+    code = F.trim(F.substr("text", F.greatest(F.instr("text", start), F.lit(1)), F.length("match") + 60))
+    columns = [F.coalesce("h", F.lit("(unresolved)")).alias("host"), F.col("p").alias("port"), note.alias("note")] + [code.alias("code")] * snippet
+    return f.select("repo", "file", F.col("line").cast("long").alias("line"), F.when(F.col("h") == "0.0.0.0", "HIGH").otherwise("MEDIUM").alias("severity"), *columns)
 
 
 def framework_rollup(files: DataFrame) -> DataFrame:
@@ -187,7 +222,3 @@ def keyword_lines(files: DataFrame) -> DataFrame:
     hits = F.filter(lits(catalog.JS_KEYWORDS), lambda k: F.contains(F.col("text"), k))
     lines = numbered_lines(js).withColumn("keyword", F.explode(hits))
     return lines.select("repo", "file", (F.col("pos") + 1).cast("long").alias("line"), F.trim("text").alias("text"), "keyword")
-
-
-def ranked(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(severity_rank(F.col("severity")), "file", F.coalesce("line", F.lit(0)))

@@ -50,7 +50,8 @@ def sinks_of(calls: DataFrame, python_sinks: DataFrame, js_sinks: DataFrame) ->
     named = c.join(both, (F.col("callee") == F.col("function")) & (F.col("is_js") == F.col("js")))
     fits = (F.col("module") == "") | (F.col("dotted") == F.concat("module", F.lit("."), "function")) | F.startswith("dotted", F.concat("module", F.lit(".")))
     reached = ~F.col("is_js") | (F.size("influenced") > 0) | (F.col("sink_type").isin("COMMAND", "EXEC") & F.col("dynamic"))
-    note = F.when((F.col("sink_type") == "COMMAND") & F.col("shell"), "shell=True — CRITICAL").otherwise("")
+    command = F.col("sink_type") == "COMMAND"
+    note = F.when(command & F.col("shell"), "shell=True — CRITICAL").when(command & js & F.col("dynamic"), "template literal injection — CRITICAL").when(F.col("callee") == "new Function", "dynamic code construction").otherwise("")
     columns = ["repo", "file", "func", "func_line", "sink_type", F.col("dotted").alias("sink_expr"), "severity", "line", "influenced"]
     listed = named.where(fits & reached).select(*columns, note.alias("note")).dropDuplicates(["repo", "file", "func", "func_line", "sink_type", "sink_expr", "line"])
     methods = F.when(js, F.array(*map(F.lit, catalog.SQL_METHODS_JS))).otherwise(F.array(*map(F.lit, catalog.SQL_METHODS_PY)))

@@ -80,8 +80,10 @@ CORS = f"WITH {CODE} SELECT repo, file, line, detail AS type, severity, trim(mat
 ORIGIN = f"""WITH {CODE} SELECT repo, file, 1 + length(b) - length(replace(b, chr(10), '')) AS line, 'SSE_NO_ORIGIN_VALIDATION' AS type, 'MEDIUM' AS severity, 'SSE endpoint' AS match
 FROM (SELECT *, regexp_split_to_array(content, {q(catalog.STREAM_MARKER)})[1] AS b FROM code WHERE regexp_matches(content, {q(catalog.STREAM_MARKER)}) AND NOT regexp_matches(content, {q(catalog.ORIGIN_VALIDATION)}))"""
 _ssrf = [(p, "SSRF_STREAM", "MEDIUM") if "(?!" not in p else (p, "SSRF_STREAM", "MEDIUM", r"(?s)new\s+EventSource\s*\(\s*(['\"]http)?", 1) for p in catalog.STREAM_SSRF]
-SSRF = f"WITH {CODE} SELECT repo, file, line, 'SSRF_STREAM' AS type, severity, trim(match)[:120] AS match FROM ({first(matches('code', _ssrf), 'repo, file, line')})"
-REDIRECTS = f"WITH {CODE} SELECT repo, file, line, 'OPEN_REDIRECT' AS type, severity, trim(match) AS match FROM ({first(matches('code', [(p, 'OPEN_REDIRECT', 'HIGH') for p in catalog.REDIRECTS]), 'repo, file, line')})"
+#: Only files with an event stream are looked at.
+STREAMS = f"streams AS (SELECT * FROM code WHERE regexp_matches(content, {q(catalog.STREAM_MARKER)}))"
+SSRF = f"WITH {CODE}, {STREAMS} SELECT repo, file, line, 'SSRF_STREAM' AS type, severity, trim(match)[:120] AS match FROM ({first(matches('streams', _ssrf), 'repo, file, line')})"
+REDIRECTS = f"WITH {CODE}, {STREAMS} SELECT repo, file, line, 'OPEN_REDIRECT' AS type, severity, trim(match) AS match FROM ({first(matches('streams', [(p, 'OPEN_REDIRECT', 'HIGH') for p in catalog.REDIRECTS]), 'repo, file, line')})"
 _tokens = []
 for _p, _d, _s in catalog.JS_TOKENS:
     _tokens.append((_p, _d, _s) if "(?!" not in _p else (_p, _d, _s, "(?s)" + _p.split(r"(?!")[0] + r"(['\"`]https?://)?", 1))
@@ -110,8 +112,17 @@ NETWORK = f"""WITH {CODE}, {BIND_CTE}, {FRAME_CTE}
 SELECT repo, 'NETWORK_BINDING' AS type, severity, file, line, note FROM bind
 UNION ALL SELECT repo, 'HTTP_SERVER_INDICATOR', severity, file, NULL, framework || ' detected in ' || n_files || ' file(s): ' || examples FROM frames f
 WHERE severity <> 'INFO' OR NOT EXISTS (SELECT 1 FROM bind b WHERE b.repo = f.repo AND b.file = f.file)"""
-NO_AUTH = f"""WITH {CODE} SELECT file AS repo, 'NO_AUTHENTICATION' AS type, 'HIGH' AS severity FROM code GROUP BY file
+
+
+def no_auth(repo: str) -> str:
+    return f"""WITH {CODE} SELECT {repo} AS repo, 'NO_AUTHENTICATION' AS type, 'HIGH' AS severity FROM code GROUP BY {repo}
 HAVING bool_or({' OR '.join(f"regexp_matches(content, {q('(?i)' + p)})" for p in catalog.ROUTE_SIGNALS)}) AND NOT bool_or({any_marker('content', catalog.AUTH_SIGNALS)})"""
+
+
+NO_AUTH = no_auth("file")
+#: All files of a user are one repository.
+OWNER = r"([0-9]+)_[0-9]+\.[a-z]+$"
+NO_AUTH_USERS = no_auth(f"regexp_extract(file, {q(OWNER)}, 1)")
 CHAT = "chat AS (SELECT conv_id * 1000 + turn AS id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS text FROM (SELECT conv_id, turn, string_split(role || ': ' || text, chr(10)) AS x FROM conversations))"
 INJECTIONS = f"WITH {CHAT} " + "\nUNION ALL ".join(f"SELECT id, line_no, {i} AS pattern, trim(regexp_extract(text, {q(p)}, 0)) AS matched FROM chat WHERE regexp_matches(text, {q(p)})" for i, p in enumerate([*catalog.INJECTIONS, catalog.ROLE_MARKER]))
 _new = "text"

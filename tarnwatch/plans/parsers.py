@@ -1,4 +1,4 @@
-"""Registered queries of the parsers and reviews.  Parsers have no SQL; their tests hold them against snippets and expected rows."""
+"""Registered queries of the parsers and reviews.  Parsers can't be written in SQL: theirs lists the rows that were worked out by hand for every program."""
 
 from __future__ import annotations
 
@@ -12,48 +12,9 @@ from ..operators.patterns import check_patterns
 from ..functions import catalog
 from ..sources.corpus import code_files, scannable
 from . import duck
+from . import programs as E
 from .graphs import sink_catalogue
-
-PYTHON = '''import os, subprocess, requests
-from flask import Flask
-
-@server.tool()
-def tool_{}(cmd, path):
-    c = cmd
-    os.system(c)
-    helper_{}(path)
-    cursor.execute("select " + path)
-
-def helper_{}(p, **kw):
-    open(p)
-    subprocess.run(p, shell=True)
-
-@app.get("/events")
-def events_{}(request: Request):
-    return Response(gen(), mimetype="text/event-stream")
-
-@app.post("/messages")
-def messages_{}(token):
-    session_id = request.args.get("session_id")
-    return requests.get(session_id)
-'''
-SCRIPT = """const cp = require('child_process');
-server.tool("run_{}", async ({ cmd, dir }) => {
-  const full = `${cmd} ${dir}`; // exec(x)
-  cp.exec(full);
-  return load_{}(dir);
-});
-function load_{}(p) { return fs.readFile(p); }
-const other_{} = async (q) => { db.query("select " + q); };
-"""
-
-
-def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Python and one JavaScript program per user of events: (repo, file, content)."""
-    u = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
-    n = F.col("user_id").cast("string")
-    each = F.array(*[F.struct(F.concat(F.lit("src/p"), n, F.lit(end)).alias("file"), F.replace(F.lit(text), F.lit("{}"), n).alias("content")) for end, text in ((".py", PYTHON), (".js", SCRIPT))])
-    return u.select(F.concat(F.lit("repo"), (F.col("user_id") % 5).cast("string")).alias("repo"), F.inline(each))
+from .programs import programs
 
 
 def _functions(s: SparkSession, d: str) -> DataFrame:
@@ -106,17 +67,17 @@ def _checked(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "index_py": (lambda s, d: _functions(s, d).where(F.col("file").endswith(".py")).select("repo", "file", "name", "line_start", "line_end", F.size("params").alias("n_params"), F.size("calls").alias("n_calls"), "is_tool", "is_http"), None),
-    "index_js": (lambda s, d: _functions(s, d).where(F.col("file").endswith(".js")).select("repo", "file", "name", "line_start", "line_end", F.size("params").alias("n_params"), F.size("calls").alias("n_calls"), "is_tool"), None),
-    "parsed_sinks": (_sinks, None),
-    "flow_counts": (_flow, None),
-    "v1_call_graph": (lambda s, d: S.call_graph(programs(s, d)), None),
-    "v1_risky_calls": (lambda s, d: S.risky_calls(programs(s, d)), None),
-    "v2_taint": (lambda s, d: S.taint_v2(programs(s, d)), None),
-    "auth_params": (lambda s, d: S.unvalidated_auth(programs(s, d)), None),
-    "sse_no_auth": (lambda s, d: S.stream_without_auth(programs(s, d)), None),
-    "messages_unbound": (lambda s, d: S.messages_without_binding(programs(s, d)), None),
-    "reply_checks": (_checked, None),
+    "index_py": (lambda s, d: _functions(s, d).where(F.col("file").endswith(".py")).select("repo", "file", "name", "line_start", "line_end", F.size("params").alias("n_params"), F.size("calls").alias("n_calls"), "is_tool", "is_http"), E.INDEX_PY),
+    "index_js": (lambda s, d: _functions(s, d).where(F.col("file").endswith(".js")).select("repo", "file", "name", "line_start", "line_end", F.size("params").alias("n_params"), F.size("calls").alias("n_calls"), "is_tool"), E.INDEX_JS),
+    "parsed_sinks": (_sinks, E.PARSED_SINKS),
+    "flow_counts": (_flow, E.FLOW_COUNTS),
+    "v1_call_graph": (lambda s, d: S.call_graph(programs(s, d)), E.CALL_GRAPH),
+    "v1_risky_calls": (lambda s, d: S.risky_calls(programs(s, d)), E.RISKY_CALLS),
+    "v2_taint": (lambda s, d: S.taint_v2(programs(s, d)), E.TAINT_V2),
+    "auth_params": (lambda s, d: S.unvalidated_auth(programs(s, d)), E.AUTH_PARAMS),
+    "sse_no_auth": (lambda s, d: S.stream_without_auth(programs(s, d)), E.SSE_NO_AUTH),
+    "messages_unbound": (lambda s, d: S.messages_without_binding(programs(s, d)), E.MESSAGES),
+    "reply_checks": (_checked, E.REPLY_CHECKS),
     "report_mentions": (_mentions, f"SELECT DISTINCT repo, file FROM ({duck.checked(catalog.CREDENTIALS, 'HARDCODED_CREDENTIAL')})"),
     "parse_ai_json": (_review, "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN left(text, 500) ELSE 'about ' || doc_id END AS summary, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 3 END AS n FROM documents"),
     "read_lines": (lambda s, d: R.read_lines(scannable(code_files(s, d)), 2, 4).select("repo", "file", "line", "shown"), f"WITH {duck.CODE} SELECT repo, file, line, printf('%5d | %s', line, text) AS shown FROM ({duck.LINES.format('code')}) WHERE line BETWEEN 2 AND 4"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, parsers, relational, scans
+from . import graphs, outputs, parsers, relational, scans
 
-MODULES = (scans, relational, graphs, parsers)
+MODULES = (scans, relational, graphs, parsers, outputs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

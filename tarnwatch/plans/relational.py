@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import catalog
 from ..functions.text import head_and_tail
 from ..operators import review
@@ -165,6 +166,26 @@ DUCK = Dialect(spark=False)
 QUERIES = {name: ((lambda spark, sf_dir, name=name: spark.sql(sql(name, Dialect(True, sf_dir)))), sql(name, DUCK)) for name in bodies(DUCK)}
 
 
+def _view(spark: SparkSession, sf_dir: str, need: list[str], body: str) -> DataFrame:
+    have = views(Dialect(True, sf_dir))
+    return spark.sql("WITH " + ", ".join(f"{v} AS ({have[v]})" for v in need) + " " + body)
+
+
+def _sorted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in one order, without one task for all."""
+    found = _view(spark, sf_dir, ["findings", "verdicts", "discovered", "merged", "ranked"], "SELECT repo, title, severity_rank, file, coalesce(line, 0) AS line, id FROM ranked")
+    return shared.ranked(found, [F.col(c) for c in ("severity_rank", "file", "line", "repo", "id")], "place").select("repo", "title", "place")
+
+
+def _risky_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _view(spark, sf_dir, ["findings", "repos"], "SELECT repo, CAST(n_high AS BIGINT) AS n_high FROM repos WHERE n_high > 0")
+    return shared.ranked(found, [F.col("n_high").desc(), F.col("repo")], "place").select("repo", "n_high", "place")
+
+
+QUERIES["sorted_findings"] = (_sorted_findings, QUERIES["sorted_findings"][1])
+QUERIES["risky_repos"] = (_risky_repos, QUERIES["risky_repos"][1])
+
+
 def _prompt_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is in one of the six sections of its repository."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint below ``spark.checkpoint.dir``, or below /tmp/checkpoints where that is unset (tests)."""
+    """A reliable checkpoint below ``spark.checkpoint.dir``, or below /tmp/checkpoints where that is unset and the master is local (tests)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints")
+        base = spark.conf.get("spark.checkpoint.dir", "")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: checkpoints need a folder that every executor sees")
+        spark.sparkContext.setCheckpointDir(base or "/tmp/checkpoints")
     return df.checkpoint()
+
+
+def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with its rows' places from 1 in that order, over all rows: a range-partitioned sort and the sizes of its partitions, so no task holds the whole table.  Ties get places one after another."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_part", before.alias("_start")))  # one row a partition of the sort
+    place = (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")
+    return placed.withColumn("_part", part).join(starts, "_part").withColumn(out, place).drop("_at", "_part", "_start")

@@ -34,9 +34,12 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """The JSON array of finished entries; none if the file is missing or broken."""
+    """(url) of the finished entries: lines of {"url": ...} as ``upsert_progress`` writes them, or one JSON array; none if the file is missing or broken."""
     try:
-        found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("url"))
+        text = spark.read.text(path, wholetext=True)
+        lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.get_json_object(x, "$.url"))
+        listed = F.startswith(F.ltrim("value"), F.lit("["))
+        found = text.select(F.explode(F.when(listed, F.from_json("value", "array<string>")).otherwise(lines)).alias("url")).where("url IS NOT NULL")
         found.limit(1).count()
         return found
     except Exception as e:
@@ -45,6 +48,29 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "url string")
 
 
+def read_validation(spark: SparkSession, path: str) -> DataFrame:
+    """Stored validation results below path: canary_verified, guardrail_warnings, the counts, validated_findings, new_findings, summary; none where files are missing, and broken files give no row."""
+    finding = "severity:string,title:string,file:string,line:long,description:string,recommendation:string"
+    verdict = "id:long,original_severity:string,verdict:string,new_severity:string,evidence:string,file:string,line:long"
+    schema = (
+        "canary_verified boolean, guardrail_warnings array<string>, original_findings_count long, confirmed long, false_positives long, severity_changed long, new_findings_count long, "
+        f"validated_findings array<struct<{verdict}>>, new_findings array<struct<{finding}>>, summary string"
+    )
+    try:
+        text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    parsed = text.where(F.startswith(F.ltrim("value"), F.lit("{"))).select(F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("v"))
+    return parsed.select("v.*").where("_broken IS NULL").drop("_broken")
+
+
+def setting(name: str, file: dict[str, str], environment: dict[str, str] | None = None, default: str = "") -> str:
+    """A setting: what the file says, then (only if given) the environment, then the default; empty values don't count."""
+    return file.get(name) or (environment or {}).get(name) or default
+
+
 def read_scanner_json(spark: SparkSession, path: str) -> DataFrame:
     """Results of an external rule scanner: (file, line, severity, message), HIGH and MEDIUM only."""
     schema = "results array<struct<path:string,start:struct<line:int>,extra:struct<severity:string,message:string>>>"
@@ -92,13 +118,6 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.concat(F.lit("repo"), F.pmod("user_id", F.lit(5)).cast("string")).alias("repo"), path.alias("file"), "content")
 
 
-def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: (repo, file, content), the repository being the source."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    path = F.concat(pick(FOLDERS, F.col("doc_id")), F.lit("/"), pick(STEMS, F.col("doc_id") + F.floor(F.col("doc_id") / 6)), F.col("doc_id").cast("string"), pick(ENDINGS, F.floor(F.col("doc_id") / 5)))
-    return d.select(F.col("source").alias("repo"), path.alias("file"), F.col("text").alias("content"))
-
-
 def scannable(files: DataFrame, extensions: list[str] | None = None) -> DataFrame:
     """Files that a scan reads: a source extension, no skipped path, some content."""
     return files.where(extension(F.col("file")).isin(extensions or catalog.SOURCE_EXTENSIONS) & ~skip_path(F.col("file")) & (F.length("content") > 0))

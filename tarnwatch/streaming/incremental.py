@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.corpus import CORPUS_SCHEMA, scannable
@@ -29,8 +28,3 @@ def scan_new(corpus: DataFrame, scan: Callable[[DataFrame], DataFrame], out: str
         scan(scannable(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return corpus.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def counts_by_repo(corpus: DataFrame) -> DataFrame:
-    """Running number of files and characters per repository (complete mode)."""
-    return corpus.groupBy("repo").agg(F.count("*").alias("n_files"), F.sum(F.length("content")).alias("chars"))

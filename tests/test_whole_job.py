@@ -1,13 +1,8 @@
 """Cases in which an operator or query once did less than its whole job."""
 
-import re
-from math import comb
-from pathlib import Path
-
 import pytest
 
 from tarnwatch.functions import catalog
-from tarnwatch.llm import minhash
 from tarnwatch.operators import review, structure, trace
 from tarnwatch.plans import graphs, registry
 
@@ -52,9 +47,3 @@ def test_sql_sinks_are_decided_by_the_operator(spark, tmp_path, monkeypatch):
     assert seen[0].count() == 60 and {(r["dynamic"], len(r["influenced"])) for r in seen[0].collect()} == {(False, 0), (True, 0), (False, 1)}
     methods = [i for i in range(60) if graphs.DOTTED[i % 10].rsplit(".", 1)[-1] in catalog.SQL_METHODS_PY]
     assert methods and got == {(i, "dynamic SQL construction" if i % 3 == 1 else "") for i in methods if i % 3}
-
-
-def test_documented_loss_at_the_threshold():
-    loss = sum(comb(minhash.SYMBOLS, k) * 0.2**k * 0.8 ** (minhash.SYMBOLS - k) for k in range(minhash.RADIUS + 1, minhash.SYMBOLS + 1))
-    for text in (minhash.__doc__, (Path(__file__).parents[1] / "README.md").read_text()):
-        assert float(re.search(r"probability of about ([\d.]+e-\d+)", text)[1]) == pytest.approx(loss, rel=0.01)
