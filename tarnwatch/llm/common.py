@@ -9,6 +9,7 @@ setting is absent and the master is local, as in tests; on a cluster without the
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ FALLBACK_DIR = "/tmp/checkpoints"
 #: The white space of the contracts, as a character class body: \x20 and \x09-\x0D.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
+_written: list[str] = []  # paths of this application's intermediate tables
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,26 +39,41 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _written.append(path)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnwatch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes a table of write_table that nothing reads any more."""
     path = getattr(df, "_tarnwatch_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+        _delete(df.sparkSession, path)
+
+
+def stored(step: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What step returns, as a written table; all other tables that were written for it are deleted."""
+    mark = len(_written)
+    out = write_table(step(), name)
+    for path in _written[mark:]:
+        if path != out._tarnwatch_path:
+            _delete(out.sparkSession, path)
+    del _written[mark:]
+    _written.append(out._tarnwatch_path)
+    return out
 
 
 def release(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; call it once results are stored."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    place.getFileSystem(conf).delete(place, True)
+    _delete(spark, shared_dir(spark))
+    _written.clear()
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:

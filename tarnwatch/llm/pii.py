@@ -325,3 +325,24 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = [f"n_{k}" for k in ADDED_KINDS]
     total = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)).cast("long").alias("n_spans")
     return found.select("doc_id", *[f"n_{k}" for k in BASE_KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", *added, total)
+
+
+def base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can express: what the base rules find."""
+    return op8_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256")
+
+
+def _spans_sql(kind: int, pattern: str, keep: str) -> str:
+    return f"""SELECT r, {kind} AS kind, s, s + length(v) AS e FROM (SELECT r, m[k] AS v, length(array_to_string(g[1:k], '')) + length(array_to_string(m[1:k-1], '')) AS s
+  FROM (SELECT r, g, m, unnest(range(1, len(m) + 1)) AS k FROM (SELECT r, regexp_split_to_array(x, '{pattern}') AS g, regexp_extract_all(x, '{pattern}') AS m FROM t))) WHERE {keep}"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({_DIGITS})[i]::INT WHEN reverse({_DIGITS})[i]::INT > 4 THEN reverse({_DIGITS})[i]::INT * 2 - 9 ELSE reverse({_DIGITS})[i]::INT * 2 END)) % 10 = 0"
+BASE_SQL = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+s AS ({_spans_sql(0, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'true')}
+UNION ALL {_spans_sql(1, r'[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', "len(list_filter(string_split(v, '.'), lambda p: NOT regexp_full_match(p, '0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])'))) = 0")}
+UNION ALL {_spans_sql(2, r'[0-9](?:[ -]?[0-9])+', f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}")}
+UNION ALL {_spans_sql(3, r'[+][0-9][ ().0-9-]+[0-9]', f"length({_DIGITS}) BETWEEN 9 AND 15")}),
+a AS (SELECT r, {', '.join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(BASE_KINDS))}, string_agg(['email', 'ip', 'card', 'phone'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) AS spans FROM s GROUP BY r)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN a ON a.r = t.r"""

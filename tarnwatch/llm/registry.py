@@ -19,10 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_cover_tree": cover_tree.op6_cover_tree,
         "op7_sharding": sharding.op7_sharding,
         "op8_pii": pii.op8_pii,
+        "pii_base_spans": pii.base_columns,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_langid": langid.op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op5_minhash": minhash.OP5_SQL, "op6_cover_tree": cover_tree.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op5_minhash": minhash.OP5_SQL, "op6_cover_tree": cover_tree.OP6_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "pii_base_spans": pii.BASE_SQL}

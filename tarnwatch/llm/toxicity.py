@@ -15,9 +15,9 @@ order of a hash of doc_id), so what reaches the driver doesn't grow with the cor
 covers every row and whole texts in Arrow batches.
 
 Defined results: a null or empty text has no words and gets the score of the
-bias; rows with null doc_id are scored and never trained on; repeated rows get
-equal scores; empty tables give an empty result (without positives the model
-scores every text with the prior); columns named like an output are replaced.
+bias; very long texts are scored whole; rows with null doc_id are scored and never trained on; repeated rows get
+equal scores and are trained on once; a score of exactly the threshold counts as toxic; empty tables give an empty result; without a toxic label every text scores 0.0067 (a bias of -5),
+and where no text of a toxic label or no other text is at hand, the prior; columns named like an output are replaced.
 """
 
 from __future__ import annotations

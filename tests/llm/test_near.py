@@ -1,6 +1,9 @@
 """Near-duplicates of texts and vectors against brute force."""
 
 import random
+import re
+from math import comb
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -155,3 +158,9 @@ def test_cover_tree_covers():
         assert (levels[levels[:, k], k] == levels[:, k]).all()
         if k:
             assert (levels[levels[:, k - 1], k] == levels[:, k - 1]).all()  # centres of a level stay centres below
+
+
+def test_documented_loss_at_the_threshold():
+    loss = sum(comb(minhash.SYMBOLS, k) * 0.2**k * 0.8 ** (minhash.SYMBOLS - k) for k in range(minhash.RADIUS + 1, minhash.SYMBOLS + 1))
+    for text in (minhash.__doc__, (Path(__file__).parents[2] / "README.md").read_text()):
+        assert float(re.search(r"probability of about ([\d.]+e-\d+)", text)[1]) == pytest.approx(loss, rel=0.01)
