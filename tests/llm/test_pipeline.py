@@ -15,7 +15,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, si
 
 def odd_corpus(spark):
     rng = random.Random(12)
-    words = [f"w{i}" for i in range(400)]
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
     rows = []
     for i in range(260):
         text = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 6)))
