@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, write_table
+from .common import drop_table, lookup, write_table
 
 
 class UnionFind:
@@ -59,7 +59,8 @@ def _contract(edges: DataFrame, most: int = 500_000) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u long, v long), nulls and loops left out -> (id, component): the smallest id reachable, for every id with an edge.
 
-    Every round is written to the shared folder; a node's neighbours are only ever reduced to their minimum, so a hub is never gathered in one task.
+    Every round is written to the shared folder; a node's neighbours are only ever reduced to their minimum, and a hub with over 1/1024 of the edges
+    finds it in place, so no hub is gathered in one task.
     """
     now = write_table(_contract(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v")).where("u <> v").distinct(), "edges")
     seen = None
@@ -69,11 +70,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = write_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "edges-low")
+        large = lookup(both, low, ["u"], "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = write_table(small, "edges")
         drop_table(now)
+        drop_table(low)
         now = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -12,7 +12,8 @@ texts confirm the links that join different parts.
 
 Large groups, buckets as well as families, take two steps.  First their members are dealt into blocks by a hash and each block is compared within itself, so every
 row is sent once; components of all that was found follow.  Then only members of groups that still hold several components are sent again: those of the largest component in its
-blocks, all others to every one of them, so that every pair of different components is compared and none within one.  So no group is gathered in one task, none is capped, and a
+blocks, all others to every one of them, so that every pair of different components is compared and none within one.  What the second step needs, the members of large buckets
+and the sets of large families, is written by the first one beside its edges, so neither keys nor texts are shuffled again.  So no group is gathered in one task, none is capped, and a
 group of copies of one template is read once, whatever its size.  What stays quadratic is a group in which many members are close by signature and yet apart by their sets.
 
 Defined results: documents without words have an empty set, link with nothing and are kept; equal sets are linked; very long texts are read whole; a null doc_id comes last when the smallest id
@@ -171,8 +172,14 @@ def apart(df: DataFrame, components: DataFrame, group: str, member: str, block_r
     return rows.drop("_own", "_other", "_first", "_all", "most", "n", "g")
 
 
-def by_group(df: DataFrame, group: str, work: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
-    """Edges (u, v) that work finds in each (group, i, j); groups stream through sorted partitions."""
+GROUP_SCHEMA = "u long, v long, group long, set binary"
+
+
+def by_group(df: DataFrame, group: str, work: Callable[[pd.DataFrame, np.ndarray, dict], list[tuple[int, int]]]) -> DataFrame:
+    """Rows of GROUP_SCHEMA: the edges (u, v) that work finds in each (group, i, j), and for every row that is ``large`` its (u = rep, group, set).
+
+    Groups stream through sorted partitions; work(frame, cuts, sets) may leave sets of large rows in sets, by rep.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -181,8 +188,15 @@ def by_group(df: DataFrame, group: str, work: Callable[[pd.DataFrame], list[tupl
             k = frame[[group, "i", "j"]].to_numpy()
             return np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
 
-        def out(edges: list) -> pd.DataFrame:
-            return pd.DataFrame(np.array(edges, dtype=np.int64).reshape(-1, 2), columns=["u", "v"])
+        def out(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            sets: dict = {}
+            edges = np.array(work(frame, cuts, sets), dtype=np.int64).reshape(-1, 2)
+            large = frame[frame["large"].to_numpy(dtype=bool)][[group, "rep"]].drop_duplicates()
+            none = [None] * len(edges)
+            return pd.DataFrame({
+                "u": np.r_[edges[:, 0], large["rep"].to_numpy(dtype=np.int64)], "v": pd.array([*edges[:, 1].tolist(), *[None] * len(large)], dtype="Int64"),
+                "group": pd.array([*none, *large[group].tolist()], dtype="Int64"), "set": pd.Series([*none, *(sets.get(r) for r in large["rep"])], dtype=object),
+            })
 
         for frame in frames:
             if not len(frame):
@@ -194,15 +208,19 @@ def by_group(df: DataFrame, group: str, work: Callable[[pd.DataFrame], list[tupl
             whole = pd.concat(held, ignore_index=True)
             cuts = ends(whole)
             held = [whole.iloc[cuts[-1] :]]
-            yield out(work(whole.iloc[: cuts[-1]], np.r_[0, cuts]))
+            yield out(whole.iloc[: cuts[-1]], np.r_[0, cuts])
         if held:
             whole = pd.concat(held, ignore_index=True)
-            yield out(work(whole, np.r_[0, ends(whole), len(whole)]))
+            yield out(whole, np.r_[0, ends(whole), len(whole)])
 
-    return df.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j").mapInPandas(run, "u long, v long")
+    return df.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j").mapInPandas(run, GROUP_SCHEMA)
 
 
-def close_signatures(frame: pd.DataFrame, cuts: np.ndarray) -> list[tuple[int, int]]:
+def edges_of(found: DataFrame) -> DataFrame:
+    return found.where("v IS NOT NULL").select("u", "v")
+
+
+def close_signatures(frame: pd.DataFrame, cuts: np.ndarray, _: dict) -> list[tuple[int, int]]:
     """Spanning forests of the signatures within the radius, group by group; members of one part count as joined."""
     sigs = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint8).reshape(-1, SYMBOLS)
     reps, part, sizes, edges = frame["rep"].to_numpy(), frame["part"].to_numpy(), np.diff(cuts), []
@@ -235,17 +253,21 @@ def close_signatures(frame: pd.DataFrame, cuts: np.ndarray) -> list[tuple[int, i
     return np.unique(np.concatenate(edges), axis=0).tolist() if edges else []
 
 
-def confirm(width: int, percent: int) -> Callable[[pd.DataFrame, np.ndarray], list[tuple[int, int]]]:
-    """Links between members of different parts, confirmed on full sets, as a spanning forest; the closest signatures are tried first."""
+def confirm(width: int, percent: int) -> Callable[[pd.DataFrame, np.ndarray, dict], list[tuple[int, int]]]:
+    """Links between members of different parts, confirmed on full sets (of a text, or a set as it was written), as a spanning forest; the closest signatures are tried first."""
 
-    def work(frame: pd.DataFrame, cuts: np.ndarray) -> list[tuple[int, int]]:
+    def work(frame: pd.DataFrame, cuts: np.ndarray, written: dict) -> list[tuple[int, int]]:
         words, edges = Words(), []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             rows = frame.iloc[s:e].drop_duplicates("rep")
-            reps, part = rows["rep"].tolist(), rows["part"].to_numpy()
+            reps, part, large = rows["rep"].tolist(), rows["part"].to_numpy(), bool(rows["large"].iloc[0])
+            if len(np.unique(part)) < 2 and not large:
+                continue
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"]] if "set" in rows else [shingle_set(t, width, words) for t in rows["text"]]
+            if large:
+                written.update((r, x.tobytes()) for r, x in zip(reps, sets, strict=True))
             if len(np.unique(part)) < 2:
                 continue
-            sets = [shingle_set(t, width, words) for t in rows["text"]]
             sigs = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint8).reshape(-1, SYMBOLS)
             size = np.array([len(x) for x in sets])
             order = []
@@ -281,16 +303,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bucket_r
     members = write_table(members.join(total, "family").select("family", "rep", "sig", F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), n_blocks.alias("n_blocks"), F.ceil(F.col("g") / n_blocks).alias("in_block")), "op5-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")))
-        return write_table(by_group(found.select("family", "i", "j", "rep", "part", "sig", "text"), "family", confirm(width, percent)), "op5-links")
-
-    links = confirmed(dealt(members, "family", F.col("n_blocks"), "rep"))
+    found = dealt(members, "family", F.col("n_blocks"), "rep").join(texts, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")))
+    found = found.select("family", "i", "j", "rep", "part", "sig", "text", (F.col("n_blocks") > 1).alias("large"))
+    links = write_table(by_group(found, "family", confirm(width, percent)), "op5-links")
+    pairs = edges_of(links)
     large = members.where("n_blocks > 1")
     if not large.isEmpty():
-        # what the blocks of large families left apart
-        again = confirmed(apart(large, write_table(connected_components(links), "op5-parts"), "family", "rep", F.greatest(F.col("in_block"), F.lit(1))))
-        links = links.unionByName(again)
+        # what the blocks of large families left apart, with the sets that were written for them
+        parts = write_table(connected_components(pairs), "op5-parts")
+        rows_apart = apart(large.select("family", "rep", "sig", "in_block"), parts, "family", "rep", F.greatest(F.col("in_block"), F.lit(1)))
+        sets_of = links.where("v IS NULL").select(F.col("u").alias("rep"), "set")
+        again = rows_apart.join(sets_of, "rep").select("family", "i", "j", "rep", "part", "sig", "set", F.lit(False).alias("large"))
+        pairs = pairs.unionByName(edges_of(write_table(by_group(again, "family", confirm(width, percent)), "op5-links")))
+    links = pairs
     roots = connected_components(links).select(F.col("id").alias("rep"), "component")
     # a document without a set is a component by itself; roots are row numbers, so the two don't meet
     by_set = write_table(sets.join(roots, "rep", "left").select("s1", "s2", "n_shingles", "copies", F.coalesce("component", "rep").alias("root")), "op5-by-set")
@@ -298,7 +323,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bucket_r
     placed = lookup(bare.where("n_shingles > 0"), by_set, ["s1", "s2", "n_shingles"], "copies", rows.count()).select("rid", "doc_id", "text_hash", "n_shingles", "root")
     placed = write_table(placed.unionByName(bare.where("n_shingles = 0").select("rid", "doc_id", "text_hash", "n_shingles", F.col("rid").alias("root"))), "op5-placed")
     firsts = write_table(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("least"), F.count("*").alias("size")), "op5-firsts")
-    for done in (close, families, members):
+    for done in (families, members):
         drop_table(done)
     out = lookup(placed, firsts, ["root"], "size", placed.count())
     return out.select("rid", "doc_id", "text_hash", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("first"))
@@ -309,15 +334,15 @@ def close_pairs(reps: DataFrame, bucket_rows: int) -> DataFrame:
     keys = bucket_keys(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
     met = keys.join(shared, "key").join(reps.select("rep", "sig"), "rep")
-    blocks = dealt(met, "key", F.ceil(F.col("g") / bucket_rows), "rep")
-    close = write_table(by_group(blocks.select("key", "i", "j", "rep", "part", "sig"), "key", close_signatures).distinct(), "op5-close")
-    large = shared.where(F.col("g") > bucket_rows).select("key")
+    blocks = dealt(met, "key", F.ceil(F.col("g") / bucket_rows), "rep").withColumn("large", F.col("g") > bucket_rows)
+    found = write_table(by_group(blocks.select("key", "i", "j", "rep", "part", "sig", "large"), "key", close_signatures), "op5-close")
+    large = found.where("v IS NULL").select(F.col("group").alias("key"), F.col("u").alias("rep"))
     if large.isEmpty():
-        return close
-    rows = write_table(keys.join(large, "key").join(reps.select("rep", "sig"), "rep"), "op5-large")
-    parts = write_table(connected_components(close), "op5-close-parts")
-    more = by_group(apart(rows, parts, "key", "rep", F.lit(bucket_rows)).select("key", "i", "j", "rep", "part", "sig"), "key", close_signatures).distinct()
-    return write_table(close.unionByName(more), "op5-close")
+        return edges_of(found).distinct()
+    parts = write_table(connected_components(edges_of(found)), "op5-close-parts")
+    rows = apart(large, parts, "key", "rep", F.lit(bucket_rows)).join(reps.select("rep", "sig"), "rep")
+    more = write_table(by_group(rows.select("key", "i", "j", "rep", "part", "sig", F.lit(False).alias("large")), "key", close_signatures), "op5-close")
+    return edges_of(found).unionByName(edges_of(more)).distinct()
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
