@@ -150,7 +150,7 @@ def forest(close: np.ndarray) -> list[tuple[int, int]]:
 
 def dealt(df: DataFrame, group: str, n_blocks: Column, member: str) -> DataFrame:
     """df with (i, j), a block of its group, and ``part``, the member itself: nothing is joined yet."""
-    own = F.pmod(F.xxhash64(member, group), F.greatest(n_blocks, F.lit(1)))
+    own = F.pmod(F.xxhash64(member), F.greatest(n_blocks, F.lit(1)))  # the same in all buckets, so that they find the same edges
     return df.withColumn("i", own).withColumn("j", own).withColumn("part", F.col(member))
 
 
@@ -221,7 +221,9 @@ def edges_of(found: DataFrame) -> DataFrame:
 
 
 def close_signatures(frame: pd.DataFrame, cuts: np.ndarray, _: dict) -> list[tuple[int, int]]:
-    """Spanning forests of the signatures within the radius, group by group; members of one part count as joined."""
+    """Spanning forests of the signatures within the radius, group by group, from the smallest member on, so that buckets of the same members find the same edges; members of one part count as joined."""
+    of_group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    frame = frame.iloc[np.lexsort((frame["rep"].to_numpy(), of_group))]
     sigs = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint8).reshape(-1, SYMBOLS)
     reps, part, sizes, edges = frame["rep"].to_numpy(), frame["part"].to_numpy(), np.diff(cuts), []
     for k in np.unique(sizes):
