@@ -19,7 +19,6 @@ other (account numbers first, then secrets, numbers and names, each from left to
 from __future__ import annotations
 
 import bisect
-import hashlib
 import math
 import re
 from collections import Counter
