@@ -32,7 +32,7 @@ from .components import UnionFind, connected_components
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-7
 SPREAD = 2048  # centres that are chosen far from each other
-STRIP, LEAF = 512, 4096  # nodes compared at a time; point pairs below which a node pair is compared directly
+STRIP, LEAF = 512, 16384  # nodes or points compared at a time; point pairs below which a node pair is compared directly
 
 
 def net(x: np.ndarray, radius: float) -> np.ndarray:
@@ -98,10 +98,8 @@ def dual_pairs(a: Nodes, b: Nodes, threshold: float, tally: dict | None = None)
     tally = {} if tally is None else tally
     tally.update(centres=0, points=0)
     tau, last = float(np.sqrt(max(0.0, 2 - 2 * threshold))), len(a.centres) - 1
-    top = 0
-    # unrelated points of many dimensions are about sqrt(2) apart: a level too wide to tell them and with nearly as many nodes as the next prunes nothing
-    while top < last and 2 * RADII[top] + tau >= np.sqrt(2) and 2 * (len(a.centres[top]) + len(b.centres[top])) > len(a.centres[top + 1]) + len(b.centres[top + 1]):
-        top += 1
+    # unrelated points of many dimensions are about sqrt(2) apart: the traversal starts at the widest level that can tell them
+    top = next((k for k in range(last) if 2 * RADII[k] + tau < np.sqrt(2)), last)
     todo: list = []
     # the top level is compared in strips of nodes of like radius; single precision, with room for its error, decides what is looked at closely
     by_a, by_b = np.argsort(a.radius[top], kind="stable"), np.argsort(b.radius[top], kind="stable")
@@ -123,17 +121,20 @@ def dual_pairs(a: Nodes, b: Nodes, threshold: float, tally: dict | None = None)
         left, right = a.members[k][i], b.members[k][j]
         if d + ri + rj <= tau - SLACK and len(left) * len(right) > 1:
             yield left, right, None
-        elif k == last or len(left) * len(right) <= LEAF:
-            tally["points"] += len(left) * len(right)
-            links = a.x[left] @ b.x[right].T >= threshold
-            if links.any():
-                yield left, right, links
         else:
-            u, v = a.below[k][i], b.below[k][j]
-            tally["centres"] += len(u) * len(v)
-            near = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centres[k + 1][u]] @ b.x[b.centres[k + 1][v]].T)))
-            p, q = np.nonzero(near <= a.radius[k + 1][u][:, None] + b.radius[k + 1][v][None, :] + tau)
-            todo += list(zip(u[p].tolist(), v[q].tolist(), near[p, q].tolist(), [k + 1] * len(p), strict=True))
+            u, v = (a.below[k][i], b.below[k][j]) if k < last else (left, right)
+            if k < last and len(left) * len(right) > LEAF and len(u) * len(v) * 8 <= len(left) * len(right):
+                tally["centres"] += len(u) * len(v)
+                near = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centres[k + 1][u]] @ b.x[b.centres[k + 1][v]].T)))
+                p, q = np.nonzero(near <= a.radius[k + 1][u][:, None] + b.radius[k + 1][v][None, :] + tau)
+                todo += list(zip(u[p].tolist(), v[q].tolist(), near[p, q].tolist(), [k + 1] * len(p), strict=True))
+                continue
+            # few points, or nodes below that are hardly larger than points: compared directly
+            tally["points"] += len(left) * len(right)
+            for s in range(0, len(left), STRIP):
+                links = a.x[left[s : s + STRIP]] @ b.x[right].T >= threshold
+                if links.any():
+                    yield left[s : s + STRIP], right, links
 
 
 def bipartite_forest(links: np.ndarray) -> list[tuple[int, int]]:
