@@ -101,6 +101,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def finite(vector: str) -> Column:
+    """Whether the array is there and holds neither nulls nor non-finite numbers."""
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo modulus; null stays null."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
