@@ -2,41 +2,82 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import catalog
 from ..functions.text import any_marker, extension
 from . import extract_js, extract_py
+from .store import Versioned
 
 CALL = "callee string, dotted string, line int, pos array<array<string>>, kw map<string,array<string>>, star boolean, influenced array<string>, shell boolean, dynamic boolean"
 RECORD = f"name string, line_start int, line_end int, params array<struct<name:string,annotation:string>>, decorators array<string>, is_tool boolean, is_call_tool boolean, is_http boolean, calls array<struct<{', '.join(c.replace(' ', ':', 1) for c in CALL.split(', '))}>>"
 
 
-def parse(files: DataFrame, work: Callable[[str, str], list[dict]], schema: str) -> DataFrame:
-    """(repo, file, ...) of what work(file, content) finds; its rows travel as JSON and get their types on the JVM side."""
+def parse(files: DataFrame, work: Callable[[str, str], list[dict]], schema: str, keep: tuple[str, ...] = ("repo", "file")) -> DataFrame:
+    """The columns of keep and what work(file, content) finds, as typed Arrow rows."""
+    spark = files.sparkSession
+    found = T.StructType.fromJson(spark.createDataFrame([], schema).schema.jsonValue())
+    arrow = to_arrow_type(T.ArrayType(found))
+    out = T.StructType([*(files.schema[c] for c in keep), T.StructField("x", T.ArrayType(found))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(r, f, json.dumps(x)) for r, f, c in zip(frame["repo"], frame["file"], frame["content"], strict=True) for x in work(f or "", c or "")]
-            yield pd.DataFrame(rows, columns=["repo", "file", "found"])
+    def plain(x: object) -> object:
+        if isinstance(x, dict):
+            return {k: list(v.items()) if k == "kw" else plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, list) else x
 
-    found = files.select("repo", "file", "content").mapInPandas(run, "repo string, file string, found string")
-    return found.select("repo", "file", F.from_json("found", schema).alias("x")).select("repo", "file", "x.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [plain(work(f or "", c or "")) for f, c in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(rows, arrow)], [*keep, "x"])
+
+    listed = files.select(*dict.fromkeys([*keep, "file", "content"])).mapInArrow(run, out)
+    return listed if keep != ("repo", "file") else listed.select("repo", "file", F.inline("x"))
+
+
+def records(file: str, text: str) -> list[dict]:
+    """Function records of a Python or a JavaScript file, by its own parser."""
+    return extract_py.index_python(text) if file.lower().endswith(".py") else extract_js.index_js(text)
 
 
 def functions_of(files: DataFrame) -> DataFrame:
-    """Function records of Python and JavaScript files, each by its own parser."""
-    known = files.where(extension(F.col("file")).isin(catalog.SOURCE_EXTENSIONS))
-    return parse(known, lambda file, text: extract_py.index_python(text) if file.lower().endswith(".py") else extract_js.index_js(text), RECORD)
+    """Function records of Python and JavaScript files."""
+    return parse(files.where(extension(F.col("file")).isin(catalog.SOURCE_EXTENSIONS)), records, RECORD)
+
+
+class FunctionIndex:
+    """Function records of a corpus, parsed once: a stored table with one row per file, (repo, file, hash, functions).
+
+    ``update`` parses the files whose content is not in it yet and leaves those out that are gone; files that hold no function are rows, too, and aren't parsed again.
+    """
+
+    SCHEMA = f"repo string, file string, hash string, x array<struct<{RECORD}>>"
+
+    def __init__(self, spark: SparkSession, path: str, work: Callable[[str, str], list[dict]] = records) -> None:
+        self.table, self.work = Versioned(spark, path, self.SCHEMA), work
+
+    def update(self, files: DataFrame) -> DataFrame:
+        """The function records of files, as ``functions_of`` gives them."""
+        key = ["repo", "file", "hash"]
+        known = files.where(extension(F.col("file")).isin(catalog.SOURCE_EXTENSIONS)).select("repo", "file", F.sha2("content", 256).alias("hash"), "content")
+
+        def change(old: DataFrame) -> DataFrame:
+            kept = old.join(known.select(*key).distinct(), key, "left_semi")
+            fresh = parse(known.join(old.select(*key), key, "left_anti"), self.work, RECORD, ("repo", "file", "hash"))
+            return kept.unionByName(fresh)
+
+        return self.table.update(change).select("repo", "file", F.inline("x"))
 
 
 def calls_of(functions: DataFrame) -> DataFrame:
-    return functions.select("repo", "file", F.col("name").alias("func"), F.col("line_start").alias("func_line"), F.inline("calls"))
+    """One row per call: repo, file, func, func_line, call_no (in the order of the record), and what the record says."""
+    listed = functions.select("repo", "file", F.col("name").alias("func"), F.col("line_start").alias("func_line"), F.posexplode("calls").alias("call_no", "call"))
+    return listed.select("repo", "file", "func", "func_line", "call_no", "call.*")
 
 
 def sinks_of(calls: DataFrame, python_sinks: DataFrame, js_sinks: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+from ..operators import flow as FL
 from ..operators import review as R
 from ..operators import structure as S
-from ..operators import trace as T
 from ..operators.patterns import check_patterns
 from ..functions import catalog
 from ..sources.corpus import code_files, scannable
@@ -25,15 +26,20 @@ def _sinks(s: SparkSession, d: str) -> DataFrame:
     return S.sinks_of(S.calls_of(_functions(s, d)), sink_catalogue(s), sink_catalogue(s, catalog.SINKS_JS)).withColumn("influenced", F.array_join("influenced", ","))
 
 
+def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbered functions, call sites and sinks of the programs, from one parse."""
+    found = shared.cut(_functions(s, d))
+    calls = S.calls_of(found)
+    functions = FL.numbered(found.select("repo", "file", F.col("name").alias("func"), F.col("line_start").alias("func_line"), F.transform("params", lambda p: p["name"]).alias("params"), "is_tool", "is_call_tool", "is_http"))
+    sinks = S.sinks_of(calls, sink_catalogue(s), sink_catalogue(s, catalog.SINKS_JS))
+    return functions, FL.call_sites(functions, calls), shared.cut(FL.sinks_by_function(functions, sinks))
+
+
 def _flow(s: SparkSession, d: str) -> DataFrame:
     """From source text to traced sinks: parse, match sinks, trace each repository's tools."""
-    f = _functions(s, d)
-    name = lambda c: F.concat("repo", F.lit("/"), c)  # noqa: E731  functions of one repository only meet each other
-    functions = f.select(name("name").alias("name"), F.transform("params", lambda p: p["name"]).alias("params"), "is_tool", "is_call_tool", "is_http")
-    calls = S.calls_of(f).select(name("func").alias("func"), "line", name("callee").alias("callee"), "pos", "kw", "star")
-    sinks = S.sinks_of(S.calls_of(f), sink_catalogue(s), sink_catalogue(s, catalog.SINKS_JS)).select(name("func").alias("func"), "line", "sink_type", "influenced")
-    nodes, _ = T.trace(functions, calls)
-    return T.sink_counts(nodes, sinks)
+    functions, edges, sinks = _graph(s, d)
+    found = FL.hits(FL.trace(functions, edges), sinks)
+    return FL.sink_counts(functions, found).select(F.concat("repo", F.lit("/"), "func").alias("root"), "n")
 
 
 def _reports(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +74,7 @@ def _checked(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "index_py": (lambda s, d: _functions(s, d).where(F.col("file").endswith(".py")).select("repo", "file", "name", "line_start", "line_end", F.size("params").alias("n_params"), F.size("calls").alias("n_calls"), "is_tool", "is_http"), E.INDEX_PY),
-    "index_js": (lambda s, d: _functions(s, d).where(F.col("file").endswith(".js")).select("repo", "file", "name", "line_start", "line_end", F.size("params").alias("n_params"), F.size("calls").alias("n_calls"), "is_tool"), E.INDEX_JS),
+    "index_js": (lambda s, d: _functions(s, d).where(~F.col("file").endswith(".py")).select("repo", "file", "name", "line_start", "line_end", F.size("params").alias("n_params"), F.size("calls").alias("n_calls"), "is_tool"), E.INDEX_JS),
     "parsed_sinks": (_sinks, E.PARSED_SINKS),
     "flow_counts": (_flow, E.FLOW_COUNTS),
     "v1_call_graph": (lambda s, d: S.call_graph(programs(s, d)), E.CALL_GRAPH),

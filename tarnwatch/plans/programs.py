@@ -141,6 +141,72 @@ def deep_chain_{}(u):
 
 def many_{}(a, b=1, *rest, c=2, **more):
     return os.spawnl(a), os.system(c), open(rest)
+'''),
+    (".js", """server.addTool({
+  name: "fetch_{}",
+  description: "reads a page",
+  execute: async (args) => {
+    const url = args.url;
+    return axios.get(url);
+  },
+});
+"""),
+    (".js", """server.setRequestHandler(types.CallToolRequestSchema, async (request) => {
+  const { name, arguments: args } = request.params;
+  if (name === "run") { return child_process.execSync(`sh ${args.cmd}`); }
+});
+"""),
+    (".js", """const NAMES_{} = { first_{}: "a" };
+server.tool(NAMES_{}.first_{}, async ({ cmd }) => {
+  cp.exec(`ls ${f_{}({ a: cmd })}`);
+});
+server.tool({ name: SECOND_{}, schema }, async ({ path }) => {
+  fs.readFile(path);
+});
+this.tool(name, (q) => db.query(q));
+"""),
+    (".js", """async function tpl_{}(dir, user) {
+  const re = /["'`{(]/;
+  cp.exec(`cat ${dir ? `${dir}/x` : "y"} > z`);
+  if (re.test(user)) { eval(`"${user}"`); }
+  return `}` + half_{}(user / 2 / 3);
+}
+"""),
+    (".js", """app.get("/feed", (req, res) => {
+  res.setHeader("Content-Type", "text/event-stream");
+});
+app.post("/messages", (req, res) => {
+  const id = req.query.session_id;
+  res.send(id);
+});
+"""),
+    (".js", """server.tool("walk_{}", schema, async ({ list, cmd }) => {
+  list.forEach((item) => {
+    cp.exec(cmd + item);
+  });
+  helper_js_{}(cmd);
+  helper_js_{}(list);
+});
+function helper_js_{}(v) { return eval(v); }
+"""),
+    (".js", """server.addTool({ name: 'method_{}', async execute({ q }) { return pool.query(`select ${q}`); } });
+"""),
+    (".js", """server.tool("cut_{}", async ({ x }) => {
+  eval(x);
+"""),
+    (".ts", """export const typed_{}: Handler = async (a: string, b?: number): Promise<void> => {
+  execSync(a);
+};
+function generic_{}<T>(v: T): string { return fetch(v); }
+"""),
+    (".py", '''@s.tool()
+def twice_{}(x, y):
+    same_{}(x)
+    same_{}(y)
+    same_{}(1)
+
+def same_{}(v):
+    os.system(v)
 '''),
 ]
 
@@ -168,6 +234,11 @@ FUNCTIONS = [
     (11, "build_{}", 1, 1, 1, 1, False, False), (11, "shell_{}", 2, 6, 2, 3, False, False),
     (12, "load_x{}", 1, 5, 3, 3, False, False), (12, "run_x{}", 6, 8, 1, 1, False, False),
     (13, "ask_{}", 1, 2, 1, 1, False, False), (13, "deep_chain_{}", 4, 5, 1, 2, False, False), (13, "many_{}", 7, 8, 2, 3, False, False),
+    (14, "tool__fetch_{}", 1, 7, 1, 1, True, False), (15, "call_tool_handler", 1, 4, 1, 1, False, False),
+    (16, "tool__first_{}", 2, 4, 1, 2, True, False), (16, "tool__SECOND_{}", 5, 7, 1, 1, True, False), (16, "tool__name_L8", 8, 8, 1, 1, True, False),
+    (17, "tpl_{}", 1, 6, 2, 4, False, False), (19, "tool__walk_{}", 1, 7, 2, 4, True, False), (19, "helper_js_{}", 8, 8, 1, 1, False, False),
+    (20, "tool__method_{}", 1, 1, 1, 1, True, False), (21, "tool__cut_{}", 1, 3, 1, 1, True, False), (22, "typed_{}", 1, 3, 2, 1, False, False), (22, "generic_{}", 4, 4, 1, 1, False, False),
+    (23, "twice_{}", 2, 5, 2, 3, True, False), (23, "same_{}", 7, 8, 1, 1, False, False),
 ]
 #: program, function, its line, type, expression, severity, line, influenced names, note
 SINKS = [
@@ -185,17 +256,25 @@ SINKS = [
     (11, "build_{}", 1, "EXEC", "new Function", "HIGH", 1, "code", "dynamic code construction"), (11, "shell_{}", 2, "COMMAND", "child_process.exec", "HIGH", 3, "name", "template literal injection — CRITICAL"), (11, "shell_{}", 2, "EXEC", "eval", "HIGH", 5, "rest", ""),
     (12, "load_x{}", 1, "FILE", "fs.readFile", "MEDIUM", 2, "cb,path", ""), (12, "load_x{}", 1, "SSRF", "axios.get", "MEDIUM", 3, "path", ""), (12, "run_x{}", 6, "SQL", "db.run", "HIGH", 7, "q", ""),
     (13, "many_{}", 7, "COMMAND", "os.spawnl", "HIGH", 8, "a", ""), (13, "many_{}", 7, "COMMAND", "os.system", "HIGH", 8, "", ""), (13, "many_{}", 7, "FILE", "open", "MEDIUM", 8, "", ""),
+    (14, "tool__fetch_{}", 1, "SSRF", "axios.get", "MEDIUM", 6, "url", ""), (15, "call_tool_handler", 1, "COMMAND", "child_process.execSync", "HIGH", 3, "args", "template literal injection — CRITICAL"),
+    (16, "tool__first_{}", 2, "COMMAND", "cp.exec", "HIGH", 3, "cmd", ""), (16, "tool__SECOND_{}", 5, "FILE", "fs.readFile", "MEDIUM", 6, "path", ""), (16, "tool__name_L8", 8, "SQL", "db.query", "HIGH", 8, "q", ""),
+    (17, "tpl_{}", 1, "COMMAND", "cp.exec", "HIGH", 3, "dir", "template literal injection — CRITICAL"), (17, "tpl_{}", 1, "EXEC", "eval", "HIGH", 4, "user", ""),
+    (19, "tool__walk_{}", 1, "COMMAND", "cp.exec", "HIGH", 3, "cmd", ""), (19, "helper_js_{}", 8, "EXEC", "eval", "HIGH", 8, "v", ""), (20, "tool__method_{}", 1, "SQL", "pool.query", "HIGH", 1, "q", "dynamic SQL construction"),
+    (21, "tool__cut_{}", 1, "EXEC", "eval", "HIGH", 2, "x", ""), (22, "typed_{}", 1, "COMMAND", "execSync", "HIGH", 2, "a", ""), (22, "generic_{}", 4, "SSRF", "fetch", "MEDIUM", 4, "v", ""), (23, "same_{}", 7, "COMMAND", "os.system", "HIGH", 8, "v", ""),
+]
+#: entry point, sinks that its parameters reach: an alias is not tracked, a diamond and two calls of one function count twice, a spread reaches all parameters
+FLOWS = [
+    ("tool_{}", 3), ("tool__run_{}", 1), ("call_{}", 1), ("spread_{}", 3), ("top_{}", 2), ("flow_{}", 1), ("tool__fetch_{}", 0), ("call_tool_handler", 0), ("tool__first_{}", 1), ("tool__SECOND_{}", 1), ("tool__name_L8", 1),
+    ("tool__walk_{}", 3), ("tool__method_{}", 1), ("tool__cut_{}", 1), ("twice_{}", 2),
 ]
-#: entry point, sinks that its parameters reach: an alias is not tracked, a diamond counts twice, a spread reaches all parameters
-FLOWS = [("tool_{}", 3), ("tool__run_{}", 1), ("call_{}", 1), ("spread_{}", 3), ("top_{}", 2), ("flow_{}", 1)]
 #: caller, callee of calls by bare names
 EDGES = [
     ("tool_{}", "helper_{}"), ("helper_{}", "open"), ("events_{}", "Response"), ("events_{}", "gen"), ("call_{}", "eval"), ("run_{}", "inner_{}"), ("spread_{}", "target_{}"), ("spread_{}", "named_{}"), ("named_{}", "exec"), ("handle_{}", "validate"),
-    ("top_{}", "left_{}"), ("top_{}", "right_{}"), ("left_{}", "deep_{}"), ("right_{}", "deep_{}"), ("right_{}", "top_{}"), ("deep_{}", "compile"), ("ask_{}", "check_token"), ("many_{}", "open"),
+    ("top_{}", "left_{}"), ("top_{}", "right_{}"), ("left_{}", "deep_{}"), ("right_{}", "deep_{}"), ("right_{}", "top_{}"), ("deep_{}", "compile"), ("ask_{}", "check_token"), ("many_{}", "open"), ("twice_{}", "same_{}"),
 ]
 #: program, call, line
 RISKY = [
-    (0, "os.system", 7), (0, "open", 12), (0, "subprocess.run", 13), (0, "requests.get", 22), (2, "os.popen", 4), (2, "eval", 5), (4, "exec", 13), (9, "subprocess.Popen", 7), (10, "eval", 1), (10, "os.system", 2), (13, "os.system", 8), (13, "open", 8),
+    (0, "os.system", 7), (0, "open", 12), (0, "subprocess.run", 13), (0, "requests.get", 22), (2, "os.popen", 4), (2, "eval", 5), (4, "exec", 13), (9, "subprocess.Popen", 7), (10, "eval", 1), (10, "os.system", 2), (13, "os.system", 8), (13, "open", 8), (23, "os.system", 8),
 ]
 #: program, type, function, line, sink
 TAINTS = [
@@ -204,7 +283,7 @@ TAINTS = [
     (3, "TAINTED_SINK", "run_{}", 5, "yaml.load"), (3, "INTERPROCEDURAL", "run_{}", 7, "inner_{}"), (3, "TAINTED_SINK", "inner_{}", 4, "pickle.loads"),
     (4, "TAINTED_SINK", "named_{}", 13, "exec"), (5, "SQL_INJECTION", "handle_{}", 3, "execute"),
     (8, "INTERPROCEDURAL", "left_{}", 7, "deep_{}"), (8, "INTERPROCEDURAL", "right_{}", 10, "deep_{}"), (8, "TAINTED_SINK", "deep_{}", 14, "compile"),
-    (13, "TAINTED_SINK", "many_{}", 8, "os.spawnl"),
+    (13, "TAINTED_SINK", "many_{}", 8, "os.spawnl"), (23, "INTERPROCEDURAL", "twice_{}", 3, "same_{}"), (23, "INTERPROCEDURAL", "twice_{}", 4, "same_{}"), (23, "TAINTED_SINK", "same_{}", 8, "os.system"),
 ]
 #: program, function, line, credential parameters of functions that never validate
 AUTH = [(0, "messages_{}", 20, "token"), (7, "feed_{}", 3, "api_key"), (7, "post_{}", 7, "secret")]
@@ -229,15 +308,15 @@ FILE = f"'src/p' || n || '_' || k || {ENDS}[k + 1] AS file"
 _functions = ["k", "name", "line_start", "line_end", "n_params", "n_calls", "is_tool", "is_http"]
 _found = f"repo, {FILE}, {text('name')} AS name, line_start, line_end, n_params, n_calls, is_tool"
 INDEX_PY = expected([r for r in FUNCTIONS if PROGRAMS[r[0]][0] == ".py"], _functions, _found + ", is_http")
-INDEX_JS = expected([r for r in FUNCTIONS if PROGRAMS[r[0]][0] == ".js"], _functions, _found)
+INDEX_JS = expected([r for r in FUNCTIONS if PROGRAMS[r[0]][0] != ".py"], _functions, _found)
 PARSED_SINKS = expected(SINKS, ["k", "func", "func_line", "sink_type", "sink_expr", "severity", "line", "influenced", "note"], f"repo, {FILE}, {text('func')} AS func, func_line, sink_type, sink_expr, severity, line, influenced, note")
 FLOW_COUNTS = expected(FLOWS, ["root", "n_sinks"], f"repo || '/' || {text('root')} AS root, n_sinks AS n")
 CALL_GRAPH = expected(EDGES, ["src", "dst"], f"DISTINCT repo, {text('src')} AS src, {text('dst')} AS dst")
 RISKY_CALLS = expected(RISKY, ["k", "call", "line"], f"repo, {FILE}, call, line")
 TAINT_V2 = expected(TAINTS, ["k", "type", "func", "line", "sink"], f"repo, {FILE}, type, {text('func')} AS func, line, {text('sink')} AS sink, 'HIGH' AS severity")
 AUTH_PARAMS = expected(AUTH, ["k", "func", "line", "sink"], f"repo, {FILE}, 'UNVALIDATED_AUTH_PARAM' AS type, {text('func')} AS func, line, sink, 'MEDIUM' AS severity")
-SSE_NO_AUTH = expected([(0, 15)], ["k", "line"], f"repo, {FILE}, line, 'SSE_NO_AUTH' AS type, 'HIGH' AS severity")
-MESSAGES = expected([(0, 19)], ["k", "line"], f"repo, {FILE}, line, 'MCP_MESSAGES_NO_SESSION_BIND' AS type, 'MEDIUM' AS severity, 'POST /messages' AS match")
+SSE_NO_AUTH = expected([(0, 15), (18, 1)], ["k", "line"], f"repo, {FILE}, line, 'SSE_NO_AUTH' AS type, 'HIGH' AS severity")
+MESSAGES = expected([(0, 19), (18, 1)], ["k", "line"], f"repo, {FILE}, line, 'MCP_MESSAGES_NO_SESSION_BIND' AS type, 'MEDIUM' AS severity, 'POST /messages' AS match")
 #: A reply is cut after 70 characters, no JSON at all, or whole; a cut one keeps its first verdict.
 REPLY_CHECKS = """SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'truncated; ' || CASE WHEN doc_id % 3 = 0 THEN 'canary mismatch; ' ELSE '' END || 'only 1/2 verdicts'
 WHEN doc_id % 7 = 0 THEN 'malformed' ELSE array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'canary mismatch' END, CASE WHEN doc_id % 2 = 0 THEN 'all dismissed' END], lambda x: x IS NOT NULL), '; ') END AS problems FROM documents"""

@@ -112,7 +112,8 @@ def test_javascript():
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="'\"`/*\\${}() \nab", max_size=60))
 def test_blanking_keeps_length_and_lines(s):
-    out = extract_js.prepare(s)
+    out, shown, partners = extract_js.lex(s)
+    assert len(shown) == len(s) and all(out[a] + out[b] in ("()", "[]", "{}") for a, b in partners.items())
     assert len(out) == len(s) and [i for i, c in enumerate(out) if c == "\n"] == [i for i, c in enumerate(s) if c == "\n"]
 
 

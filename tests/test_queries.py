@@ -37,8 +37,3 @@ def test_same_rows(spark, duck, name):
     cursor = duck.execute(registry.oracle_sql()[name])
     theirs = rows([d[0] for d in cursor.description], cursor.fetchall())
     assert ours == theirs
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_parsers_find_rows(spark, name):
-    assert registry.queries()[name](spark, SF).count() > 0
