@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import catalog
 from ..functions.text import html_escape, severity_rank
 
@@ -37,8 +38,7 @@ def blocks(findings: DataFrame, fields: list[tuple[str, str]], order: list[Colum
     place = location(F.col("file"), F.col("line"))
     lines = [F.concat(F.lit("["), "severity", F.lit("] "), "type"), F.concat(F.lit("  " + "File".ljust(width) + ": "), place)]
     lines += [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"  {label.ljust(width)}: "), F.col(c).cast("string"))) for label, c in fields]
-    n = F.row_number().over(Window.partitionBy("repo").orderBy(*order)).cast("long")
-    return findings.select("repo", n.alias("place"), F.concat_ws("\n", *lines).alias("block"))
+    return shared.ranked_within(findings, "repo", order, "place").select("repo", "place", F.concat_ws("\n", *lines).alias("block"))
 
 
 def heads(findings: DataFrame, repos: DataFrame, found: str, none: str) -> DataFrame:
@@ -47,10 +47,34 @@ def heads(findings: DataFrame, repos: DataFrame, found: str, none: str) -> DataF
     return n.select("repo", F.when(F.col("n").isNull(), F.lit(none)).otherwise(F.concat(F.col("n").cast("string"), F.lit(found))).alias("head"))
 
 
-def write_lines(report: DataFrame, path: str, text: str = "block") -> None:
-    """report (repo, place, text): text files in one folder per repository, in order of place, without gathering a repository in one row."""
-    ordered = report.select("repo", "place", text).repartition("repo").sortWithinPartitions("repo", "place")
-    ordered.select("repo", text).write.mode("overwrite").partitionBy("repo").text(path)
+def write_lines(report: DataFrame, path: str, text: str = "block", per_file: int = 100_000) -> DataFrame:
+    """report (repo, place, text), places from 1: text files of ``per_file`` lines in one folder per repository and part, so a repository may be written by any number of tasks.
+
+    Read in the order of their parts, a repository's files are its report.  The manifest, (repo, part, first, last, lines), is written beside them (``_manifest``) once they are whole, and returned.
+    """
+    spark = report.sparkSession
+    part = F.format_string("%08d", F.floor((F.col("place") - 1) / per_file).cast("long"))
+    cut = report.select("repo", "place", F.col(text).alias("_text"), part.alias("part"))
+    ordered = cut.repartition("repo", "part").sortWithinPartitions("repo", "part", "place")
+    ordered.select("repo", "part", "_text").write.mode("overwrite").partitionBy("repo", "part").text(path)
+    manifest = cut.groupBy("repo", "part").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("lines"))
+    manifest.write.mode("overwrite").parquet(f"{path}/_manifest")
+    return spark.read.parquet(f"{path}/_manifest")
+
+
+def html_page(states: DataFrame, reports: DataFrame, findings: DataFrame) -> DataFrame:
+    """(repo, place, html): the whole page of every repository of states, piece by piece: head and tiles, the sections of reports, the table of findings, the end.  ``write_lines`` stores it."""
+    at = lambda df, section, html, place=None: df.select("repo", F.lit(section).alias("_section"), (F.lit(0) if place is None else F.col(place)).cast("long").alias("_nth"), html.alias("html"))
+    title = F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), html_escape(F.col("repo")), F.lit("</title></head><body>"))
+    known = states.select("repo").distinct()
+    pieces = [
+        at(known, 0, title), at(html_tiles(states), 1, F.col("html")), at(html_sections(reports), 2, F.col("html"), "place"), at(known, 3, F.lit("<table><tr><th>Severity</th><th>Title</th><th>Place</th><th>Description</th></tr>")),
+        at(html_findings(findings), 4, F.col("html"), "place"), at(known, 5, F.lit("</table></body></html>")),
+    ]
+    page = pieces[0]
+    for more in pieces[1:]:
+        page = page.unionByName(more)
+    return shared.ranked_within(page, "repo", [F.col("_section"), F.col("_nth")], "place").select("repo", "place", "html")
 
 
 def stream_findings(ssrf: DataFrame, redirects: DataFrame, cors: DataFrame, origin: DataFrame) -> DataFrame:
@@ -64,36 +88,6 @@ def stream_findings(ssrf: DataFrame, redirects: DataFrame, cors: DataFrame, orig
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def trace_lines(nodes: DataFrame, sinks: DataFrame) -> DataFrame:
-    """The call tree of each entry point: (root, place, line), branches drawn with glyphs, the sinks of a node below it.
-
-    nodes (root, path, func), sinks (root, path, line, sink_type, sink, severity).  Calls that lead along the same names are one node.  Children stand in the order of their names;
-    a node's prefix follows from which of its ancestors are last among their siblings, found by one join on the prefixes of its path, so no tree is walked.
-    """
-    nodes = nodes.select("root", "path", "func").distinct()
-    key = lambda p: F.array_join(p, ">")
-    below = nodes.where(F.size("path") > 1).withColumn("parent", key(F.slice("path", 1, F.size("path") - 1)))
-    siblings = Window.partitionBy("root", "parent").orderBy("func")
-    placed = below.select("root", key(F.col("path")).alias("at"), F.lpad(F.row_number().over(siblings).cast("string"), 6, "0").alias("nth"), F.lead("func").over(siblings).isNull().alias("last"))
-    steps = below.select("root", "path", F.posexplode(F.transform(F.sequence(F.lit(2), F.size("path")), lambda n: key(F.slice("path", 1, n)))).alias("level", "at"))
-    known = steps.join(placed, ["root", "at"]).groupBy("root", "path").agg(F.array_sort(F.collect_list(F.struct("level", "nth", "last"))).alias("s"))
-    drawn = known.select(
-        "root", "path", F.array_join(F.transform("s", lambda x: x["nth"]), ".").alias("order"),
-        F.array_join(F.transform(F.slice("s", 1, F.size("s") - 1), lambda x: F.when(x["last"], "   ").otherwise("│  ")), "").alias("pad"), F.element_at("s", -1)["last"].alias("last"),
-    )
-    top = nodes.where(F.size("path") == 1).select("root", "path", F.lit("").alias("order"), F.lit("").alias("pad"), F.lit(None).cast("boolean").alias("last"))
-    tree = top.unionByName(drawn)
-    glyph = F.when(F.col("last").isNull(), "").when(F.col("last"), "└─ ").otherwise("├─ ")
-    lines = tree.select("root", "order", F.concat(F.lit("  "), "pad", glyph, F.element_at("path", -1)).alias("line"))
-    inner = F.concat("pad", F.when(F.col("last").isNull(), "").when(F.col("last"), "   ").otherwise("│  "))
-    mark = F.concat(F.lit("  "), inner, F.lit("⚡ ["), "severity", F.lit("] "), "sink_type", F.lit(": "), "sink", F.lit(" (line "), F.col("line").cast("string"), F.lit(")"))
-    # "!" sorts before "." and digits: a node's sinks come before its children
-    nth = F.lpad(F.row_number().over(Window.partitionBy("root", "path").orderBy("line", "sink_type", "sink")).cast("string"), 6, "0")
-    hits = tree.join(sinks.distinct(), ["root", "path"]).select("root", F.concat("order", F.lit("!"), nth).alias("order"), mark.alias("line"))
-    place = F.row_number().over(Window.partitionBy("root").orderBy("order", "line")).cast("long")
-    return lines.unionByName(hits).select("root", place.alias("place"), "line")
-
-
 def trace_results(nodes: DataFrame, counts: DataFrame, depth: int = 4) -> DataFrame:
     """counts (root, n) as (root, result): the closing line of each entry point's tree."""
     clean = F.lit(f"Result: CLEAN — no dangerous sinks reached within depth {depth}")
@@ -160,8 +154,8 @@ def html_findings(findings: DataFrame) -> DataFrame:
     for s, c in catalog.SEVERITY_COLORS.items():
         color = F.when(F.col("severity") == s, c).otherwise(color)
     cells = [F.concat(F.lit('<td style="background:'), color, F.lit('">'), html_escape(F.col("severity")), F.lit("</td>")), *[F.concat(F.lit("<td>"), html_escape(c), F.lit("</td>")) for c in (F.col("title"), location(F.col("file"), F.col("line")), F.coalesce("description", F.lit("")))]]
-    n = F.row_number().over(Window.partitionBy("repo").orderBy(severity_rank(F.col("severity")), "id")).cast("long")
-    return findings.select("repo", n.alias("place"), F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))
+    placed = shared.ranked_within(findings, "repo", [severity_rank(F.col("severity")), F.col("id")], "place")
+    return placed.select("repo", "place", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))
 
 
 def severity_lines(findings: DataFrame) -> DataFrame:
@@ -173,11 +167,11 @@ def severity_lines(findings: DataFrame) -> DataFrame:
 
 def numbered_findings(findings: DataFrame) -> DataFrame:
     """findings (repo, id, severity, title, file, line, description, recommendation) as (repo, place, block), numbered in order of id for a validator to refer to."""
-    n = F.row_number().over(Window.partitionBy("repo").orderBy("id")).cast("long")
+    placed = shared.ranked_within(findings, "repo", [F.col("id")], "place")
     text = lambda c, default="": F.coalesce(F.col(c), F.lit(default))
     place = F.when(text("file") == "", F.lit("(repo-wide)")).otherwise(F.concat("file", F.lit(":"), F.coalesce("line", F.lit(0)).cast("string")))
-    block = F.concat(F.lit("  ["), n.cast("string"), F.lit("] ["), text("severity", "?"), F.lit("] "), text("title", "(untitled)"), F.lit("\n      Location: "), place, F.lit("\n      Description: "), text("description"), F.lit("\n      Recommendation: "), text("recommendation"))
-    return findings.select("repo", n.alias("place"), block.alias("block"))
+    block = F.concat(F.lit("  ["), F.col("place").cast("string"), F.lit("] ["), text("severity", "?"), F.lit("] "), text("title", "(untitled)"), F.lit("\n      Location: "), place, F.lit("\n      Description: "), text("description"), F.lit("\n      Recommendation: "), text("recommendation"))
+    return placed.select("repo", "place", block.alias("block"))
 
 
 def validation_chars(reviews: DataFrame, excerpts: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..functions.text import head_and_tail, severity_rank
+from .store import Versioned
 
 REVIEW = "summary string, findings array<struct<id:long,severity:string,title:string,file:string,line:long,description:string,recommendation:string>>"
 VERDICTS = "canary string, summary string, validated_findings array<struct<id:long,original_severity:string,verdict:string,new_severity:string,evidence:string,file:string,line:long>>, new_findings array<struct<severity:string,title:string,file:string,line:long,description:string,recommendation:string>>"
@@ -189,12 +189,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def merged_progress(done: DataFrame, new: DataFrame) -> DataFrame:
+    """(url) of both, each once."""
+    return done.select("url").union(new.select("url")).where("url IS NOT NULL").distinct()
+
+
 def upsert_progress(spark: SparkSession, done: DataFrame, new: DataFrame, path: str) -> None:
-    """The sorted union of both url sets as the progress table at path, which ``done`` may be read from: it is replaced once the new one is whole."""
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
-    done.select("url").union(new.select("url")).where("url IS NOT NULL").distinct().orderBy("url").write.json(fresh)
-    old, made = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(made, old):
-        raise OSError(f"{fresh} could not be moved to {path}")
+    """Adds both url sets to the progress table at path, sorted.  The table before stays the current one until the new one is whole, and what another writer adds meanwhile is kept."""
+    Versioned(spark, path, "url string").update(lambda now: merged_progress(now, done.select("url").union(new.select("url"))).orderBy("url"))

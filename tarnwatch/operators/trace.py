@@ -6,6 +6,7 @@ star boolean), sinks (func, line, sink_type, influenced array<string>).  A node
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,13 +83,22 @@ def match_sinks(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def taint_closure(assignments: DataFrame, start: DataFrame) -> DataFrame:
-    """(func, name) that derive from start (func, name) over assignments (func, target, source); stops when nothing is new."""
-    from .. import shared
-
-    known, fresh = start.distinct(), start.distinct()
-    while True:  # the names are finitely many
-        fresh = fresh.join(assignments.withColumnRenamed("source", "name"), ["func", "name"]).select("func", F.col("target").alias("name")).distinct().join(known, ["func", "name"], "left_anti")
-        fresh = shared.cut(fresh)
-        if fresh.isEmpty():
-            return known
-        known = shared.cut(known.unionByName(fresh))
+    """(func, name) that derive from start (func, name) over assignments (func, target, source), however long the chain.
+
+    One shuffle by function, whose names are followed in its task: a function is part of one file, which one task has parsed whole.
+    """
+
+    def follow(steps: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        reaches: dict[str, list[str]] = {}
+        for source, target in zip(steps["source"], steps["target"], strict=True):
+            reaches.setdefault(source, []).append(target)
+        found = dict.fromkeys(known["name"])
+        todo = list(found)
+        while todo:
+            fresh = [t for t in dict.fromkeys(reaches.get(todo.pop(), [])) if t not in found]
+            found.update(dict.fromkeys(fresh))
+            todo += fresh
+        return pd.DataFrame({"func": known["func"].tolist()[:1] * len(found), "name": list(found)}, dtype=object)
+
+    steps = assignments.select("func", "target", "source").where("target IS NOT NULL AND source IS NOT NULL").distinct()
+    return steps.groupBy("func").cogroup(start.select("func", "name").distinct().groupBy("func")).applyInPandas(follow, "func string, name string")

@@ -119,7 +119,6 @@ def no_auth(repo: str) -> str:
 HAVING bool_or({' OR '.join(f"regexp_matches(content, {q('(?i)' + p)})" for p in catalog.ROUTE_SIGNALS)}) AND NOT bool_or({any_marker('content', catalog.AUTH_SIGNALS)})"""
 
 
-NO_AUTH = no_auth("file")
 #: All files of a user are one repository.
 OWNER = r"([0-9]+)_[0-9]+\.[a-z]+$"
 NO_AUTH_USERS = no_auth(f"regexp_extract(file, {q(OWNER)}, 1)")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import catalog
+from ..operators import flow as FL
 from ..operators import patterns as P
 from ..operators import reports as O
 from ..operators import trace as T
@@ -121,6 +123,16 @@ def _sections(s: SparkSession, d: str) -> DataFrame:
     return O.html_sections(p.select(F.concat(F.lit("repo"), (k % 9).cast("string")).alias("repo"), k.alias("place"), title.alias("title"), F.when(k % 4 == 0, F.lit("  ")).otherwise(F.col("html")).alias("body"), F.when(k % 3 == 0, -1).otherwise(k % 5).alias("count")))
 
 
+def _page(s: SparkSession, d: str) -> DataFrame:
+    """A page per source: tiles from the severities of its findings, a section per document, all findings."""
+    found = findings(s, d).withColumn("title", F.coalesce("title", F.lit("")))
+    counts = [F.count_if(F.col("severity") == x).alias(c) for c, x in zip(O.TILES, catalog.SEVERITIES, strict=True)]
+    st = found.groupBy("repo").agg(F.lit("python").alias("language"), *counts, F.count("*").alias("findings"))
+    k = F.col("doc_id")
+    sections = s.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("repo"), k.alias("place"), pick(catalog.REPORT_SECTIONS, k).alias("title"), F.col("text").alias("body"), (k % 5 - 1).alias("count"))
+    return O.html_page(st, sections, found)
+
+
 def _projects(s: SparkSession, d: str) -> DataFrame:
     c = s.read.parquet(f"{d}/customer.parquet").select("c_custkey")
     names = ["setup.py", "src/setup.py", "package.json", "requirements.txt", "web/package.json", "README.md", "pyproject.toml"]
@@ -130,11 +142,11 @@ def _projects(s: SparkSession, d: str) -> DataFrame:
 def _validation_chars(s: SparkSession, d: str) -> DataFrame:
     docs = s.read.parquet(f"{d}/documents.parquet")
     reviews = docs.groupBy(F.col("source").alias("repo")).agg(F.max("text").alias("review"))
-    return O.validation_chars(reviews, docs.where("doc_id % 4 = 1").select(F.col("source").alias("repo"), F.left("text", F.lit(8000)).alias("text")))
+    return O.validation_chars(reviews, docs.select(F.col("source").alias("repo"), F.left("text", F.lit(8000)).alias("text")))
 
 
 def _gate(s: SparkSession, d: str) -> DataFrame:
-    """Costs of all runs that did not fail, unknown ones 0, against four thresholds."""
+    """Costs of all runs that did not fail against four thresholds; those of customers with an odd key are left unknown, and count 0."""
     st = O.healthy(states(s, d))
     costs = s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("repo"), (F.col("c_custkey") / 1024.0).alias("cost"))
     each = O.with_costs(st.select("repo"), costs)
@@ -160,11 +172,29 @@ def _log(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.concat(F.lit("src/f"), (F.col("event_id") % 23).cast("string")).alias("path"), F.col("event_type").alias("tool"))
 
 
-def _tree(s: SparkSession, d: str) -> DataFrame:
+def _flow_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph of ``part`` as numbered functions, call sites and sinks; a quarter of the functions calls its first callee twice."""
     functions, calls, sinks = graphs.graph(s, d)
-    nodes, _ = T.trace(functions, calls)
-    hits = T.reached_sinks(nodes, sinks).withColumns({"sink": F.concat("func", F.lit("()")), "severity": F.when(F.col("sink_type") == "FILE", "MEDIUM").otherwise("HIGH")})
-    return O.trace_lines(nodes, hits.select("root", "path", "line", "sink_type", "sink", "severity"))
+    k = F.substring("name", F.lit(2), F.length("name")).cast("long")
+    placed = functions.select(F.lit("r").alias("repo"), F.concat(F.lit("src/f"), (k % 10).cast("string"), F.lit(".py")).alias("file"), F.col("name").alias("func"), k.alias("func_line"), "params", "is_tool", "is_call_tool", "is_http")
+    numbered = FL.numbered(placed)
+    again = calls.where("line = 1 AND CAST(substring(func, 2) AS BIGINT) % 4 = 1").withColumns({"line": F.lit(3), "pos": F.array(F.array(F.lit("b"))), "star": F.lit(False)})
+    where = placed.select("repo", "file", "func", "func_line")
+    sites = calls.unionByName(again).withColumns({"call_no": F.col("line") - 1, "dotted": F.col("callee")}).join(where, "func")
+    found = sinks.select("func", "line", "sink_type", F.concat("func", F.lit("()")).alias("sink_expr"), F.when(F.col("sink_type") == "FILE", "MEDIUM").otherwise("HIGH").alias("severity"), "influenced", F.lit("").alias("note")).join(where, "func")
+    return numbered, FL.call_sites(numbered, sites), shared.cut(FL.sinks_by_function(numbered, found))
+
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    functions, edges, sinks = _flow_graph(s, d)
+    nodes = shared.cut(FL.trace(functions, edges))
+    lines = FL.tree_lines(nodes, FL.hits(nodes, sinks))
+    return shared.ranked_within(lines, "entry", [F.col(c) for c in ("key", "a", "b", "c")], "place").select(F.col("entry").alias("root"), "place", "line")
+
+
+def _flow_report(s: SparkSession, d: str) -> DataFrame:
+    functions, edges, sinks = _flow_graph(s, d)
+    return FL.report_lines(functions, edges, sinks, functions.select("repo", "file").distinct())
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
@@ -173,16 +203,45 @@ def _results(s: SparkSession, d: str) -> DataFrame:
     return O.trace_results(nodes, T.sink_counts(nodes, sinks))
 
 
-_tree_sql = f"""{graphs._head}, n AS (SELECT DISTINCT root, path FROM nodes),
-sib AS (SELECT root, array_to_string(path, '>') AS at, lpad((row_number() OVER w)::VARCHAR, 6, '0') AS nth, lead(path[-1]) OVER w IS NULL AS last FROM n WHERE len(path) > 1 WINDOW w AS (PARTITION BY root, array_to_string(path[:-2], '>') ORDER BY path[-1])),
-up AS (SELECT n.root, n.path, i AS level, s.nth, s.last FROM (SELECT root, path, unnest(range(2, len(path) + 1)) AS i FROM n) n JOIN sib s ON s.root = n.root AND s.at = array_to_string(n.path[:i], '>')),
-tree AS (SELECT root, path, string_agg(nth, '.' ORDER BY level) AS ord, coalesce(string_agg(CASE WHEN last THEN '   ' ELSE '│  ' END, '' ORDER BY level) FILTER (WHERE level < len(path)), '') AS pad, arg_max(last, level) AS last FROM up GROUP BY root, path
-  UNION ALL SELECT root, path, '', '', NULL FROM n WHERE len(path) = 1),
-hit AS (SELECT DISTINCT n.root, n.path, s.line, sink_type, n.func || '()' AS sink, CASE WHEN sink_type = 'FILE' THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM nodes n JOIN sinks s ON s.func = n.func WHERE len(influenced) = 0 OR list_has_any(influenced, tracked)),
-l AS (SELECT root, ord, '  ' || pad || CASE WHEN last IS NULL THEN '' WHEN last THEN '└─ ' ELSE '├─ ' END || path[-1] AS line FROM tree
-  UNION ALL SELECT t.root, t.ord || '!' || lpad((row_number() OVER (PARTITION BY t.root, t.path ORDER BY h.line, sink_type, sink))::VARCHAR, 6, '0'),
-    '  ' || pad || CASE WHEN last IS NULL THEN '' WHEN last THEN '   ' ELSE '│  ' END || '⚡ [' || severity || '] ' || sink_type || ': ' || sink || ' (line ' || h.line || ')' FROM tree t JOIN hit h ON h.root = t.root AND h.path = t.path)
-SELECT root, row_number() OVER (PARTITION BY root ORDER BY ord, line) AS place, line FROM l"""
+_flow_head = f"""{graphs._head},
+fx AS (SELECT *, row_number() OVER (ORDER BY file, func_line, name) AS fid FROM (SELECT f.*, 'src/f' || (k % 10) || '.py' AS file, k AS func_line FROM functions f JOIN p ON f.name = 'f' || k)),
+cx AS (SELECT *, line - 1 AS call_no FROM calls UNION ALL SELECT func, 3, callee, [['b']], false, 2 FROM calls WHERE line = 1 AND substr(func, 2)::BIGINT % 4 = 1),
+ed AS (SELECT o.fid AS caller, call_no, line, callee, pos, star, t.fid AS target, t.file AS tfile, t.params AS cp FROM cx JOIN fx o ON o.name = func LEFT JOIN fx t ON t.name = callee),
+sx AS (SELECT fid, line, sink_type, func || '()' AS sink, CASE WHEN sink_type = 'FILE' THEN 'MEDIUM' ELSE 'HIGH' END AS severity, influenced FROM sinks JOIN fx ON name = func),
+n AS (
+  SELECT fid AS root, []::BIGINT[] AS key, 0 AS depth, fid, file, [name] AS names, CASE WHEN is_call_tool AND list_contains(params, 'arguments') THEN ['arguments'] ELSE params END AS tracked, name AS label, func_line::BIGINT AS line FROM fx WHERE is_tool OR is_call_tool
+  UNION ALL
+  SELECT root, list_concat(key, [call_no::BIGINT, coalesce(target, 0)]), depth + 1, target, tfile, list_append(names, callee), CASE WHEN target IS NULL THEN [] WHEN len(new) > 0 THEN new ELSE tracked END, callee, call_line::BIGINT FROM (
+    SELECT n.root, n.key, n.depth, n.names, n.tracked, call_no, target, tfile, callee, ed.line AS call_line, list_has_any(flatten(pos), n.tracked) OR star AS carries,
+      CASE WHEN star THEN cp ELSE list_filter([CASE WHEN list_has_any(pos[1], n.tracked) THEN cp[1] END, CASE WHEN list_has_any(pos[2], n.tracked) THEN cp[2] END], lambda x: x IS NOT NULL) END AS new
+    FROM n JOIN ed ON ed.caller = n.fid WHERE n.depth < 4) x WHERE (target IS NULL AND carries) OR (target IS NOT NULL AND NOT list_contains(names, callee) AND (len(new) > 0 OR carries))
+),
+sib AS (SELECT root, key, lead(key) OVER (PARTITION BY root, key[:-3] ORDER BY key) IS NULL AS last FROM n WHERE depth > 0),
+up AS (SELECT n.root, n.key, i, s.last FROM (SELECT root, key, unnest(range(1, depth + 1)) AS i FROM n) n JOIN sib s ON s.root = n.root AND s.key = n.key[:2 * n.i]),
+pads AS (SELECT root, key, string_agg(CASE WHEN last THEN '   ' ELSE '│  ' END, '' ORDER BY i) AS pad, arg_max(last, i) AS last FROM up GROUP BY root, key),
+nx AS (SELECT n.*, coalesce(pad, '') AS pad, last FROM n LEFT JOIN pads USING (root, key)),
+hit AS (SELECT n.root, n.key, n.pad, s.* FROM nx n JOIN sx s ON s.fid = n.fid WHERE len(influenced) = 0 OR list_has_any(influenced, tracked)),
+tree AS (SELECT root, key, 0 AS a, '' AS b, '' AS c, CASE WHEN depth = 0 THEN '  ' || label ELSE '  ' || pad[:-4] || CASE WHEN last THEN '└─ ' ELSE '├─ ' END || label || '  ' || CASE WHEN fid IS NULL THEN '(external)' ELSE '[' || file || ':' || line || ']' END END AS line FROM nx
+  UNION ALL SELECT root, list_append(key, -1), line, sink_type, sink, '  ' || pad || '⚡ [' || severity || '] ' || sink_type || ': ' || sink || CASE WHEN len(influenced) > 0 THEN '  (via: ' || array_to_string(influenced, ', ') || ')' ELSE '' END FROM hit)"""
+_tree_sql = f"{_flow_head} SELECT root, row_number() OVER (PARTITION BY root ORDER BY key, a, b, c) AS place, line FROM tree"
+_flow_sql = f"""{_flow_head},
+http AS (SELECT h.name, h.file, h.func_line, h.fid, -1 AS call_no, sink_type, sink, severity, s.line, '' AS note FROM fx h JOIN sx s ON s.fid = h.fid WHERE is_http
+  UNION ALL SELECT h.name, h.file, h.func_line, h.fid, call_no, sink_type, callee || ' → ' || sink, severity, s.line, ' — via ' || callee || '() at line ' || e.line FROM fx h JOIN ed e ON e.caller = h.fid JOIN sx s ON s.fid = e.target WHERE is_http),
+cnt AS (SELECT t.fid, name, file, func_line, count(h.root) AS n FROM fx t LEFT JOIN hit h ON h.root = t.fid WHERE is_tool OR is_call_tool GROUP BY ALL),
+tot AS (SELECT (SELECT count(*) FROM fx) AS f, (SELECT count(DISTINCT file) FROM fx) AS files, (SELECT count(*) FROM cnt) AS t, (SELECT count(*) FROM http) AS h, (SELECT count(*) FROM hit) + (SELECT count(*) FROM http) AS alls),
+l AS (SELECT 0 AS s, 0 AS e, 0 AS p, []::BIGINT[] AS key, 0 AS a, '' AS b, '' AS c, 'Flow report — r' AS line
+  UNION ALL SELECT 0, 0, 1, [], 0, '', '', 'Indexed ' || f || ' function(s) in ' || files || ' file(s); ' || t || ' entry point(s).' FROM tot
+  UNION ALL SELECT 1, fid, 0, [], 0, '', '', '━━━ TOOL: ' || name || '  [' || file || ':' || func_line || '] ━━━' FROM cnt
+  UNION ALL SELECT 1, root, 1, [], 0, '', '', CASE WHEN len(tracked) > 0 THEN 'Parameters (all user-controlled):' ELSE 'Parameters: (none)' END FROM n WHERE depth = 0
+  UNION ALL SELECT 1, root, 1, [], 1, x, '', '  • ' || x FROM (SELECT root, unnest(tracked) AS x FROM n WHERE depth = 0)
+  UNION ALL SELECT 1, fid, 2, [], 0, '', '', 'Call tree (depth 4):' FROM cnt
+  UNION ALL SELECT 1, root, 3, key, a, b, c, line FROM tree
+  UNION ALL SELECT 1, fid, 4, [], 0, '', '', '  └─ (no outgoing calls found or no input flows out)' FROM cnt WHERE n = 0 AND fid NOT IN (SELECT root FROM n WHERE depth = 1)
+  UNION ALL SELECT 1, fid, 5, [], 0, '', '', CASE WHEN n = 0 THEN 'Result: CLEAN — no dangerous sinks reached within depth 4' ELSE 'Result: ' || n || ' sink(s) reached' END FROM cnt
+  UNION ALL SELECT 2, 0, 0, [], 0, '', '', '━━━ HTTP HANDLERS ━━━' FROM tot WHERE h > 0
+  UNION ALL SELECT 2, fid, 1, [call_no, line], 0, sink_type, sink, '  [' || severity || '] ' || name || ' [' || file || ':' || func_line || ']  ' || sink_type || ': ' || sink || ' [line ' || line || ']' || note FROM http
+  UNION ALL SELECT 3, 0, 0, [], 0, '', '', CASE WHEN alls = 0 THEN 'No dangerous sinks reachable from tool handlers or HTTP request parsers.' ELSE alls || ' total finding(s).' END FROM tot)
+SELECT 'r' AS repo, row_number() OVER (ORDER BY s, e, p, key, a, b, c) AS place, line FROM l"""
 
 _notes = "CASE type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in catalog.STREAM_NOTES.items()) + " END"
 STREAM_FOUND = f"""(SELECT * FROM (SELECT *, {_notes} AS note, row_number() OVER (PARTITION BY repo, type, file, line ORDER BY match) AS n FROM (
@@ -209,6 +268,7 @@ QUERIES = {
     "network_blocks": (_network_blocks, f"WITH {duck.CODE}, {duck.BIND_CTE} " + _block_sql(_bind, [("Address", "address"), ("Code", "code"), ("Detail", "note")], "file, line")),
     "keyword_report": (lambda s, d: P.keyword_lines(code_files(s, d)).select("repo", F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(" - "), "keyword", F.lit(" -> "), "text").alias("line")), f"SELECT repo, file || ':' || line || ' - ' || keyword || ' -> ' || text AS line FROM ({duck.KEYWORDS})"),
     "trace_tree": (_tree, _tree_sql),
+    "flow_report": (_flow_report, _flow_sql),
     "trace_results": (_results, f"{graphs._head} SELECT root, CASE WHEN n = 0 THEN 'Result: CLEAN — no dangerous sinks reached within depth 4' ELSE 'Result: ' || n || ' sink(s) reached' END AS result FROM (SELECT e.root, count(s.func) AS n FROM (SELECT DISTINCT root FROM nodes) e LEFT JOIN nodes n ON n.root = e.root LEFT JOIN sinks s ON s.func = n.func AND (len(influenced) = 0 OR list_has_any(influenced, tracked)) GROUP BY e.root)"),
     "project_types": (_projects, f"SELECT repo, CASE WHEN bool_or(file IN ('setup.py', 'pyproject.toml', 'requirements.txt')) THEN 'python' WHEN bool_or(file = 'package.json') THEN 'node' ELSE 'unknown' END AS project FROM (SELECT 'p' || (c_custkey // 3) AS repo, {duck.pick(['setup.py', 'src/setup.py', 'package.json', 'requirements.txt', 'web/package.json', 'README.md', 'pyproject.toml'], 'c_custkey * 5 + c_custkey // 11')} AS file FROM customer) GROUP BY repo"),
     "summary_lines": (lambda s, d: O.summary_lines(states(s, d)), SUMMARY),
@@ -218,11 +278,17 @@ QUERIES = {
     "html_sections": (_sections, f"""SELECT 'repo' || (page_id % 9) AS repo, page_id AS place, '<section><h2>' || {_esc('title')} || CASE WHEN n > 0 THEN ' <b class="badge">' || n || '</b>' ELSE '' END || '</h2>' || CASE WHEN trim(body) <> '' THEN '<pre>' || {_esc('body')} || '</pre>' ELSE '<p><em>No findings or report unavailable.</em></p>' END || '</section>' AS html
 FROM (SELECT page_id, {duck.pick(catalog.REPORT_SECTIONS, 'page_id')} AS title, CASE WHEN page_id % 4 = 0 THEN '  ' ELSE html END AS body, CASE WHEN page_id % 3 = 0 THEN -1 ELSE page_id % 5 END AS n FROM pages)"""),
     "html_findings": (lambda s, d: O.html_findings(findings(s, d).withColumn("title", F.coalesce("title", F.lit("")))), f"""WITH {FINDINGS} SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY {RANK}, id) AS place, '<tr><td style="background:' || {_colors} || '">' || severity || '</td><td>' || {_esc("coalesce(title, '')")} || '</td><td>' || {_esc(PLACE)} || '</td><td>' || {_esc('description')} || '</td></tr>' AS html FROM f"""),
+    "html_page": (_page, f"""WITH {FINDINGS}, l AS (SELECT repo, 0 AS s, 0 AS n, '<!doctype html><html><head><meta charset="utf-8"><title>' || {_esc('repo')} || '</title></head><body>' AS html FROM (SELECT DISTINCT repo FROM f)
+  UNION ALL SELECT repo, 1, 0, '<h1>' || {_esc('repo')} || '</h1><p>python</p><ul>' || {" || ".join(f"'<li><b>' || count(*) FILTER (WHERE severity = '{x}') || '</b> {c}</li>'" for c, x in zip(O.TILES, catalog.SEVERITIES, strict=True))} || '<li><b>' || count(*) || '</b> findings</li></ul>' FROM f GROUP BY repo
+  UNION ALL SELECT source, 2, doc_id, '<section><h2>' || {_esc('title')} || CASE WHEN doc_id % 5 > 1 THEN ' <b class="badge">' || (doc_id % 5 - 1) || '</b>' ELSE '' END || '</h2>' || CASE WHEN trim(text) <> '' THEN '<pre>' || {_esc('text')} || '</pre>' ELSE '<p><em>No findings or report unavailable.</em></p>' END || '</section>' FROM (SELECT *, {duck.pick(catalog.REPORT_SECTIONS, 'doc_id')} AS title FROM documents)
+  UNION ALL SELECT DISTINCT repo, 3, 0, '<table><tr><th>Severity</th><th>Title</th><th>Place</th><th>Description</th></tr>' FROM f
+  UNION ALL SELECT repo, 4, row_number() OVER (PARTITION BY repo ORDER BY {RANK}, id), '<tr><td style="background:' || {_colors} || '">' || severity || '</td><td>' || {_esc("coalesce(title, '')")} || '</td><td>' || {_esc(PLACE)} || '</td><td>' || {_esc('description')} || '</td></tr>' FROM f
+  UNION ALL SELECT DISTINCT repo, 5, 0, '</table></body></html>' FROM f) SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY s, n) AS place, html FROM l"""),
     "severity_lines": (lambda s, d: O.severity_lines(findings(s, d)), f"WITH {FINDINGS} SELECT repo, 'Total findings : ' || count(*) || '  (' || " + " || ' · ' || ".join(f"'{x}: ' || count(*) FILTER (WHERE severity = '{x}')" for x in catalog.SEVERITIES) + " || ')' AS line, count(*) FILTER (WHERE severity <> 'INFO') AS actionable FROM f GROUP BY repo"),
     "numbered_findings": (lambda s, d: O.numbered_findings(findings(s, d)), f"WITH {FINDINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY id) AS place FROM f) SELECT repo, place, '  [' || place || '] [' || severity || '] ' || coalesce(title, '(untitled)') || {NL} || '      Location: ' || CASE WHEN file = '' THEN '(repo-wide)' ELSE file || ':' || coalesce(line, 0) END || {NL} || '      Description: ' || description || {NL} || '      Recommendation: ' || coalesce(recommendation, '') AS block FROM n"),
-    "validation_chars": (_validation_chars, "SELECT r.repo, (length(coalesce(review, '')) + 1200 + coalesce(texts, 0))::BIGINT AS chars FROM (SELECT source AS repo, max(text) AS review FROM documents GROUP BY source) r LEFT JOIN (SELECT source AS repo, sum(length(left(text, 8000)) + 100) AS texts FROM documents WHERE doc_id % 4 = 1 GROUP BY source) t ON t.repo = r.repo"),
+    "validation_chars": (_validation_chars, "SELECT r.repo, (length(coalesce(review, '')) + 1200 + coalesce(texts, 0))::BIGINT AS chars FROM (SELECT source AS repo, max(text) AS review FROM documents GROUP BY source) r LEFT JOIN (SELECT source AS repo, sum(length(left(text, 8000)) + 100) AS texts FROM documents GROUP BY source) t ON t.repo = r.repo"),
     "validation_gate": (_gate, f"WITH {STATES}, c AS (SELECT round(sum(coalesce(k.c_custkey / 1024.0::DOUBLE, 0)), 6) AS total FROM st LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) k ON st.repo = 'r' || k.c_custkey WHERE error IS NULL) SELECT threshold, total, threshold <> -1 AND total >= threshold AS ask FROM c, (VALUES (-1.0::DOUBLE), (0.0::DOUBLE), (5.0::DOUBLE), (1e12::DOUBLE)) t(threshold)"),
-    "exit_codes": (_exit_codes, f"WITH {STATES} " + " UNION ALL ".join(f"SELECT '{n}' AS runs, CASE WHEN bool_or(error IS NOT NULL) THEN 2 WHEN bool_or(greatest(coalesce(flow, 0), coalesce(auth, 0), coalesce(bandit, 0)) > 0) THEN 1 ELSE 0 END AS code FROM st WHERE {w}" for n, w in RUNS.items())),
+    "exit_code": (_exit_codes, f"WITH {STATES} " + " UNION ALL ".join(f"SELECT '{n}' AS runs, CASE WHEN bool_or(error IS NOT NULL) THEN 2 WHEN bool_or(greatest(coalesce(flow, 0), coalesce(auth, 0), coalesce(bandit, 0)) > 0) THEN 1 ELSE 0 END AS code FROM st WHERE {w}" for n, w in RUNS.items())),
     "next_step": (lambda s, d: O.next_step(states(s, d)), f"WITH {STATES} SELECT repo, CASE WHEN coalesce(offline, false) OR NOT coalesce(ai, true) THEN 'end' ELSE 'review' END AS step FROM st"),
     "allowed_reads": (lambda s, d: O.allowed_reads(_log(s, d)).select("session", "seq", "path", "allowed"), "WITH l AS (SELECT user_id AS session, event_id AS seq, 'src/f' || (event_id % 23) AS path FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY session, path ORDER BY seq) <= 2 AS ok FROM l) SELECT session, seq, path, ok AND sum(ok::INT) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) <= 30 AS allowed FROM n"),
     "call_lines": (lambda s, d: O.call_line(O.call_counts(_log(s, d))), "SELECT session, string_agg(tool || ' ×' || n, ', ' ORDER BY tool) AS calls FROM (SELECT user_id AS session, event_type AS tool, count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY session"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import shared
 from ..functions import catalog
 from ..functions.text import head_and_tail
-from ..operators import review
+from ..operators import reports, review
 from ..sources import corpus
 from .duck import q
 
@@ -118,10 +118,7 @@ def bodies(d: Dialect) -> dict[str, tuple[list[str], str]]:
         "language_v2": (flow, f"SELECT repo, CASE WHEN js > py THEN 'js' WHEN py > 0 THEN 'python' ELSE 'none' END AS language FROM (SELECT repo, {counts_of(d, catalog.JS_EXTENSIONS)} FROM named WHERE NOT excluded AND NOT is_test GROUP BY repo) x"),
         "parse_url": (parse, "SELECT page_id, url, base, ref FROM parsed"),
         "repo_name": (parse, f"SELECT page_id, concat({owner}, '_', {d.sub(last, r'\.git$', '')}, CASE WHEN ref IS NULL THEN '' ELSE concat('@', {safe}) END) AS name FROM parsed"),
-        "batch_urls": (["urls"], "SELECT page_id, trim(url) AS url FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN concat('# ', url) WHEN page_id % 7 = 0 THEN '  ' ELSE concat(' ', url, ' ') END AS url FROM urls) x WHERE trim(url) <> '' AND trim(url) NOT LIKE '#%'"),
         "skip_done": (parse, f"SELECT p.page_id, p.base FROM parsed p WHERE NOT EXISTS (SELECT 1 FROM parsed o WHERE o.base = p.base AND o.page_id % 3 = 0)"),
-        "progress_upsert": (parse, "SELECT base AS url FROM parsed WHERE page_id % 3 = 0 UNION SELECT base FROM parsed WHERE page_id % 4 = 0"),
-        "merged_findings": (finding, f"SELECT repo, {big('id')} AS id, severity, title, file, {big('line')} AS line, verdict, evidence, original_severity FROM merged"),
         "verdict_counts": (["findings", "verdicts"], "SELECT repo, verdict, count(*) AS n FROM verdicts GROUP BY repo, verdict"),
         "unvalidated": (["findings", "verdicts"], f"SELECT f.repo, {big('f.id')} AS id, coalesce(v.verdict, 'not validated') AS verdict FROM findings f LEFT JOIN verdicts v ON v.repo = f.repo AND v.id = f.id"),
         "severity_groups": (finding, f"SELECT repo, severity, title, {big('row_number() OVER (PARTITION BY repo ORDER BY severity_rank, id, title)')} AS n, {big('count(*) OVER (PARTITION BY repo, severity)')} AS in_group FROM ranked"),
@@ -132,13 +129,9 @@ def bodies(d: Dialect) -> dict[str, tuple[list[str], str]]:
         "token_estimate": ([], f"SELECT doc_id, greatest(1, CAST(floor(CAST(n_chars AS DOUBLE) / 3.5) AS BIGINT)) AS tokens FROM {d.t('documents')}"),
         "review_cost": (["paths", "review", "prices"], f"SELECT model, {big('sum(tokens)')} AS input_tokens, {big('4096 * count(*) * 2')} AS output_tokens, round(CAST(sum(tokens) AS DOUBLE) / 1000000.0 * max(input_price) + CAST(4096 * count(*) * 2 AS DOUBLE) / 1000000.0 * max(output_price), 6) AS dollars FROM review CROSS JOIN prices GROUP BY model"),
         "validation_cost": (["paths", "review", "prices"], f"SELECT repo, model, {big('tokens')} AS tokens, {cost} AS dollars FROM review JOIN prices ON model = 'gpt-4o'"),
-        "cost_gate": (["paths", "review", "prices"], f"SELECT repo, {cost} >= 0.011 AS ask FROM review JOIN prices ON model = 'gpt-4o'"),
         "unknown_model": (["paths", "review", "prices"], f"SELECT repo, coalesce(input_price, 0.0) AS input_price FROM review LEFT JOIN prices ON model = concat('gpt-', repo)"),
-        "prompt_size": (["paths"], f"SELECT repo, {big('800 + sum(length(title) + 6 + CASE WHEN part IS NULL THEN 37 ELSE part END)')} AS chars FROM (SELECT r.repo, s.title, p.part FROM (SELECT DISTINCT repo FROM paths) r CROSS JOIN (SELECT 'Network Analysis' AS title, 0 AS k UNION ALL SELECT 'Auth & Authorization Analysis', 1 UNION ALL SELECT 'SSE / Streaming Analysis', 2) s LEFT JOIN (SELECT repo, doc_id % 9 AS k, max(length(content)) AS part FROM paths GROUP BY repo, doc_id % 9) p ON p.repo = r.repo AND p.k = s.k) x GROUP BY repo"),
-        "truncate_70_30": (["paths"], f"SELECT doc_id, CASE WHEN length(content) <= 2000 THEN content ELSE concat(left(content, 1400), '[...]', right(content, 600)) END AS excerpt FROM paths"),
         "excerpts": (["paths"], f"SELECT file, CASE WHEN length(content) <= 8000 THEN content ELSE concat(left(content, 8000), '[...]') END AS excerpt FROM paths"),
         "repo_summary": (["findings", "repos"], f"SELECT repo, {big('n_findings')} AS n_findings, {big('n_high')} AS n_high, CASE WHEN n_high = 0 THEN '-' ELSE {d.text('n_high')} END AS shown, greatest(length(repo), 28) AS width FROM repos"),
-        "exit_code": (["findings", "repos"], f"SELECT CAST(CASE WHEN max(CASE WHEN repo IS NULL THEN 1 ELSE 0 END) = 1 THEN 2 WHEN max(n_high) > 0 THEN 1 ELSE 0 END AS INT) AS code FROM repos"),
         "risky_repos": (["findings", "repos"], f"SELECT repo, {big('n_high')} AS n_high, {big('row_number() OVER (ORDER BY n_high DESC, repo)')} AS place FROM repos WHERE n_high > 0"),
         "html_rows": (finding, f"SELECT repo, {big('id')} AS id, concat('<tr><td>', severity, '</td><td>', {esc}, '</td><td>', {where}, '</td></tr>') AS html FROM merged"),
         "report_blocks": (finding, f"SELECT repo, {d.concat_agg('block', '---', 'severity_rank, id, title')} AS report FROM (SELECT repo, severity_rank, id, title, concat('[', severity, '] ', title, ' File : ', {where}) AS block FROM ranked WHERE verdict <> 'confirmed') x GROUP BY repo"),
@@ -201,8 +194,7 @@ s AS (SELECT title, k, repo FROM (VALUES {_titles}) t(title, k) CROSS JOIN (SELE
 SELECT s.repo, CAST(800 + sum(length('## ' || title || chr(10) || chr(10) || CASE WHEN body IS NULL OR NOT regexp_matches(body, '\\S') THEN '(No findings or report unavailable.)'
   WHEN length(body) > 120000 THEN left(body, 84000) || {_mark} || right(body, 36000) ELSE body END || chr(10))) AS BIGINT) AS chars
 FROM s LEFT JOIN b ON b.repo IS NOT DISTINCT FROM s.repo AND b.k = s.k GROUP BY s.repo"""
-#: Beside ``prompt_size``, whose SQL has three sections of a third of the documents.
-QUERIES["prompt_size_all"] = (_prompt_size, PROMPT_SIZE)
+QUERIES["prompt_size"] = (_prompt_size, PROMPT_SIZE)
 
 
 def _report_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,5 +202,48 @@ def _report_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", head_and_tail(F.col("text"), 60_000, catalog.CUT_MARK).alias("excerpt"))
 
 
-#: Beside ``truncate_70_30``, whose SQL cuts at 2,000 characters.
-QUERIES["report_excerpts"] = (_report_excerpts, f"SELECT doc_id, CASE WHEN length(text) <= 60000 THEN text ELSE left(text, 42000) || {_mark} || right(text, 18000) END AS excerpt FROM documents")
+QUERIES["truncate_70_30"] = (_report_excerpts, f"SELECT doc_id, CASE WHEN length(text) <= 60000 THEN text ELSE left(text, 42000) || {_mark} || right(text, 18000) END AS excerpt FROM documents")
+
+
+def _cost_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the validation of all repositories has to be confirmed, at the default threshold."""
+    costs = spark.sql(sql("validation_cost", Dialect(True, sf_dir))).select(F.col("dollars").alias("cost"))
+    return reports.ask_first(costs, catalog.CONFIRM_ABOVE).select(F.round("total", 6).alias("total"), "ask")
+
+
+QUERIES["cost_gate"] = (_cost_gate, f"SELECT round(coalesce(sum(dollars), 0.0), 6) AS total, coalesce(sum(dollars), 0.0) >= 5.0 AS ask FROM ({sql('validation_cost', DUCK)})")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = lambda name: _view(spark, sf_dir, ["findings", "verdicts", "discovered"], f"SELECT * FROM {name}")
+    big = lambda df: df.withColumn("line", F.col("line").cast("long"))
+    findings = big(view("findings")).select("repo", F.col("id").cast("long").alias("id"), "severity", "title", "file", "line")
+    discovered = big(view("discovered")).select("repo", "severity", "title", "file", "line")
+    return review.merge_verdicts(findings, view("verdicts").withColumn("seq", F.lit(1)), discovered)
+
+
+def _of_merged(d: Dialect) -> str:
+    have = views(d)
+    head = ", ".join(f"{v} AS ({have[v]})" for v in ("findings", "verdicts", "discovered", "merged"))
+    return f"WITH {head} SELECT repo, CASE WHEN verdict <> 'discovered' THEN id END AS id, severity, title, file, line::BIGINT AS line, verdict, evidence, original_severity FROM merged"
+
+
+QUERIES["merged_findings"] = (_merged, _of_merged(DUCK))
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a list: urls with spaces around them, comments, blank lines."""
+    url = _view(spark, sf_dir, ["urls"], "SELECT page_id, url FROM urls")
+    line = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("# "), "url")).when(F.col("page_id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "url", F.lit(" ")))
+    return url.select("page_id", line.alias("value"))
+
+
+QUERIES["batch_urls"] = (lambda spark, sf_dir: corpus.list_entries(_urls(spark, sf_dir)), f"WITH urls AS ({views(DUCK)['urls']}) SELECT page_id, trim(url) AS url FROM urls WHERE page_id % 5 <> 0 AND page_id % 7 <> 0")
+
+
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _view(spark, sf_dir, ["urls", "cut_urls", "at_urls", "parsed"], "SELECT page_id, base AS url FROM parsed")
+    return review.merged_progress(base.where("page_id % 3 = 0"), base.where("page_id % 4 = 0"))
+
+
+QUERIES["progress_upsert"] = (_progress, "WITH " + ", ".join(f"{v} AS ({views(DUCK)[v]})" for v in ("urls", "cut_urls", "at_urls", "parsed")) + " SELECT base AS url FROM parsed WHERE page_id % 3 = 0 AND base IS NOT NULL UNION SELECT base FROM parsed WHERE page_id % 4 = 0 AND base IS NOT NULL")

@@ -39,7 +39,6 @@ QUERIES = {
     "network_bindings": (on_code(P.network_bindings), duck.BINDINGS),
     "framework_rollup": (on_code(P.framework_rollup), duck.FRAMEWORKS),
     "network_report": (on_code(P.network_report), duck.NETWORK),
-    "no_auth_repo": (lambda s, d: P.no_auth_repos(_code(s, d).withColumn("repo", F.col("file"))), duck.NO_AUTH),
     "no_auth_users": (lambda s, d: P.no_auth_repos(_code(s, d).withColumn("repo", F.regexp_extract("file", duck.OWNER, 1))), duck.NO_AUTH_USERS),
     "injection_hits": (lambda s, d: P.injection_hits(_chat(s, d)), duck.INJECTIONS),
     "sanitised_lines": (lambda s, d: P.sanitised(_chat(s, d)), duck.SANITISED),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import catalog
 from ..functions.text import extension, lits, skip_path
+from ..operators.store import Versioned
 
 CORPUS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("repo", "file", "content")])
 
@@ -27,14 +28,20 @@ def read_folder(spark: SparkSession, root: str, extensions: list[str] | None = N
     return files.where(F.length("content") > 0)
 
 
+def list_entries(lines: DataFrame) -> DataFrame:
+    """lines (value, ...) as (..., url): one entry per line, trimmed; blank lines and # comments are left out."""
+    return lines.withColumn("url", F.trim("value")).drop("value").where((F.col("url") != "") & ~F.col("url").startswith("#"))
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """One entry per line, trimmed; blank lines and # comments are left out."""
-    line = F.trim(F.col("value"))
-    return spark.read.text(path).select(line.alias("url")).where((F.col("url") != "") & ~F.col("url").startswith("#"))
+    return list_entries(spark.read.text(path))
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """(url) of the finished entries: lines of {"url": ...} as ``upsert_progress`` writes them, or one JSON array; none if the file is missing or broken."""
+    """(url) of the finished entries: the table that ``upsert_progress`` keeps at path, lines of {"url": ...}, or one JSON array; none if there is nothing at path or a file is broken."""
+    kept = Versioned(spark, path, "url string")
+    if kept.current()[1]:
+        return kept.read()
     try:
         text = spark.read.text(path, wholetext=True)
         lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.get_json_object(x, "$.url"))

@@ -70,24 +70,13 @@ def test_a_function_keeps_its_own_body():
     assert [c["callee"] for c in one["calls"]] == ["a"] and [c["callee"] for c in two["calls"]] == ["b"]
 
 
-def test_taint_closure_of_a_hundred_steps(spark):
-    steps = spark.createDataFrame([("f", f"v{i + 1}", f"v{i}") for i in range(40)], "func string, target string, source string")
-    assert trace.taint_closure(steps, spark.createDataFrame([("f", "v0")], "func string, name string")).count() == 41
-
-
-def test_tree_lines(spark):
-    nodes = spark.createDataFrame([("t", p) for p in (["t"], ["t", "a"], ["t", "a", "c"], ["t", "b"], ["t", "b", "c"], ["t", "b", "c"])], "root string, path array<string>").withColumn("func", F.element_at("path", -1))
-    sinks = spark.createDataFrame([("t", ["t", "a", "c"], 7, "EXEC", "eval", "HIGH"), ("t", ["t"], 2, "FILE", "open", "MEDIUM")], "root string, path array<string>, line int, sink_type string, sink string, severity string")
-    got = [r["line"] for r in reports.trace_lines(nodes, sinks).orderBy("place").collect()]
-    assert got == ["  t", "  ⚡ [MEDIUM] FILE: open (line 2)", "  ├─ a", "  │  └─ c", "  │     ⚡ [HIGH] EXEC: eval (line 7)", "  └─ b", "     └─ c"]
-
-
 def test_reports_are_written_in_order(spark, tmp_path):
-    rows = [("r1", i, f"block {i}") for i in range(50)] + [("r2", 1, "only")]
+    rows = [("r1", i, f"block {i}") for i in range(1, 51)] + [("r2", 1, "only")]
     df = spark.createDataFrame(rows, "repo string, place long, block string").repartition(7)
-    reports.write_lines(df, str(tmp_path / "out"))
-    text = [line for f in sorted((tmp_path / "out" / "repo=r1").glob("*.txt")) for line in f.read_text().splitlines()]
-    assert text == [f"block {i}" for i in range(50)]
+    manifest = reports.write_lines(df, str(tmp_path / "out"), per_file=8)
+    text = [line for f in sorted((tmp_path / "out" / "repo=r1").glob("part=*/*.txt")) for line in f.read_text().splitlines()]
+    assert text == [f"block {i}" for i in range(1, 51)]
+    assert [tuple(r) for r in manifest.where("repo = 'r1'").orderBy("part").select("first", "last", "lines").collect()] == [(i, min(i + 7, 50), min(8, 51 - i)) for i in range(1, 51, 8)]
 
 
 def test_gate_of_minus_one(spark):

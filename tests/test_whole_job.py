@@ -16,13 +16,13 @@ def test_prompt_size_counts_every_document_of_six_sections(spark, tmp_path):
     rows = [(i, "x" * (100 + i), "a") for i in range(24)] + [(2, "y" * 130_000, "b"), (8, "z", "b"), (3, " \n", "b"), (None, None, None)]
     bodies = {"a": ["\n".join("x" * (100 + i) for i in range(k, 24, 6)) for k in range(6)], "b": ["", "", "y" * 84_000 + "\n\n...[TRUNCATED]...\n\n" + "y" * 36_000, "", "", ""], None: [""] * 6}
     want = {r: 800 + sum(len(f"## {t}\n\n{b or '(No findings or report unavailable.)'}\n") for t, b in zip(catalog.REPORT_SECTIONS, s, strict=True)) for r, s in bodies.items()}
-    assert {r["repo"]: r["chars"] for r in registry.queries()["prompt_size_all"](spark, documents(spark, tmp_path, rows)).collect()} == want
+    assert {r["repo"]: r["chars"] for r in registry.queries()["prompt_size"](spark, documents(spark, tmp_path, rows)).collect()} == want
 
 
 def test_report_excerpts_are_whole_up_to_60_000(spark, tmp_path):
     long = "h" * 42_000 + "m" * 5 + "t" * 18_000
     rows = [(1, "a" * 2001, "s"), (2, "b" * 60_000, "s"), (3, long, "s"), (4, None, "s"), (5, "", "s")]
-    got = {r["doc_id"]: r["excerpt"] for r in registry.queries()["report_excerpts"](spark, documents(spark, tmp_path, rows)).collect()}
+    got = {r["doc_id"]: r["excerpt"] for r in registry.queries()["truncate_70_30"](spark, documents(spark, tmp_path, rows)).collect()}
     assert got == {1: rows[0][1], 2: rows[1][1], 3: "h" * 42_000 + "\n\n...[TRUNCATED]...\n\n" + "t" * 18_000, 4: None, 5: ""}
 
 
@@ -34,9 +34,10 @@ def test_verdicts_survive_any_tail(spark, tail):
 
 
 def test_taint_closure_follows_long_chains(spark):
-    steps = spark.createDataFrame([("f", f"v{i + 1}", f"v{i}") for i in range(19)] + [("f", "v3", "v19"), ("g", "w", "v0")], "func string, target string, source string")
-    known = trace.taint_closure(steps, spark.createDataFrame([("f", "v0")], "func string, name string"))
-    assert {(r["func"], r["name"]) for r in known.collect()} == {("f", f"v{i}") for i in range(20)}
+    steps = spark.createDataFrame([("f", f"v{i + 1}", f"v{i}") for i in range(1000)] + [("f", "v3", "v1000"), ("g", "w", "v0"), ("f", None, "v0")], "func string, target string, source string")
+    known = trace.taint_closure(steps, spark.createDataFrame([("f", "v0"), ("h", "x")], "func string, name string"))
+    assert {(r["func"], r["name"]) for r in known.collect()} == {("f", f"v{i}") for i in range(1001)} | {("h", "x")}
+    assert known._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 6
 
 
 def test_sql_sinks_are_decided_by_the_operator(spark, tmp_path, monkeypatch):
