@@ -67,7 +67,7 @@ def test_products_are_exact():
 
 
 def test_vector_queries_of_empty_tables(spark):
-    none = odd_vectors(spark, 1).limit(0)
+    none = odd_vectors(spark).limit(0)
     assert hard_negatives.mine(none).count() == 0 and whitening.whiten(none).count() == 0
 
 
