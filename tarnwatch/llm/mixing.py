@@ -12,9 +12,9 @@ count of all earlier (size class, slice) cells of the source plus the place in t
 a size class and then over the classes, so neither a source with a third of all rows nor its counts are one task.
 
 Defined results: null or empty text has size 0 and takes 0 words; null source is a source of its own; a source without words gets target 0; a very long text counts
-with all its words and is taken whole or not at all, 3 times at most; documents of one size stand in the order of a hash, then doc_id;
-repeated rows take part each for itself; an empty table gives an empty result; reruns agree, as the order and the offsets depend on seed, doc_id,
-source and size alone; other columns are ignored by ``plan_mix`` and kept by ``mix``.
+with all its words and is taken whole or not at all, 3 times at most; documents of one size stand in the order of a hash of doc_id, size and text, then doc_id;
+repeated rows take part each for itself; an empty table gives an empty result; reruns agree, however the rows are dealt, as the order and the offsets depend on seed, doc_id,
+source and text alone; other columns are ignored by ``plan_mix`` and kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -64,8 +64,10 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat:
     """Copies of every row of docs (doc_id, text, source): the columns of keep and doc_id, size, source_size, target, copies."""
     keep = keep or []
     source = [F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_name")]
-    sized = docs.select("doc_id", *keep, *source, word_count(F.col("text")).alias("size"))
-    sized = write_table(sized.withColumn("class", size_class(F.col("size"))).withColumn("u", uniform(F.lit(seed), F.col("doc_id"), F.col("size"))), "op3-sized")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))  # texts that share an id, or have none, get places of their own
+    sized = docs.select("doc_id", *keep, *source, word_count(F.col("text")).alias("size"), digest.alias("digest"))
+    sized = sized.withColumn("class", size_class(F.col("size"))).withColumn("u", uniform(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("digest"))).drop("digest")
+    sized = write_table(sized, "op3-sized")
     slices = max(1, sized.count() // slice_rows)
     sized = sized.withColumn("slice", (F.col("u") % slices).cast("int"))
     name = ["no_source", "source_name"]
@@ -108,9 +110,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source_name,
-         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents
 ), u AS (
-  SELECT *, ('0x' || md5(concat_ws('|', '29', coalesce(doc_id::VARCHAR, 'null'), size::VARCHAR))[1:8])::BIGINT AS u, length(bin(size)) AS bits FROM d
+  SELECT *, ('0x' || md5(concat_ws('|', '29', coalesce(doc_id::VARCHAR, 'null'), size::VARCHAR, digest))[1:8])::BIGINT AS u, length(bin(size)) AS bits FROM d
 ), c AS (
   SELECT *, bits * 8 + CASE WHEN bits > 4 THEN (size >> (bits - 4)) & 7 ELSE size & 7 END AS class, u % greatest(1, (SELECT count(*) FROM d) // 8192) AS slice FROM u
 ), s AS (

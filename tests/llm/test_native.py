@@ -116,6 +116,15 @@ def test_mix(spark, seed, slice_rows):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in mixing.plan_mix(docs, seed=seed).collect())
 
 
+def test_reruns_agree_without_ids(spark):
+    """Documents of one size without ids, or with one id, are told apart by their texts."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"word{i} two three", "s%d" % (i % 3), i) for i in range(120)], "doc_id long, text string, source string, DOC_ID_ int")
+    runs = [sorted(r["text"] for r in mixing.mix(docs.repartition(n), slice_rows=16).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 50
+    cells = docs.select(mixing.uniform(F.lit(29), F.col("doc_id"), F.lit(3), F.md5(F.col("text").cast("binary"))).alias("u")).distinct().count()
+    assert cells == 120
+
+
 def test_sampling_is_unbiased(spark):
     """Over 1,000 even offsets every place of every worth is taken worth times on average, and only floor or ceiling times."""
     grid = spark.range(1000).select((F.col("id") / 1000.0).alias("offset")).crossJoin(spark.range(40).withColumnRenamed("id", "place")).crossJoin(spark.createDataFrame([(0.0,), (0.3,), (1.0,), (1.75,), (2.9,), (3.0,)], "each double"))
