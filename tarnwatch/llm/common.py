@@ -8,6 +8,7 @@ setting is absent and the master is local, as in tests; on a cluster without the
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +19,7 @@ FALLBACK_DIR = "/tmp/checkpoints"
 #: The white space of the contracts, as a character class body: \x20 and \x09-\x0D.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
-_written: list[str] = []  # paths of this application's intermediate tables
+_runs = threading.local()  # the open ``stored`` calls of a thread, each with the paths that were written for it
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +40,8 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    _written.append(path)
+    for paths in getattr(_runs, "open", [])[-1:]:
+        paths.append(path)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnwatch_path = path
@@ -59,21 +61,26 @@ def drop_table(df: DataFrame) -> None:
 
 
 def stored(step: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What step returns, as a written table; all other tables that were written for it are deleted."""
-    mark = len(_written)
-    out = write_table(step(), name)
-    for path in _written[mark:]:
+    """What step returns, as a written table; all other tables that were written for it, in its own thread, are deleted.  Calls may be nested, and other threads' tables stay."""
+    if not hasattr(_runs, "open"):
+        _runs.open = []
+    mine: list[str] = []
+    _runs.open.append(mine)
+    try:
+        out = write_table(step(), name)
+    finally:
+        _runs.open.pop()
+    for path in mine:
         if path != out._tarnwatch_path:
             _delete(out.sparkSession, path)
-    del _written[mark:]
-    _written.append(out._tarnwatch_path)
+    for paths in _runs.open[-1:]:
+        paths.append(out._tarnwatch_path)
     return out
 
 
 def release(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; call it once results are stored."""
     _delete(spark, shared_dir(spark))
-    _written.clear()
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:

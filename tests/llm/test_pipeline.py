@@ -89,3 +89,35 @@ def test_intermediate_tables_are_deleted(spark, tmp_path):
     before = count()
     out = common.stored(lambda: corpus_pipeline.near_duplicates_go(spark, docs, ""), "test-near")
     assert out.count() > 0 and count() == before + 1
+
+
+def test_stored_leaves_the_tables_of_other_runs(spark):
+    """A table that another thread writes meanwhile stays, and nested results go with the outer one."""
+    import threading
+
+    other, ready, go = {}, threading.Event(), threading.Event()
+
+    def beside():
+        other["table"] = common.stored(lambda: common.write_table(spark.range(5).toDF("n"), "beside"), "beside-out")
+        ready.set()
+        go.wait(60)
+        other["n"] = other["table"].count()
+
+    thread = threading.Thread(target=beside)
+    inner = []
+
+    def step():
+        thread.start()
+        ready.wait(60)
+        inner.append(common.stored(lambda: common.write_table(spark.range(3).toDF("n"), "inner"), "inner-out"))
+        return inner[0].withColumn("m", inner[0]["n"] + 1)
+
+    out = common.stored(step, "outer")
+    go.set()
+    thread.join()
+    assert out.count() == 3 and other["n"] == 5
+    for table in (out, other["table"]):
+        common.drop_table(table)
+    path = inner[0]._tarnwatch_path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
