@@ -292,6 +292,17 @@ def confirm(width: int, percent: int) -> Callable[[pd.DataFrame, np.ndarray, dic
     return work
 
 
+FILTER_BITS = 24
+
+
+def may_be_in(df: DataFrame, key: str, members: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """df without rows whose key (a 64-bit hash) can't be among members: a bitmap of 2**bits places, broadcast as its words that are not empty (2**(bits - 6) at most), so other rows are dropped before they are sent anywhere."""
+    place = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = members.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_set"))
+    return df.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_set").bitwiseAND(bit) != 0).drop("_word", "_set")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bucket_rows: int = 512, block_rows: int = 512, block_shingles: int = 1_000_000) -> DataFrame:
     """One row per row of docs (doc_id, text): rid, doc_id, text_hash, n_shingles, component_id, first (of its component, by doc_id and rid)."""
     rows = write_table(sketch(docs, width), "op5-rows")
@@ -304,6 +315,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bucket_r
     n_blocks = F.greatest(F.ceil(F.col("g") / block_rows), F.ceil(F.col("all_shingles") / block_shingles))
     members = write_table(members.join(total, "family").select("family", "rep", "sig", F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), n_blocks.alias("n_blocks"), F.ceil(F.col("g") / n_blocks).alias("in_block")), "op5-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = may_be_in(texts, "text_hash", members.select(F.col("m_hash").alias("text_hash")))
 
     found = dealt(members, "family", F.col("n_blocks"), "rep").join(texts, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")))
     found = found.select("family", "i", "j", "rep", "part", "sig", "text", (F.col("n_blocks") > 1).alias("large"))

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwatch.llm import components, cover_tree, minhash
 
@@ -164,3 +165,15 @@ def test_documented_loss_at_the_threshold():
     loss = sum(comb(minhash.SYMBOLS, k) * 0.2**k * 0.8 ** (minhash.SYMBOLS - k) for k in range(minhash.RADIUS + 1, minhash.SYMBOLS + 1))
     for text in (minhash.__doc__, (Path(__file__).parents[2] / "README.md").read_text()):
         assert float(re.search(r"probability of about ([\d.]+e-\d+)", text)[1]) == pytest.approx(loss, rel=0.01)
+
+
+def test_only_texts_of_members_are_sent(spark):
+    """Of many texts, those that no family holds are dropped by the bitmap before the join."""
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("text_hash"), "id")
+    members = keys.where("id % 100 = 0").select("text_hash")
+    kept = minhash.may_be_in(keys, "text_hash", members)
+    ids = {r["id"] for r in kept.collect()}
+    assert {i for i in range(0, 20_000, 100)} <= ids and len(ids) < 210 and kept.columns == keys.columns
+    assert minhash.may_be_in(keys, "text_hash", members.limit(0)).count() == 0
+    full = minhash.may_be_in(keys, "text_hash", members, bits=6)
+    assert {r["id"] for r in full.collect()} >= {i for i in range(0, 20_000, 100)}
