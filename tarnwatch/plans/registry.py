@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, outputs, parsers, relational, scans
+from . import assessments, graphs, outputs, parsers, relational, scans
 
-MODULES = (scans, relational, graphs, parsers, outputs)
+MODULES = (scans, relational, graphs, parsers, outputs, assessments)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
