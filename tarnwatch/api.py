@@ -67,10 +67,12 @@ class Corpus:
     def run(self, module: str) -> DataFrame:
         return MODULES[module](scannable(self.files))
 
-    def scan(self, modules: list[str] | None = None) -> DataFrame:
-        """Findings of all modules in one frame: repo, module, type, severity, file, line, match, detail."""
+    def scan(self, modules: list[str] | None = None, flags: dict[str, bool] | None = None) -> DataFrame:
+        """Findings of all modules in one frame: repo, module, type, severity, file, line, match, detail.  A module that flags say is off is left out; one they don't name is on."""
         columns = {"type": "string", "severity": "string", "file": "string", "line": "long", "match": "string", "detail": "string"}
-        wanted = modules or sorted(MODULES)
+        wanted = [m for m in modules or sorted(MODULES) if (flags or {}).get(m, True)]
+        if not wanted:
+            return self.files.sparkSession.createDataFrame([], "repo string, module string, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
         together = [m for m in wanted if m in P.FUSED and MODULES[m] is BUILT_IN[m]]  # one scan for all of these
         out = P.fused(scannable(self.files), together) if together else None
         for m in (m for m in wanted if m not in together):

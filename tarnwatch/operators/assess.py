@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import catalog
+from ..functions.text import severity_rank
 from . import patterns as P
 from . import reports as O
 from . import structure as S
@@ -94,6 +95,37 @@ def scanner_report(results: DataFrame, repos: DataFrame, name: str) -> DataFrame
     return shared.ranked_within(heads.unionByName(rows), "repo", [F.col(c) for c in ("_section", "_file", "_line", "line")], "place").select("repo", "place", "line")
 
 
+def code_report(files: DataFrame) -> DataFrame:
+    """The second scan's report: tainted sinks of the repositories with as many Python as JavaScript files or more, dangerous calls of the others."""
+    name = F.lower("file")
+    counts = files.groupBy("repo").agg(F.count_if(F.endswith(name, F.lit(".py"))).alias("py"), F.count_if(name.rlike(r"\.(js|ts|jsx|tsx|mjs|mts)$")).alias("js"))
+    language = counts.select("repo", F.when((F.col("py") >= F.col("js")) & (F.col("py") > 0), "python").when(F.col("js") > F.col("py"), "js").otherwise("unknown").alias("language"))
+    tainted = S.taint_v2(files).select("repo", "file", F.col("line").cast("long").alias("line"), "type", "severity", "sink", F.col("func").alias("scope"), F.lit("python").alias("language"))
+    calls = P.js_tokens(files).select("repo", "file", "line", "type", "severity", F.col("match").alias("sink"), F.col("detail").alias("scope"), F.lit("js").alias("language"))
+    found = tainted.unionByName(calls).join(language, ["repo", "language"]).drop("language")
+    return report(found, files, " finding(s):", "No dangerous calls or injection sinks found.", [("Sink", "sink"), ("Scope", "scope")])
+
+
+def agent_report(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(repo, place, line) of an agent's session: its turns and calls, its findings, worst first, summary and counts.
+
+    findings (repo, id, severity, title, file, line, description, recommendation); sessions (repo, turns, calls, summary, cut_short), one row per repository.
+    """
+    at = lambda df, section, line, rank=None, nth=None: df.select("repo", F.lit(section).alias("_section"), (F.lit(0) if rank is None else rank).cast("long").alias("_rank"), (F.lit(0) if nth is None else nth).cast("long").alias("_nth"), line.alias("line"))
+    text = lambda c, default="": F.coalesce(F.col(c), F.lit(default))
+    place = F.when(text("file") != "", F.concat(F.lit("\n  File           : "), O.location(F.col("file"), F.col("line")))).otherwise("")
+    block = F.concat(F.lit("["), text("severity", "?"), F.lit("] "), text("title", "(untitled)"), place, F.lit("\n  Description    : "), text("description"), F.lit("\n  Recommendation : "), text("recommendation"))
+    counts = shared.cut(O.severity_lines(findings).join(sessions.select("repo"), "repo", "right"))
+    parts = [
+        at(sessions, 0, F.concat(F.lit("Iterations : "), F.col("turns").cast("string"), F.lit("  |  Tool calls : "), F.when(text("calls") == "", "none").otherwise(F.col("calls")))),
+        at(findings, 1, block, severity_rank(F.col("severity")), F.col("id")), at(counts.where("line IS NULL"), 1, F.lit("No vulnerabilities found.")),
+        at(sessions, 2, F.when(text("summary") == "", "(No summary provided.)").otherwise(F.col("summary"))),
+        at(counts, 3, F.coalesce("line", F.lit("Total findings : 0"))), at(counts, 4, F.concat(F.lit("Actionable     : "), F.coalesce("actionable", F.lit(0)).cast("string"))),
+        at(sessions.where("cut_short"), 5, F.lit("NOTE: the session was cut short; its findings cover a part only.")),
+    ]
+    return shared.ranked_within(union(parts), "repo", [F.col(c) for c in ("_section", "_rank", "_nth")], "place").select("repo", "place", "line")
+
+
 # Validation ----------------------------------------------------------------------------------------------------------
 
 CANDIDATES = 32

@@ -10,9 +10,12 @@ from concurrent.futures import ThreadPoolExecutor, as_completed
 from typing import Any
 
 from pyspark import inheritable_thread_target
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..api import Corpus
+from ..api import MODULES, Corpus
 
 
 def within(spark: SparkSession, seconds: float, work: Callable[[], Any], otherwise: Any = None) -> tuple[Any, bool]:
@@ -71,6 +74,15 @@ def run_all(spark: SparkSession, tasks: dict[str, Callable[[], Any]], workers: i
     return out
 
 
+def invalid(spark: SparkSession, pattern: str) -> str:
+    """What is wrong with a regular expression, before a job runs into it; empty if nothing is."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (PySparkException, Py4JJavaError) as e:
+        return str(e).strip().split("\n", 1)[0]
+    return ""
+
+
 class Session:
     """An agent's questions to a corpus: list, search, read, run and report, each counted; reads of a path and in all have a budget, and so has the number of turns."""
 
@@ -89,11 +101,18 @@ class Session:
         if tool == "list_files":
             return self.corpus.list(given.get("prefix", ""))
         if tool == "search_code":
-            return self.corpus.search(given["pattern"], given.get("glob"))
+            pattern = given.get("pattern", "")
+            wrong = invalid(self.corpus.files.sparkSession, pattern)
+            return f"invalid pattern {pattern}: {wrong}" if wrong else self.corpus.search(pattern, given.get("glob"))
         if tool == "run_analyzer":
-            return self.corpus.run(given["name"])
+            name = given.get("name", "")
+            return self.corpus.run(name) if name in MODULES else f"unknown analyzer {name}; known are {', '.join(sorted(MODULES))}"
         if tool == "read_file":
-            path = given["path"]
+            path = given.get("path", "")
+            if path.startswith(("/", "~")) or ".." in path.replace("\\", "/").split("/"):
+                return f"{path} lies outside the repository"
+            if self.corpus.files.where(F.col("file") == path).isEmpty():
+                return f"there is no file {path}"
             if self.reads[path] >= self.per_path:
                 return f"{path} was read {self.per_path} times already"
             if self.reads.total() >= self.all_reads:

@@ -156,8 +156,11 @@ def validation_prompt(prompts: DataFrame, canary: Column | None = None) -> DataF
     return p.select("repo", "canary", F.concat(F.lit("Return canary "), "canary", F.lit(".\n<<"), "boundary", F.lit(">>\n"), "prompt", F.lit("\n<</"), "boundary", F.lit(">>")).alias("prompt"))
 
 
-def ask(prompts: DataFrame, provider: Callable[[str], str]) -> DataFrame:
-    """(repo, reply) from an injected provider; its failures become replies that say so."""
+def ask(prompts: DataFrame, provider: Callable[[str], str], stored: DataFrame | None = None) -> DataFrame:
+    """(repo, reply) from an injected provider; its failures become replies that say so.  Where stored (repo, reply) has a reply, that one is taken and nobody is asked."""
+    if stored is not None:
+        known = stored.where(F.trim("reply") != "").groupBy("repo").agg(F.max("reply").alias("reply"))
+        return prompts.select("repo").distinct().join(known, "repo").select("repo", "reply").unionByName(ask(prompts.join(known, "repo", "left_anti"), provider))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

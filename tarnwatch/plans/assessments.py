@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog
 from ..operators import assess as A
+from ..operators import partials as PA
 from ..sources.corpus import code_files, scannable
 from . import duck, outputs
 from .duck import q
@@ -43,6 +44,20 @@ def _validation_report(s: SparkSession, d: str) -> DataFrame:
     return A.validation_report(found, _verdicts(s, d), _new(s, d), checks)
 
 
+def _agent(s: SparkSession, d: str) -> DataFrame:
+    """A session per source, and one that found nothing."""
+    found = outputs.findings(s, d)
+    repos = found.select("repo").distinct().unionByName(s.range(1).select(F.lit("quiet").alias("repo")))
+    n = F.length("repo")
+    return A.agent_report(found, repos.select("repo", n.alias("turns"), F.when(n % 2 == 0, "read_file ×2").otherwise("").alias("calls"), F.when(n % 2 == 1, F.concat(F.lit("about "), "repo")).alias("summary"), (n % 3 == 0).alias("cut_short")))
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """Questions to repositories from partial results of their files; all files of a user are one repository."""
+    files = scannable(code_files(s, d)).withColumn("repo", F.regexp_extract("file", duck.OWNER, 1))
+    return PA.repo_answers(PA.file_partials(files))
+
+
 def _scanner(s: SparkSession, d: str) -> DataFrame:
     """Findings of documents as results of a scanner."""
     found = outputs.findings(s, d)
@@ -97,10 +112,25 @@ SCANNER = f"""WITH {outputs.FINDINGS}, r AS (SELECT repo, file, line, '[' || sev
 SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY file, line NULLS FIRST, text) + 1 AS place, text AS line FROM r
 UNION ALL SELECT repo, 1, CASE WHEN n IS NULL THEN 'No scanner findings.' ELSE n || ' scanner finding(s):' END FROM (SELECT DISTINCT repo FROM f) LEFT JOIN c USING (repo)"""
 
+AGENT = f"""WITH {outputs.FINDINGS}, r AS (SELECT DISTINCT repo FROM f UNION ALL SELECT 'quiet'), c AS (SELECT repo, count(id) AS n, {', '.join(f"count(*) FILTER (WHERE severity = '{x}') AS {x}" for x in catalog.SEVERITIES)}, count(*) FILTER (WHERE severity <> 'INFO') AS act FROM f GROUP BY repo),
+l AS (SELECT repo, 0 AS s, 0 AS k, 0 AS n, 'Iterations : ' || length(repo) || '  |  Tool calls : ' || CASE WHEN length(repo) % 2 = 0 THEN 'read_file ×2' ELSE 'none' END AS line FROM r
+  UNION ALL SELECT repo, 1, {outputs.RANK}, id, '[' || severity || '] ' || coalesce(title, '(untitled)') || CASE WHEN file <> '' THEN chr(10) || '  File           : ' || {outputs.PLACE} ELSE '' END || chr(10) || '  Description    : ' || description || chr(10) || '  Recommendation : ' || coalesce(recommendation, '') FROM f
+  UNION ALL SELECT 'quiet', 1, 0, 0, 'No vulnerabilities found.' UNION ALL SELECT repo, 2, 0, 0, CASE WHEN length(repo) % 2 = 1 THEN 'about ' || repo ELSE '(No summary provided.)' END FROM r
+  UNION ALL SELECT repo, 3, 0, 0, CASE WHEN n IS NULL THEN 'Total findings : 0' ELSE 'Total findings : ' || n || '  (' || {" || ' · ' || ".join(f"'{x}: ' || {x}" for x in catalog.SEVERITIES)} || ')' END FROM r LEFT JOIN c USING (repo)
+  UNION ALL SELECT repo, 4, 0, 0, 'Actionable     : ' || coalesce(act, 0) FROM r LEFT JOIN c USING (repo) UNION ALL SELECT repo, 5, 0, 0, 'NOTE: the session was cut short; its findings cover a part only.' FROM r WHERE length(repo) % 3 = 0)
+SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY s, k, n) AS place, line FROM l"""
+_owner = f"regexp_extract(file, {q(duck.OWNER)}, 1)"
+ANSWERS = f"""WITH {duck.CODE}, o AS (SELECT {_owner} AS repo, file, content FROM code)
+SELECT repo, count(*) AS n_files, count(*) FILTER (WHERE file LIKE '%.py') AS py, count(*) FILTER (WHERE list_contains({duck.listed(catalog.JS_EXTENSIONS)}, {duck.ENDING})) AS js,
+  bool_or({' OR '.join(f"regexp_matches(content, {q('(?i)' + p)})" for p in catalog.ROUTE_SIGNALS)}) AND NOT bool_or({duck.any_marker('content', catalog.AUTH_SIGNALS)}) AS no_auth,
+  array_to_string(list_sort(list(file))[1:3], ', ') AS first_files FROM o GROUP BY repo"""
+
 QUERIES = {
     "stream_report": (on_code(A.stream_report), _report_sql("", _streams, [("Match", "match"), ("Note", "note")], " SSE/streaming issue(s) found:", "No SSE/streaming security issues found.")),
     "auth_report": (on_code(A.auth_report), _report_sql("", _auth, [("Match", "match"), ("Detail", "detail")], " auth/authz issue(s) found:", "No authentication or authorization issues found.")),
     "network_lines": (on_code(A.network_report), _report_sql(f", {duck.BIND_CTE}", _network, [("Address", "address"), ("Code", "code"), ("Detail", "note")], " network finding(s):", "No network bindings or HTTP server patterns detected.")),
+    "agent_report": (_agent, AGENT),
+    "repo_answers": (_answers, ANSWERS),
     "scanner_report": (_scanner, SCANNER),
     "validation_prompt": (lambda s, d: A.validation_prompt(outputs.findings(s, d), _sources(s, d), SEED), PROMPT),
     "validation_report": (_validation_report, REPORT),

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.partials import file_partials
 from ..sources.corpus import CORPUS_SCHEMA, scannable
 
 
@@ -28,3 +29,17 @@ def scan_new(corpus: DataFrame, scan: Callable[[DataFrame], DataFrame], out: str
         scan(scannable(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return corpus.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_partials(corpus: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Partial results of all files that have arrived, one folder per batch; ``partials_of`` reads them.  A file that comes again counts as it came last."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        file_partials(scannable(batch), number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return corpus.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def partials_of(spark: SparkSession, out: str) -> DataFrame:
+    """What ``keep_partials`` has stored, for ``partials.repo_answers`` and ``partials.framework_counts``: questions to repositories cost a read of small rows, not of files."""
+    return spark.read.parquet(out).drop("batch")
