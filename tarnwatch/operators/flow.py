@@ -20,8 +20,8 @@ ORDER = ["section", "entry", "part", "key", "a", "b", "c"]
 
 
 def numbered(functions: DataFrame) -> DataFrame:
-    """functions (repo, file, func, func_line, params array<string>, is_tool, is_call_tool, is_http) with their number fid, in order of file and line."""
-    return shared.cut(shared.ranked(functions, [F.col(c) for c in ("repo", "file", "func_line", "func")], "fid"))
+    """functions (repo, file, func, func_line, params array<string>, is_tool, is_call_tool, is_http) with their number fid, in order of file, name and line: the order of the report."""
+    return shared.cut(shared.ranked(functions, [F.col(c) for c in ("repo", "file", "func", "func_line")], "fid"))
 
 
 def call_sites(functions: DataFrame, calls: DataFrame) -> DataFrame:

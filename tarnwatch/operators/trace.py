@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
+
 
 def entries(functions: DataFrame) -> DataFrame:
     """Entry points as nodes of depth 0.  A call-tool entry with a parameter ``arguments`` tracks that one alone."""
@@ -36,7 +38,7 @@ def trace(functions: DataFrame, calls: DataFrame, depth: int = 4) -> tuple[DataF
     A callee on the path already is not entered again; one that no tracked name reaches is only entered with the caller's names if the call carries some.
     """
     callee = functions.select(F.col("name").alias("callee"), F.col("params").alias("callee_params"))
-    joined = calls.join(callee, "callee", "left")
+    joined = shared.salted_join(calls, callee, ["callee"])  # a name like "get" may hold a large part of all calls
     level, nodes, leaves = entries(functions), [], []
     nodes.append(level)
     for k in range(1, depth + 1):

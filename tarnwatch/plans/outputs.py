@@ -204,7 +204,7 @@ def _results(s: SparkSession, d: str) -> DataFrame:
 
 
 _flow_head = f"""{graphs._head},
-fx AS (SELECT *, row_number() OVER (ORDER BY file, func_line, name) AS fid FROM (SELECT f.*, 'src/f' || (k % 10) || '.py' AS file, k AS func_line FROM functions f JOIN p ON f.name = 'f' || k)),
+fx AS (SELECT *, row_number() OVER (ORDER BY file, name, func_line) AS fid FROM (SELECT f.*, 'src/f' || (k % 10) || '.py' AS file, k AS func_line FROM functions f JOIN p ON f.name = 'f' || k)),
 cx AS (SELECT *, line - 1 AS call_no FROM calls UNION ALL SELECT func, 3, callee, [['b']], false, 2 FROM calls WHERE line = 1 AND substr(func, 2)::BIGINT % 4 = 1),
 ed AS (SELECT o.fid AS caller, call_no, line, callee, pos, star, t.fid AS target, t.file AS tfile, t.params AS cp FROM cx JOIN fx o ON o.name = func LEFT JOIN fx t ON t.name = callee),
 sx AS (SELECT fid, line, sink_type, func || '()' AS sink, CASE WHEN sink_type = 'FILE' THEN 'MEDIUM' ELSE 'HIGH' END AS severity, influenced FROM sinks JOIN fx ON name = func),
