@@ -9,7 +9,8 @@ Lines of hashes in at least ``min_docs`` documents go, unless in the keeper, and
 
 Documents are known by (doc_id, hash of the text), so repeated rows share a bitmap and count as one document.
 
-Defined results: null or empty text is one empty line, which stays; lines of documents with null doc_id count as those of one document and stand before
+Defined results: null or empty text is one empty line, which stays; very long texts are split whole, and a line may be of any length; ties don't arise: within the keeper every line with the key stays,
+however often it stands there, and rows that repeat the keeper keep theirs, too; lines of documents with null doc_id count as those of one document and stand before
 all others (smallest id); an empty table gives an empty result; other columns are kept by ``drop_repeated_lines``.
 """
 
