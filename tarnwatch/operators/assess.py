@@ -39,14 +39,13 @@ def once(found: DataFrame) -> DataFrame:
 def stream_findings(files: DataFrame) -> DataFrame:
     """All six checks of event streams: requests, redirects, CORS, origin, handlers without authentication, message routes without a bound session."""
     notes = F.create_map(*[F.lit(x) for pair in catalog.STREAM_NOTES.items() for x in pair])
-    checks = [P.stream_ssrf(files), P.redirects(files), P.cors_misconfig(files), P.origin_missing(files), shaped(S.stream_without_auth(files), match=F.lit("SSE endpoint")), S.messages_without_binding(files)]
+    checks = [P.fused(files, ["ssrf", "redirect"]), P.cors_misconfig(files), P.origin_missing(files), shaped(S.stream_without_auth(files), match=F.lit("SSE endpoint")), S.messages_without_binding(files)]
     return once(union([shaped(c, detail=notes[F.col("type")]) for c in checks]))
 
 
 def auth_findings(files: DataFrame) -> DataFrame:
     """All seven checks of authentication: four catalogues, routes without a decorator, parameters that are never validated, repositories without any sign of it."""
-    kinds = ((catalog.CREDENTIALS, "HARDCODED_CREDENTIAL"), (catalog.JWT_MISUSE, "JWT_MISUSE"), (catalog.AUTHZ_BYPASS, "AUTHZ_BYPASS"), (catalog.INSECURE_SESSION, "INSECURE_SESSION"))
-    checks = [shaped(P.check_patterns(files, p, kind)) for p, kind in kinds]
+    checks = [shaped(P.fused(files, ["credentials", "jwt", "authz", "session"]))]  # the four catalogues in one scan
     checks.append(shaped(P.missing_auth_decorator(files), detail=F.lit(catalog.AUTH_NOTES["MISSING_AUTH_DECORATOR"])))
     checks.append(shaped(S.unvalidated_auth(files), match=F.concat("func", F.lit("("), "sink", F.lit(")")), detail=F.lit(catalog.AUTH_NOTES["UNVALIDATED_AUTH_PARAM"])))
     checks.append(shaped(P.no_auth_repos(files), file=F.lit(""), line=F.lit(0), match=F.lit("(repo-wide)"), detail=F.lit(catalog.AUTH_NOTES["NO_AUTHENTICATION"])))
@@ -59,7 +58,7 @@ def network_findings(files: DataFrame) -> DataFrame:
     address = F.when(F.col("host") != "(unresolved)", F.concat("host", F.when(F.coalesce("port", F.lit(0)) != 0, F.concat(F.lit(":"), F.col("port").cast("string"))).otherwise(""))).otherwise("")
     columns = ["repo", "file", "line", "type", "severity", "address", "code", "detail"]
     bound = found.select("repo", "file", "line", F.lit("NETWORK_BINDING").alias("type"), "severity", address.alias("address"), "code", F.col("note").alias("detail"))
-    http = P.network_report(files).where("type = 'HTTP_SERVER_INDICATOR'").select("repo", "file", "line", "type", "severity", F.lit("").alias("address"), F.lit("").alias("code"), F.col("note").alias("detail"))
+    http = P.http_indicators(files, found).select("repo", "file", "line", "type", "severity", F.lit("").alias("address"), F.lit("").alias("code"), F.col("note").alias("detail"))
     return bound.select(columns).unionByName(http.select(columns))
 
 

@@ -167,14 +167,18 @@ def framework_rollup(files: DataFrame) -> DataFrame:
     return each.groupBy("repo", "framework", "severity").agg(F.count("*").alias("n_files")).join(few, ["repo", "framework"]).select("repo", "framework", "severity", "n_files", F.col("examples")[0].alias("file"), F.concat(F.array_join("examples", ", "), F.when(F.col("n_files") > 3, F.concat(F.lit(" … (+"), (F.col("n_files") - 3).cast("string"), F.lit(" more)"))).otherwise("")).alias("examples"))
 
 
-def network_report(files: DataFrame) -> DataFrame:
-    """Bindings, and frameworks unless they are INFO and their first file has a binding."""
-    bindings, rollup = network_bindings(files), framework_rollup(files)
+def http_indicators(files: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Frameworks, one row per repository and framework, unless they are INFO and their first file has one of the bindings."""
     bound = bindings.select("repo", "file").distinct().withColumn("bound", F.lit(True))
-    kept = rollup.join(bound, ["repo", "file"], "left").where(F.col("bound").isNull() | (F.col("severity") != "INFO"))
-    a = bindings.select("repo", F.lit("NETWORK_BINDING").alias("type"), "severity", "file", "line", "note")
-    b = kept.select("repo", F.lit("HTTP_SERVER_INDICATOR").alias("type"), "severity", "file", F.lit(None).cast("long").alias("line"), F.concat("framework", F.lit(" detected in "), F.col("n_files").cast("string"), F.lit(" file(s): "), "examples").alias("note"))
-    return a.unionByName(b)
+    kept = framework_rollup(files).join(bound, ["repo", "file"], "left").where(F.col("bound").isNull() | (F.col("severity") != "INFO"))
+    note = F.concat("framework", F.lit(" detected in "), F.col("n_files").cast("string"), F.lit(" file(s): "), "examples")
+    return kept.select("repo", F.lit("HTTP_SERVER_INDICATOR").alias("type"), "severity", "file", F.lit(None).cast("long").alias("line"), note.alias("note"))
+
+
+def network_report(files: DataFrame) -> DataFrame:
+    """Bindings and HTTP indicators."""
+    bindings = network_bindings(files)
+    return bindings.select("repo", F.lit("NETWORK_BINDING").alias("type"), "severity", "file", "line", "note").unionByName(http_indicators(files, bindings))
 
 
 def no_auth_repos(files: DataFrame) -> DataFrame:
