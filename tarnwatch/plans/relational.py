@@ -197,12 +197,12 @@ FROM s LEFT JOIN b ON b.repo IS NOT DISTINCT FROM s.repo AND b.k = s.k GROUP BY
 QUERIES["prompt_size"] = (_prompt_size, PROMPT_SIZE)
 
 
-def _report_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as a report shows them: whole up to 60,000 characters."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", head_and_tail(F.col("text"), 60_000, catalog.CUT_MARK).alias("excerpt"))
 
 
-QUERIES["truncate_70_30"] = (_report_excerpts, f"SELECT doc_id, CASE WHEN length(text) <= 60000 THEN text ELSE left(text, 42000) || {_mark} || right(text, 18000) END AS excerpt FROM documents")
+QUERIES["truncate_70_30"] = (_truncated, f"SELECT doc_id, CASE WHEN length(text) <= 60000 THEN text ELSE left(text, 42000) || {_mark} || right(text, 18000) END AS excerpt FROM documents")
 
 
 def _cost_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.api import Corpus
 from tarnwatch.functions import catalog
-from tarnwatch.operators import control, extract_js, extract_py, patterns, reports, review, trace
+from tarnwatch.operators import control, extract_js, extract_py, patterns, reports, review
 from tarnwatch.sources import corpus
 
 
