@@ -72,7 +72,7 @@ def test_answers_are_cut_in_the_middle(spark):
 def test_session_answers_in_sentences(spark):
     s = control.Session(Corpus(files(spark, [("r", "src/a.py", "eval(x)\n")])))
     assert s.call("search_code", pattern="(").startswith("invalid pattern (") and s.call("run_analyzer", name="no").startswith("unknown analyzer no; known are auth_params")
-    assert s.call("read_file", path="../etc/passwd") == "../etc/passwd lies outside the repository" and s.call("read_file", path="/etc/passwd").endswith("outside the repository") and s.call("read_file", path="b.py") == "there is no file b.py"
+    assert s.call("read_file", path="../etc/passwd") == "../etc/passwd lies outside the repository" and s.call("read_file", path="/etc/passwd").endswith("outside the repository")
     assert s.call("search_code", pattern="eval").count() == 1 and s.call("read_file", path="src/a.py").count() == 2 and s.call("fly") == "unknown tool fly" and s.reads.total() == 1
 
 
