@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -16,11 +16,13 @@ from . import extract_js, extract_py
 from .store import Versioned
 
 CALL = "callee string, dotted string, line int, pos array<array<string>>, kw map<string,array<string>>, star boolean, influenced array<string>, shell boolean, dynamic boolean"
+#: What a sink is decided by.
+SINK_RECORD = "name string, line_start int, calls array<struct<callee:string,dotted:string,line:int,influenced:array<string>,shell:boolean,dynamic:boolean>>"
 RECORD = f"name string, line_start int, line_end int, params array<struct<name:string,annotation:string>>, decorators array<string>, is_tool boolean, is_call_tool boolean, is_http boolean, calls array<struct<{', '.join(c.replace(' ', ':', 1) for c in CALL.split(', '))}>>"
 
 
 def parse(files: DataFrame, work: Callable[[str, str], list[dict]], schema: str, keep: tuple[str, ...] = ("repo", "file")) -> DataFrame:
-    """The columns of keep and what work(file, content) finds, as typed Arrow rows."""
+    """The columns of keep and those fields of what work(file, content) finds that schema names, as typed Arrow rows."""
     spark = files.sparkSession
     found = T.StructType.fromJson(spark.createDataFrame([], schema).schema.jsonValue())
     arrow = to_arrow_type(T.ArrayType(found))
@@ -33,7 +35,8 @@ def parse(files: DataFrame, work: Callable[[str, str], list[dict]], schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [plain(work(f or "", c or "")) for f, c in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), strict=True)]
+            rows = [work(f or "", c or "") for f, c in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), strict=True)]
+            rows = plain(rows) if "map<" in schema else rows
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(rows, arrow)], [*keep, "x"])
 
     listed = files.select(*dict.fromkeys([*keep, "file", "content"])).mapInArrow(run, out)
@@ -45,9 +48,9 @@ def records(file: str, text: str) -> list[dict]:
     return extract_py.index_python(text) if file.lower().endswith(".py") else extract_js.index_js(text)
 
 
-def functions_of(files: DataFrame) -> DataFrame:
-    """Function records of Python and JavaScript files."""
-    return parse(files.where(extension(F.col("file")).isin(catalog.SOURCE_EXTENSIONS)), records, RECORD)
+def functions_of(files: DataFrame, schema: str = RECORD) -> DataFrame:
+    """Function records of Python and JavaScript files, whole or those fields that schema names."""
+    return parse(files.where(extension(F.col("file")).isin(catalog.SOURCE_EXTENSIONS)), records, schema)
 
 
 class FunctionIndex:
@@ -85,19 +88,28 @@ def sinks_of(calls: DataFrame, python_sinks: DataFrame, js_sinks: DataFrame) ->
 
     Python sinks count untainted too (reachability is decided along the trace); JavaScript ones need a tainted argument, or a built one for COMMAND and EXEC.
     """
-    both = F.broadcast(python_sinks.withColumn("js", F.lit(False)).unionByName(js_sinks.withColumn("js", F.lit(True))))  # fixed tables
-    js = F.col("file").rlike(r"(?i)\.(js|ts|jsx|tsx|mjs|mts)$")
-    c = calls.withColumn("is_js", js)
-    named = c.join(both, (F.col("callee") == F.col("function")) & (F.col("is_js") == F.col("js")))
-    fits = (F.col("module") == "") | (F.col("dotted") == F.concat("module", F.lit("."), "function")) | F.startswith("dotted", F.concat("module", F.lit(".")))
-    reached = ~F.col("is_js") | (F.size("influenced") > 0) | (F.col("sink_type").isin("COMMAND", "EXEC") & F.col("dynamic"))
-    command = F.col("sink_type") == "COMMAND"
-    note = F.when(command & F.col("shell"), "shell=True — CRITICAL").when(command & js & F.col("dynamic"), "template literal injection — CRITICAL").when(F.col("callee") == "new Function", "dynamic code construction").otherwise("")
-    columns = ["repo", "file", "func", "func_line", "sink_type", F.col("dotted").alias("sink_expr"), "severity", "line", "influenced"]
-    listed = named.where(fits & reached).select(*columns, note.alias("note")).dropDuplicates(["repo", "file", "func", "func_line", "sink_type", "sink_expr", "line"])
+    both = python_sinks.withColumn("js", F.lit(False)).unionByName(js_sinks.withColumn("js", F.lit(True)))
+    listed = both.groupBy(F.col("function").alias("callee"), "js").agg(F.collect_list(F.struct("module", "sink_type", "severity")).alias("listed"))
+    js, dynamic = F.col("js"), F.col("dynamic")
+    c = calls.withColumn("js", F.col("file").rlike(r"(?i)\.(js|ts|jsx|tsx|mjs|mts)$")).join(F.broadcast(listed), ["callee", "js"], "left")  # fixed tables
+    tainted = F.size("influenced") > 0
+
+    def reached(k: Column) -> Column:
+        fits = (k["module"] == "") | (F.col("dotted") == F.concat(k["module"], F.lit("."), "callee")) | F.startswith("dotted", F.concat(k["module"], F.lit(".")))
+        return fits & (~js | tainted | (k["sink_type"].isin("COMMAND", "EXEC") & dynamic))
+
+    def sink(k: Column) -> Column:
+        command = k["sink_type"] == "COMMAND"
+        note = F.when(command & F.col("shell"), "shell=True — CRITICAL").when(command & js & dynamic, "template literal injection — CRITICAL").when(F.col("callee") == "new Function", "dynamic code construction").otherwise("")
+        return F.struct(k["sink_type"].alias("sink_type"), k["severity"].alias("severity"), note.alias("note"), F.lit(False).alias("sql"))
+
     methods = F.when(js, F.array(*map(F.lit, catalog.SQL_METHODS_JS))).otherwise(F.array(*map(F.lit, catalog.SQL_METHODS_PY)))
-    sql = c.where(F.array_contains(methods, F.col("callee")) & ((F.size("influenced") > 0) | (~F.col("is_js") & F.col("dynamic")))).withColumn("sink_type", F.lit("SQL")).withColumn("severity", F.lit("HIGH"))
-    return listed.unionByName(sql.select(*columns, F.when(F.col("dynamic"), "dynamic SQL construction").otherwise("").alias("note")))
+    is_sql = F.array_contains(methods, F.col("callee")) & (tainted | (~js & dynamic))
+    sql = F.struct(F.lit("SQL").alias("sink_type"), F.lit("HIGH").alias("severity"), F.when(dynamic, "dynamic SQL construction").otherwise("").alias("note"), F.lit(True).alias("sql"))
+    found = F.concat(F.transform(F.filter(F.coalesce("listed", F.array().cast(listed.schema["listed"].dataType)), reached), sink), F.when(is_sql, F.array(sql)).otherwise(F.array().cast("array<struct<sink_type:string,severity:string,note:string,sql:boolean>>")))
+    # both kinds in one pass, so that what the calls come from is parsed once; SQL sinks are one row per call as they are
+    rows = c.withColumn("_call", F.monotonically_increasing_id()).select("repo", "file", "func", "func_line", F.col("dotted").alias("sink_expr"), "line", "influenced", "_call", F.inline(found)).withColumn("_call", F.when(F.col("sql"), F.col("_call")))
+    return rows.dropDuplicates(["repo", "file", "func", "func_line", "sink_type", "sink_expr", "line", "_call"]).select("repo", "file", "func", "func_line", "sink_type", "sink_expr", "severity", "line", "influenced", "note")
 
 
 def call_graph(files: DataFrame) -> DataFrame:

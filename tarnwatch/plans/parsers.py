@@ -23,7 +23,7 @@ def _functions(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sinks(s: SparkSession, d: str) -> DataFrame:
-    return S.sinks_of(S.calls_of(_functions(s, d)), sink_catalogue(s), sink_catalogue(s, catalog.SINKS_JS)).withColumn("influenced", F.array_join("influenced", ","))
+    return S.sinks_of(S.calls_of(S.functions_of(programs(s, d), S.SINK_RECORD)), sink_catalogue(s), sink_catalogue(s, catalog.SINKS_JS)).withColumn("influenced", F.array_join("influenced", ","))
 
 
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -212,8 +212,13 @@ def same_{}(v):
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The programs of every user of events: (repo, file, content)."""
+    """The programs of every user of events: (repo, file, content).
+
+    The users are a few bytes each, so adaptive execution puts them into one task; they are dealt out anew, as each stands for files to be parsed.
+    A key would not do that: the exchange before has it already, so Spark leaves out the second one.
+    """
     u = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    u = u.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = F.col("user_id").cast("string")
     each = F.array(*[F.struct(F.concat(F.lit("src/p"), n, F.lit(f"_{k}{end}")).alias("file"), F.replace(F.lit(text), F.lit("{}"), n).alias("content")) for k, (end, text) in enumerate(PROGRAMS)])
     return u.select(F.concat(F.lit("repo"), (F.col("user_id") % 5).cast("string")).alias("repo"), F.inline(each))
